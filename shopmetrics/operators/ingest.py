@@ -64,13 +64,15 @@ def pending_attribution(attribution: DataFrame) -> DataFrame:
 def resolve_discount_allocations(alloc: DataFrame, lines: DataFrame, discounts: DataFrame) -> DataFrame:
     """Replace the discount name of each allocation by the discount id of the line's order.
 
-    When an order carries the same name twice the first position is taken.
+    When an order carries the same name twice the first position is taken. An
+    allocation delivered with its order id joins its line on both keys.
     """
+    line_keys = ["order_id", "line_item_id"] if "order_id" in alloc.columns else ["line_item_id"]
     named = discounts.groupBy("order_id", "code_or_title").agg(
         F.min_by("id", "position").alias("order_discount_id")
     )
     return (
-        alloc.join(lines.select("line_item_id", "order_id"), "line_item_id")
+        alloc.join(lines.select("order_id", "line_item_id"), line_keys)
         .join(named, ["order_id", "code_or_title"])
         .select("id", "line_item_id", "order_discount_id", "allocated_amount", "currency")
     )

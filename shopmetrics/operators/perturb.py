@@ -6,8 +6,7 @@ partitioning gives the same dataset.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,9 @@ from shopmetrics.functions.money import TOTAL, UNIT
 from shopmetrics.functions.text import is_product_sku
 from shopmetrics.operators.ledger import ledger_of
 from shopmetrics.operators.privacy import renumber_orders
+from shopmetrics.sources.lazy import LazyTables, Tables
 from shopmetrics.sources.tables import derive_line_columns
 
-Tables = Mapping[str, DataFrame]
 RHO = "decimal(20,16)"
 
 
@@ -42,16 +41,24 @@ def drop_rate(created_at: Column, salt: str, tz: str = BUSINESS_TZ) -> Column:
     return _dec("0.05") + _dec("0.20") * month_draw + _dec("0.10") * (day_draw - _dec("0.5"))
 
 
-def drop_orders(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> dict[str, DataFrame]:
+def drop_orders(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
     """Thin out orders; everything that belongs to a dropped order goes with it."""
+    t = tables
     keep = _draw("o", F.col("order_id"), salt) >= drop_rate(F.col("created_at"), salt, tz)
-    out = dict(tables)
-    out["orders"] = tables["orders"].filter(keep)
-    kept = out["orders"].select("order_id")
-    for child in ("order_attribution", "order_discounts", "order_line_items", "refund_line_items", "refunds"):
-        out[child] = tables[child].join(kept, "order_id", "left_semi")
-    out["line_item_discount_allocations"] = tables["line_item_discount_allocations"].join(
-        out["order_line_items"].select("line_item_id"), "line_item_id", "left_semi"
+    children = ["order_attribution", "order_discounts", "order_line_items", "refund_line_items", "refunds"]
+
+    def kept(child: str) -> DataFrame:
+        return t[child].join(out["orders"].select("order_id"), "order_id", "left_semi")
+
+    out = LazyTables(
+        {
+            "orders": lambda: t["orders"].filter(keep),
+            **{child: partial(kept, child) for child in children},
+            "line_item_discount_allocations": lambda: t["line_item_discount_allocations"].join(
+                out["order_line_items"].select("line_item_id"), "line_item_id", "left_semi"
+            ),
+        },
+        tables,
     )
     return out
 
@@ -243,22 +250,34 @@ def rederive_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> dict[str, DataFrame]:
+def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
     """Dropped orders, new prices and quantities, and everything that follows from them."""
     t = drop_orders(tables, salt, tz)
-    out = dict(t)
-    lines = perturb_lines(t["order_line_items"], t["refund_line_items"], salt)
-    out["order_line_items"] = lines.drop("old_net", "price_from", "price_to", "times")
-    out["line_item_discount_allocations"] = perturb_allocations(t["line_item_discount_allocations"], lines)
-    out["refund_line_items"] = perturb_refund_lines(t["refund_line_items"], lines)
-    ratios = order_ratios(lines)
-    refunds = rederive_refunds(t["refunds"], t["refund_line_items"], out["refund_line_items"], ratios)
-    out["refunds"] = refunds.drop("old_total")
-    out["order_discounts"] = rederive_discounts(t["order_discounts"], ratios)
-    orders = rederive_orders(t["orders"], refunds, ratios)
-    out["customers"] = rederive_customers(t["customers"], orders)
-    out["orders"] = renumber_orders(orders)
-    return out
+    steps = LazyTables(
+        {
+            "lines": lambda: perturb_lines(t["order_line_items"], t["refund_line_items"], salt),
+            "ratios": lambda: order_ratios(steps["lines"]),
+            "refund_lines": lambda: perturb_refund_lines(t["refund_line_items"], steps["lines"]),
+            "refunds": lambda: rederive_refunds(
+                t["refunds"], t["refund_line_items"], steps["refund_lines"], steps["ratios"]
+            ),
+            "orders": lambda: rederive_orders(t["orders"], steps["refunds"], steps["ratios"]),
+        }
+    )
+    return LazyTables(
+        {
+            "order_line_items": lambda: steps["lines"].drop("old_net", "price_from", "price_to", "times"),
+            "line_item_discount_allocations": lambda: perturb_allocations(
+                t["line_item_discount_allocations"], steps["lines"]
+            ),
+            "refund_line_items": lambda: steps["refund_lines"],
+            "refunds": lambda: steps["refunds"].drop("old_total"),
+            "order_discounts": lambda: rederive_discounts(t["order_discounts"], steps["ratios"]),
+            "customers": lambda: rederive_customers(t["customers"], steps["orders"]),
+            "orders": lambda: renumber_orders(steps["orders"]),
+        },
+        t,
+    )
 
 
 def quantity_draws(

@@ -14,10 +14,9 @@ from shopmetrics.functions.money import TOTAL, UNIT
 from shopmetrics.functions.text import is_product_sku
 from shopmetrics.operators.distributed import assign_row_numbers
 from shopmetrics.operators.ledger import ledger_of
+from shopmetrics.sources.lazy import LazyTables, Tables
 from shopmetrics.sources.tables import derive_line_columns
 
-Tables = Mapping[str, DataFrame]
-
 # Words of generated product titles.
 ADJECTIVES = [
     "Classic", "Everyday", "Heritage", "Coastal", "Urban", "Alpine", "Cedar", "Ember", "Willow", "Harbor",
@@ -151,19 +150,21 @@ def ad_mapping(tables: Tables, salt: str) -> DataFrame:
     )
 
 
-def build_mappings(tables: Tables, salt: str) -> dict[str, DataFrame]:
+def build_mappings(tables: Tables, salt: str) -> Tables:
     """Real value to pseudonym, one table per kind, the same in every place of use."""
-    seasons = season_mapping(tables)
-    return {
-        "product": product_mapping(tables, salt),
-        "season": seasons,
-        "sku": sku_mapping(tables, seasons, salt),
-        "discount": discount_mapping(tables, salt),
-        "utm": utm_mapping(tables, salt),
-        "campaign": campaign_mapping(tables, salt),
-        "adset": adset_mapping(tables, salt),
-        "ad": ad_mapping(tables, salt),
-    }
+    maps = LazyTables(
+        {
+            "product": lambda: product_mapping(tables, salt),
+            "season": lambda: season_mapping(tables),
+            "sku": lambda: sku_mapping(tables, maps["season"], salt),
+            "discount": lambda: discount_mapping(tables, salt),
+            "utm": lambda: utm_mapping(tables, salt),
+            "campaign": lambda: campaign_mapping(tables, salt),
+            "adset": lambda: adset_mapping(tables, salt),
+            "ad": lambda: ad_mapping(tables, salt),
+        }
+    )
+    return maps
 
 
 def _scaled(col: str, k: Decimal, kind: str = UNIT) -> Column:
@@ -357,32 +358,35 @@ def anonymize_reviews(reviews: DataFrame, products: DataFrame, salt: str) -> Dat
     )
 
 
-def anonymize(tables: Tables, k: Decimal, salt: str, brand: str | None = None) -> dict[str, DataFrame]:
+def anonymize(tables: Tables, k: Decimal, salt: str, brand: str | None = None) -> Tables:
     """All tables of an anonymised copy: one projection job per table over shared mappings."""
     if not Decimal("0.1") <= k <= 5:
         raise ValueError("k must be between 0.1 and 5")
-    m = build_mappings(tables, salt)
-    out = dict(tables)
-    out["customers"] = anonymize_customers(tables["customers"], k, salt)
-    out["orders"] = anonymize_orders(tables["orders"], m["discount"], k)
-    out["order_attribution"] = anonymize_attribution(tables["order_attribution"], m["utm"], salt, brand)
-    out["order_discounts"] = anonymize_discounts(tables["order_discounts"], m["discount"], k)
-    out["order_line_items"] = anonymize_lines(
-        tables["order_line_items"], m["product"], m["sku"], m["season"], k
-    )
-    out["line_item_discount_allocations"] = tables["line_item_discount_allocations"].withColumn(
-        "allocated_amount", _scaled("allocated_amount", k)
+    t, m = tables, build_mappings(tables, salt)
+    return LazyTables(
+        {
+            "customers": lambda: anonymize_customers(t["customers"], k, salt),
+            "orders": lambda: anonymize_orders(t["orders"], m["discount"], k),
+            "order_attribution": lambda: anonymize_attribution(t["order_attribution"], m["utm"], salt, brand),
+            "order_discounts": lambda: anonymize_discounts(t["order_discounts"], m["discount"], k),
+            "order_line_items": lambda: anonymize_lines(
+                t["order_line_items"], m["product"], m["sku"], m["season"], k
+            ),
+            "line_item_discount_allocations": lambda: t["line_item_discount_allocations"].withColumn(
+                "allocated_amount", _scaled("allocated_amount", k)
+            ),
+            "refund_line_items": lambda: t["refund_line_items"].withColumn("subtotal", _scaled("subtotal", k)),
+            "refunds": lambda: anonymize_refunds(t["refunds"], k),
+            "landing_pages_daily": lambda: anonymize_landing_pages(t["landing_pages_daily"], salt),
+            "campaign_daily": lambda: anonymize_ads(t["campaign_daily"], m, k, "campaign"),
+            "adset_daily": lambda: anonymize_ads(t["adset_daily"], m, k, "campaign", "adset"),
+            "ad_daily": lambda: anonymize_ads(t["ad_daily"], m, k, "campaign", "adset", "ad"),
+            "adset_meta": lambda: anonymize_adset_meta(t["adset_meta"], m["adset"]),
+            "ad_meta": lambda: anonymize_ad_meta(t["ad_meta"], m["ad"], salt),
+            "reviews": lambda: anonymize_reviews(t["reviews"], m["product"], salt),
+        },
+        tables,
     )
-    out["refund_line_items"] = tables["refund_line_items"].withColumn("subtotal", _scaled("subtotal", k))
-    out["refunds"] = anonymize_refunds(tables["refunds"], k)
-    out["landing_pages_daily"] = anonymize_landing_pages(tables["landing_pages_daily"], salt)
-    out["campaign_daily"] = anonymize_ads(tables["campaign_daily"], m, k, "campaign")
-    out["adset_daily"] = anonymize_ads(tables["adset_daily"], m, k, "campaign", "adset")
-    out["ad_daily"] = anonymize_ads(tables["ad_daily"], m, k, "campaign", "adset", "ad")
-    out["adset_meta"] = anonymize_adset_meta(tables["adset_meta"], m["adset"])
-    out["ad_meta"] = anonymize_ad_meta(tables["ad_meta"], m["ad"], salt)
-    out["reviews"] = anonymize_reviews(tables["reviews"], m["product"], salt)
-    return out
 
 
 def _single(df: DataFrame, name: str, value: Column) -> DataFrame:

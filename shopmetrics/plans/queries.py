@@ -27,6 +27,7 @@ from shopmetrics.operators import (
     traffic,
 )
 from shopmetrics.plans import params as p
+from shopmetrics.sources.lazy import LazyTables
 from shopmetrics.sources.star import StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -582,7 +583,7 @@ def perturb_quantity(t):
 @query
 def perturb_quantity_checks(t):
     new = perturb.perturb_quantity(t["order_line_items"], t["orders"], t["refund_line_items"], p.QTY_SALT)
-    return perturb.perturb_quantity_checks(t, {**t, "order_line_items": new})
+    return perturb.perturb_quantity_checks(t, LazyTables({"order_line_items": lambda: new}, t))
 
 
 # --- data quality ------------------------------------------------------------

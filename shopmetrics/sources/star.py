@@ -6,277 +6,231 @@ columns and pushes filters down to the star's Parquet files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.money import TOTAL, UNIT
 from shopmetrics.operators.ingest import resolve_discount_allocations
+from shopmetrics.sources.lazy import LazyTables
 from shopmetrics.sources.schema import DDL
-from shopmetrics.sources.tables import conform, derive_line_columns
+from shopmetrics.sources.tables import derive_line_columns
 
-EVENT_SHIFT_MONTHS = -28 * 12  # moves the events into the range of the orders
 
+@cache
+def _columns(name: str) -> list[tuple[str, str]]:
+    """Declared (column, type) pairs of a canonical table."""
+    fields = DDL[name].replace(" not null", "").split(", ")
+    return [tuple(f.split(" ", 1)) for f in fields]
 
-def _switch(key: Column, cases: Mapping[str, str | None], default: str | None = None) -> Column:
-    out = F
-    for value, label in cases.items():
-        out = out.when(key == value, F.lit(label))
-    return out.otherwise(F.lit(default)).cast("string")
 
+def _declared(df: DataFrame, name: str, exprs: Mapping[str, str]) -> DataFrame:
+    """Project ``df`` to the declared columns and types of a table; columns not given are NULL."""
+    return df.selectExpr(*[f"CAST({exprs.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _columns(name)])
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
 
-class StarTables(Mapping[str, DataFrame]):
-    """Canonical tables by name, each built on first use."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path
-        self._cache: dict[str, DataFrame] = {}
+def _aggs(*exprs: str) -> list[Column]:
+    return [F.expr(e) for e in exprs]
+
+
+def _case(key: str, cases: Mapping[str, str | None], default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN '{k}' THEN " + ("NULL" if v is None else f"'{v}'") for k, v in cases.items())
+    return f"CASE {key} {whens} ELSE {default} END"
+
+
+# Price per unit in whole cents: the line amount divided by the quantity, rounded down.
+_PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
+_PAID = f"round({_PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))), 2)"
+
+
+def _per_unit(amount: str) -> str:
+    cents = f"CAST({amount} * 100 AS BIGINT) div CAST(l_quantity AS INT)"
+    return f"CAST(CAST({cents} AS DECIMAL(14,0)) * 0.01BD AS DECIMAL(12,2))"
 
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._cache:
-            if name not in DDL:
-                raise KeyError(name)
-            build: Callable[[], DataFrame] = getattr(self, f"_{name}")
-            df = conform(build(), name)
-            self._cache[name] = derive_line_columns(df) if name == "order_line_items" else df
-        return self._cache[name]
 
-    def __iter__(self) -> Iterator[str]:
-        return iter(DDL)
+# The star has no line key. The id is a 60-bit digest of the columns that tell
+# lines apart: it needs no window over an order, so an order of any size stays
+# spread over tasks. Joins use it together with the order id.
+_LINE_ID = (
+    "CAST(conv(substring(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    f"date_format(l_shipdate, 'yyyy-MM-dd'), {_PRICE})), 1, 15), 16, 10) AS BIGINT)"
+)
 
-    def __len__(self) -> int:
-        return len(DDL)
+_DISCOUNT_NAME = (
+    "CASE o_orderstatus WHEN 'F' THEN concat('code-', o_custkey % 97) "
+    "WHEN 'O' THEN concat('Auto ', o_orderkey % 7) ELSE 'Manual' END"
+)
+_SOURCE = _case(
+    "concat(left(o_orderpriority, 1), o_orderstatus)",
+    {
+        "1F": "facebook", "1O": "google", "1P": "bing", "2F": "klaviyo", "2O": "attentive", "2P": "attentive",
+        "3F": "google", "3O": "Yahoo", "3P": "Direct", "5F": "Instagram", "5O": "facebook", "5P": "partner",
+    },
+)
+_CHANNEL = _case(
+    "concat(left(o_orderpriority, 1), o_orderstatus)",
+    {
+        "1F": "Paid Social", "1O": "Paid Search", "1P": "Paid", "2F": "Email", "2O": "SMS", "2P": "Text",
+        "3F": "Seo", "3O": None, "3P": "Referral", "5F": None, "5O": "Other", "5P": "Affiliate",
+    },
+)
+
+
+class StarTables(LazyTables):
+    """The canonical tables of one star directory."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__({name: getattr(self, f"_{name}") for name in DDL})
+        self.spark = spark
+        self.path = path
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._raw[name]
 
     # --- orders and lines ----------------------------------------------------
 
     def _star_lines(self) -> DataFrame:
-        """Line items with an id and exact prices.
-
-        The star has no line key; the id is a 60-bit digest of the columns that
-        tell lines apart. It needs no window over an order, so an order of any
-        size stays spread over tasks. Joins use it together with the order id.
-        """
-        li = self.raw("lineitem")
-        price = F.col("l_extendedprice").cast(UNIT)
-        paid = F.round(price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)
-
-        def per_unit(amount: Column) -> Column:
-            cents = F.call_function("div", (amount * 100).cast("bigint"), F.col("l_quantity").cast("int"))
-            return (cents.cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(UNIT)
-
-        digest = F.md5(
-            F.concat_ws(
-                "|",
-                F.col("l_orderkey"),
-                F.col("l_linenumber"),
-                F.col("l_partkey"),
-                F.col("l_suppkey"),
-                F.date_format("l_shipdate", "yyyy-MM-dd"),
-                price,
+        """Line items with an id and exact prices."""
+        if "_lines" not in self._raw:
+            self._raw["_lines"] = self.raw("lineitem").selectExpr(
+                "l_orderkey AS order_id",
+                f"{_LINE_ID} AS line_item_id",
+                "l_partkey AS part_id",
+                "l_linenumber AS line_no",
+                "CAST(l_quantity AS INT) AS quantity",
+                f"{_per_unit(_PRICE)} AS original_unit_price",
+                f"{_per_unit(_PAID)} AS discounted_unit_price",
+                "l_discount > 0 AS has_discount",
+                "l_returnflag AS return_flag",
+                "l_linestatus AS status",
+                "l_shipdate AS shipped_at",
             )
-        )
-        return li.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("line_item_id"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            per_unit(price).alias("original_unit_price"),
-            per_unit(paid).alias("discounted_unit_price"),
-            (F.col("l_discount") > 0).alias("has_discount"),
-            F.col("l_returnflag").alias("return_flag"),
-            F.col("l_linestatus").alias("status"),
-            F.col("l_shipdate").alias("shipped_at"),
-        )
+        return self._raw["_lines"]
 
     def _order_line_items(self) -> DataFrame:
-        part = self.raw("part")
-        returned = F.when(F.col("return_flag") == "R", F.col("quantity")).otherwise(0)
-        fulfilled = F.col("status") == "F"
-        return (
-            self._star_lines()
-            .join(part, F.col("part_id") == part["p_partkey"], "left")
-            .select(
-                "line_item_id",
-                "order_id",
-                F.when(F.col("p_brand") == "Brand#1", F.lit("x-redo"))
-                .when(F.col("p_brand") == "Brand#2", _text("ROUTEINS-", F.col("part_id")))
-                .otherwise(_text("SKU-", F.col("part_id")))
-                .alias("sku"),
-                F.col("p_name").alias("title"),
-                "quantity",
-                (F.col("quantity") - returned).alias("current_quantity"),
-                F.when(fulfilled, 0).otherwise(F.col("quantity")).alias("unfulfilled_quantity"),
-                F.lit(0).alias("non_fulfillable_quantity"),
-                F.when(fulfilled, "FULFILLED").otherwise("UNFULFILLED").alias("line_status"),
-                "original_unit_price",
-                "discounted_unit_price",
-                F.lit("USD").alias("currency"),
-                F.col("p_type").alias("season_code"),
-                returned.alias("returned_quantity"),
-            )
-        )
+        part = self.raw("part").selectExpr("p_partkey AS part_id", "p_name", "p_brand", "p_type")
+        lines = self._star_lines().join(part, "part_id", "left")
+        returned = "IF(return_flag = 'R', quantity, 0)"
+        exprs = {
+            **_same("line_item_id", "order_id", "quantity", "original_unit_price", "discounted_unit_price"),
+            "sku": "CASE p_brand WHEN 'Brand#1' THEN 'x-redo' WHEN 'Brand#2' THEN concat('ROUTEINS-', part_id) "
+            "ELSE concat('SKU-', part_id) END",
+            "title": "p_name",
+            "current_quantity": f"quantity - {returned}",
+            "unfulfilled_quantity": "IF(status = 'F', 0, quantity)",
+            "non_fulfillable_quantity": "0",
+            "line_status": "IF(status = 'F', 'FULFILLED', 'UNFULFILLED')",
+            "currency": "'USD'",
+            "season_code": "p_type",
+            "returned_quantity": returned,
+        }
+        return derive_line_columns(_declared(lines, "order_line_items", exprs))
 
     def _refund_line_items(self) -> DataFrame:
-        return self._star_lines().filter(F.col("return_flag") == "R").select(
-            F.col("line_item_id").alias("id"),
-            F.col("line_item_id").alias("refund_id"),
-            "order_id",
-            "line_item_id",
-            F.col("shipped_at").alias("processed_at"),
-            "quantity",
-            (F.col("discounted_unit_price") * F.col("quantity")).alias("subtotal"),
-            F.lit("RETURN").alias("restock_type"),
-        )
+        exprs = {
+            **_same("order_id", "line_item_id", "quantity"),
+            "id": "line_item_id",
+            "refund_id": "line_item_id",
+            "processed_at": "shipped_at",
+            "subtotal": "discounted_unit_price * quantity",
+            "restock_type": "'RETURN'",
+        }
+        return _declared(self._star_lines().filter("return_flag = 'R'"), "refund_line_items", exprs)
 
     def _refunds(self) -> DataFrame:
         """Refund headers: one per returned line, and one without a line for some accepted lines."""
-        lines = self._star_lines()
-        returned = F.col("return_flag") == "R"
-        goodwill = (F.col("return_flag") == "A") & (F.col("line_no") == 1)
-        cash = (
-            F.when(goodwill, F.col("discounted_unit_price"))
-            .when(F.col("line_no") == 2, F.lit(0))
-            .otherwise(F.col("discounted_unit_price") * F.col("quantity"))
-        )
-        return lines.filter(returned | goodwill).select(
-            F.col("line_item_id").alias("refund_id"),
-            "order_id",
-            F.col("shipped_at").alias("processed_at"),
-            cash.alias("total_refunded"),
-            F.lit("USD").alias("currency"),
-            F.when(goodwill, F.lit(None))
-            .when(F.col("line_no") % 2 == 0, F.lit("Redo return"))
-            .otherwise(F.lit("Damaged item"))
-            .alias("note"),
-        )
+        rows = self._star_lines().filter("return_flag = 'R' OR (return_flag = 'A' AND line_no = 1)")
+        exprs = {
+            "refund_id": "line_item_id",
+            "order_id": "order_id",
+            "processed_at": "shipped_at",
+            "total_refunded": "CASE WHEN return_flag = 'A' THEN discounted_unit_price WHEN line_no = 2 THEN 0 "
+            "ELSE discounted_unit_price * quantity END",
+            "currency": "'USD'",
+            "note": "CASE WHEN return_flag = 'A' THEN NULL WHEN line_no % 2 = 0 THEN 'Redo return' "
+            "ELSE 'Damaged item' END",
+        }
+        return _declared(rows, "refunds", exprs)
 
     def _orders(self) -> DataFrame:
-        refunded = (
-            self._star_lines()
-            .filter(F.col("return_flag") == "R")
-            .groupBy("order_id")
-            .agg(F.sum(F.col("discounted_unit_price") * F.col("quantity")).cast(TOTAL).alias("refunded"))
-        )
-        total = F.col("o_totalprice").cast(UNIT)
-        back = F.coalesce(F.col("refunded"), F.lit(0)).cast(TOTAL)
-        status = F.col("o_orderstatus")
-        o = self.raw("orders")
-        return o.join(refunded, F.col("o_orderkey") == refunded["order_id"], "left").select(
-            F.col("o_orderkey").alias("order_id"),
-            _text("#", F.col("o_orderkey")).alias("order_name"),
-            F.col("o_orderdate").alias("created_at"),
-            F.when(F.col("refunded").isNull(), "PAID").otherwise("PARTIALLY_REFUNDED").alias("financial_status"),
-            F.when(status == "F", "FULFILLED").otherwise("UNFULFILLED").alias("fulfillment_status"),
-            F.lit(None).alias("cancelled_at"),
-            F.lit(None).alias("cancel_reason"),
-            total.alias("total_amount"),
-            (total - back).alias("current_total"),
-            total.alias("total_paid"),
-            back.alias("total_refunded"),
-            (total - back).alias("net_payment"),
-            F.lit("USD").alias("currency"),
-            F.when(status == "F", _text(" Code-", F.col("o_custkey") % 97)).alias("discount_code"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("synced_at"),
-        )
+        returned = self._star_lines().filter("return_flag = 'R'")
+        refunded = returned.selectExpr(
+            "order_id AS o_orderkey", "discounted_unit_price * quantity AS subtotal"
+        ).groupBy("o_orderkey").agg(*_aggs("sum(subtotal) AS refunded"))
+        total, back = "CAST(o_totalprice AS DECIMAL(12,2))", "coalesce(refunded, 0)"
+        exprs = {
+            "order_id": "o_orderkey",
+            "order_name": "concat('#', o_orderkey)",
+            "created_at": "o_orderdate",
+            "financial_status": "IF(refunded IS NULL, 'PAID', 'PARTIALLY_REFUNDED')",
+            "fulfillment_status": "IF(o_orderstatus = 'F', 'FULFILLED', 'UNFULFILLED')",
+            "total_amount": total,
+            "current_total": f"{total} - {back}",
+            "total_paid": total,
+            "total_refunded": back,
+            "net_payment": f"{total} - {back}",
+            "currency": "'USD'",
+            "discount_code": "IF(o_orderstatus = 'F', concat(' Code-', o_custkey % 97), NULL)",
+            "customer_id": "o_custkey",
+            "synced_at": "o_orderdate",
+        }
+        return _declared(self.raw("orders").join(refunded, "o_orderkey", "left"), "orders", exprs)
 
     def _order_attribution(self) -> DataFrame:
-        prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-        key = F.concat(F.substring(prio, 1, 1), status)
-        channel = _switch(
-            key,
-            {
-                "1F": "Paid Social", "1O": "Paid Search", "1P": "Paid",
-                "2F": "Email", "2O": "SMS", "2P": "Text",
-                "3F": "Seo", "3O": None, "3P": "Referral",
-                "5F": None, "5O": "Other", "5P": "Affiliate",
-            },
-        )
-        source = _switch(
-            key,
-            {
-                "1F": "facebook", "1O": "google", "1P": "bing",
-                "2F": "klaviyo", "2O": "attentive", "2P": "attentive",
-                "3F": "google", "3O": "Yahoo", "3P": "Direct",
-                "5F": "Instagram", "5O": "facebook", "5P": "partner",
-            },
-        )
-        return (
-            self.raw("orders")
-            .filter(prio != "4-NOT SPECIFIED")
-            .select(
-                F.col("o_orderkey").alias("order_id"),
-                source.alias("traffic_source"),
-                channel.alias("traffic_channel"),
-                F.lit(None).alias("source_type"),
-                _switch(status, {"F": "mobile", "O": "desktop"}, "tablet").alias("device_type"),
-                F.lit(None).alias("device_model"),
-                _text("agent/", F.col("o_custkey") % 5).alias("user_agent"),
-                _text("https://", F.lower(source), ".example.com/search?q=", F.col("o_orderkey")).alias("referrer_url"),
-                _text("https://shop.example.com/products/p", F.col("o_orderkey") % 500, "?ref=mail#top").alias(
-                    "landing_page"
-                ),
-                F.lit(None).alias("utm_source"),
-                F.lit(None).alias("utm_medium"),
-                F.when(F.col("o_custkey") % 3 > 0, _text("utm-", F.col("o_custkey") % 40)).alias("utm_campaign"),
-                _text("content-", F.col("o_orderkey") % 9).alias("utm_content"),
-                F.lit(None).alias("utm_term"),
-                (F.col("o_orderkey") % 30).alias("days_to_conversion"),
-                (status != "P").alias("journey_ready"),
-                F.col("o_orderdate").alias("updated_at"),
-            )
-        )
+        exprs = {
+            "order_id": "o_orderkey",
+            "traffic_source": _SOURCE,
+            "traffic_channel": _CHANNEL,
+            "device_type": _case("o_orderstatus", {"F": "mobile", "O": "desktop"}, "'tablet'"),
+            "user_agent": "concat('agent/', o_custkey % 5)",
+            "referrer_url": f"concat('https://', lower({_SOURCE}), '.example.com/search?q=', o_orderkey)",
+            "landing_page": "concat('https://shop.example.com/products/p', o_orderkey % 500, '?ref=mail#top')",
+            "utm_campaign": "IF(o_custkey % 3 > 0, concat('utm-', o_custkey % 40), NULL)",
+            "utm_content": "concat('content-', o_orderkey % 9)",
+            "days_to_conversion": "o_orderkey % 30",
+            "journey_ready": "o_orderstatus != 'P'",
+            "updated_at": "o_orderdate",
+        }
+        attributed = self.raw("orders").filter("o_orderpriority != '4-NOT SPECIFIED'")
+        return _declared(attributed, "order_attribution", exprs)
 
     def _order_discounts(self) -> DataFrame:
-        o = self.raw("orders")
-        status, key = F.col("o_orderstatus"), F.col("o_orderkey")
-        second = F.col("position") == 1
-        positions = F.when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        return o.withColumn("position", F.explode(positions)).select(
-            (key * 2 + F.col("position")).alias("id"),
-            key.alias("order_id"),
-            "position",
-            F.when(second, "CODE").otherwise(_switch(status, {"F": "CODE", "O": "AUTOMATIC"}, "MANUAL")).alias("kind"),
-            F.when(second, _text("vip-", key % 13)).otherwise(self._discount_name()).alias("code_or_title"),
-            F.when(~second & (status == "P"), _text("note ", key)).alias("description"),
-            F.when(~second & (status != "O"), key % 50 + 1).alias("value_amount"),
-            F.when(second, 15).when(status == "O", 10).alias("value_percentage"),
-            F.lit("USD").alias("currency"),
-            F.lit("ACROSS").alias("allocation_method"),
-            F.lit("ALL").alias("target_selection"),
-            F.lit("LINE_ITEM").alias("target_type"),
-        )
-
-    @staticmethod
-    def _discount_name() -> Column:
-        status = F.col("o_orderstatus")
-        return (
-            F.when(status == "F", _text("code-", F.col("o_custkey") % 97))
-            .when(status == "O", _text("Auto ", F.col("o_orderkey") % 7))
-            .otherwise("Manual")
-        )
+        positions = "explode(IF(o_orderpriority = '2-HIGH', array(0, 1), array(0))) AS position"
+        rows = self.raw("orders").selectExpr("*", positions)
+        exprs = {
+            "id": "o_orderkey * 2 + position",
+            "order_id": "o_orderkey",
+            "position": "position",
+            "kind": f"IF(position = 1, 'CODE', {_case('o_orderstatus', {'F': 'CODE', 'O': 'AUTOMATIC'}, "'MANUAL'")})",
+            "code_or_title": f"IF(position = 1, concat('vip-', o_orderkey % 13), {_DISCOUNT_NAME})",
+            "description": "IF(position = 0 AND o_orderstatus = 'P', concat('note ', o_orderkey), NULL)",
+            "value_amount": "IF(position = 0 AND o_orderstatus != 'O', o_orderkey % 50 + 1, NULL)",
+            "value_percentage": "CASE WHEN position = 1 THEN 15 WHEN o_orderstatus = 'O' THEN 10 END",
+            "currency": "'USD'",
+            "allocation_method": "'ACROSS'",
+            "target_selection": "'ALL'",
+            "target_type": "'LINE_ITEM'",
+        }
+        return _declared(rows, "order_discounts", exprs)
 
     def named_allocations(self) -> DataFrame:
         """Discount allocations as delivered: they name the discount by code or title."""
-        lines = self._star_lines().filter("has_discount")
-        o = self.raw("orders")
-        amount = (F.col("original_unit_price") - F.col("discounted_unit_price")) * F.col("quantity")
-        return lines.join(o, F.col("order_id") == o["o_orderkey"]).select(
-            F.col("line_item_id").alias("id"),
+        names = self.raw("orders").selectExpr("o_orderkey AS order_id", f"{_DISCOUNT_NAME} AS code_or_title")
+        return self._star_lines().filter("has_discount").join(names, "order_id").selectExpr(
+            "line_item_id AS id",
+            "order_id",
             "line_item_id",
-            self._discount_name().alias("code_or_title"),
-            amount.cast(UNIT).alias("allocated_amount"),
-            F.lit("USD").alias("currency"),
+            "code_or_title",
+            "CAST((original_unit_price - discounted_unit_price) * quantity AS DECIMAL(12,2)) AS allocated_amount",
+            "'USD' AS currency",
         )
 
     def _line_item_discount_allocations(self) -> DataFrame:
@@ -285,256 +239,250 @@ class StarTables(Mapping[str, DataFrame]):
         )
 
     def _customers(self) -> DataFrame:
-        o = self["orders"]
-        when_id = F.struct("created_at", "order_id")
-        stats = o.groupBy("customer_id").agg(
-            F.count("*").cast("int").alias("n"),
-            F.sum("net_payment").cast(TOTAL).alias("spent"),
-            F.min("created_at").alias("first_at"),
-            F.max("created_at").alias("last_at"),
-            F.min(when_id)["order_id"].alias("first_id"),
-            F.max(when_id)["order_id"].alias("last_id"),
+        home = (
+            self.raw("customer")
+            .join(self.raw("nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey", "left")
+            .join(self.raw("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "left")
         )
-        c, nation, region = self.raw("customer"), self.raw("nation"), self.raw("region")
+        exprs = {
+            "customer_id": "c_custkey",
+            "email": "concat(lower(replace(c_name, '#', '.')), '@mail.test')",
+            "display_name": "c_name",
+            "customer_since": "first_at",
+            "first_purchase_at": "first_at",
+            "first_order_id": "first_key.order_id",
+            "last_order_at": "last_at",
+            "last_order_id": "last_key.order_id",
+            "number_of_orders": "coalesce(n, 0)",
+            "amount_spent": "spent",
+            "currency": "'USD'",
+            "province": "r_name",
+            "country": "n_name",
+            "zip": "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0')",
+            "tags": "c_mktsegment",
+            "updated_at": "TIMESTAMP_NTZ '2001-08-01 00:00:00'",
+        }
+        return _declared(home.join(self._order_stats(), "c_custkey", "left"), "customers", exprs)
+
+    def _order_stats(self) -> DataFrame:
+        """Lifetime statistics per customer; columns nobody reads are pruned from the aggregate."""
         return (
-            c.join(stats, F.col("c_custkey") == stats["customer_id"], "left")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .select(
-                F.col("c_custkey").alias("customer_id"),
-                _text(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), "@mail.test").alias("email"),
-                F.col("c_name").alias("display_name"),
-                F.col("first_at").alias("customer_since"),
-                F.col("first_at").alias("first_purchase_at"),
-                F.col("first_id").alias("first_order_id"),
-                F.col("last_at").alias("last_order_at"),
-                F.col("last_id").alias("last_order_id"),
-                F.lit(None).alias("last_visit_at"),
-                F.lit(None).alias("last_visit_source"),
-                F.coalesce("n", F.lit(0)).alias("number_of_orders"),
-                F.col("spent").alias("amount_spent"),
-                F.lit("USD").alias("currency"),
-                F.lit(None).alias("city"),
-                F.col("r_name").alias("province"),
-                F.lit(None).alias("province_code"),
-                F.col("n_name").alias("country"),
-                F.lit(None).alias("country_code"),
-                F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("zip"),
-                F.col("c_mktsegment").alias("tags"),
-                F.lit("2001-08-01").cast("timestamp_ntz").alias("updated_at"),
+            self["orders"]
+            .selectExpr("customer_id AS c_custkey", "net_payment", "created_at", "struct(created_at, order_id) AS key")
+            .groupBy("c_custkey")
+            .agg(
+                *_aggs(
+                    "count(*) AS n",
+                    "sum(net_payment) AS spent",
+                    "min(created_at) AS first_at",
+                    "max(created_at) AS last_at",
+                    "min(key) AS first_key",
+                    "max(key) AS last_key",
+                )
             )
         )
 
     # --- traffic and ads -----------------------------------------------------
 
     def _star_events(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("bigint")
-        adset = _text("as", k, "-", F.col("user_id") % 3)
-        return self.raw("events").select(
-            F.add_months(F.col("ts").cast("date"), EVENT_SHIFT_MONTHS).alias("day"),
+        """Events moved back 28 years, into the range of the orders."""
+        keyed = self.raw("events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+        return keyed.selectExpr(
+            "add_months(CAST(ts AS DATE), -336) AS session_date",
             "user_id",
             "event_type",
-            F.col("value").cast(UNIT).alias("value"),
-            F.when(k % 2 == 0, "meta").otherwise("pinterest").alias("platform"),
-            k.cast("string").alias("campaign_id"),
-            _text("Campaign ", k, F.when(F.dayofmonth(F.col("ts")) <= 15, " a").otherwise(" b")).alias("campaign_name"),
-            adset.alias("adset_id"),
-            _text(adset, "-", F.col("user_id") % 2).alias("ad_id"),
+            "CAST(value AS DECIMAL(12,2)) AS value",
+            "IF(k % 2 = 0, 'meta', 'pinterest') AS platform",
+            "CAST(k AS STRING) AS campaign_id",
+            "concat('Campaign ', k, IF(dayofmonth(ts) <= 15, ' a', ' b')) AS campaign_name",
+            "concat('as', k, '-', user_id % 3) AS adset_id",
+            "concat('as', k, '-', user_id % 3, '-', user_id % 2) AS ad_id",
         )
 
-    def _traffic(self, keys: Mapping[str, Column]) -> DataFrame:
-        new = F.when(F.col("event_type") == "signup", F.col("user_id"))
-        return (
+    def _traffic(self, name: str, keys: Mapping[str, str]) -> DataFrame:
+        daily = (
             self._star_events()
-            .withColumns(dict(keys))
-            .groupBy(F.col("day").alias("session_date"), *keys)
-            .agg(
-                F.count("*").alias("sessions"),
-                F.countDistinct("user_id").alias("total_users"),
-                *([F.countDistinct(new).alias("new_users")] if "new_vs_returning" in keys else []),
-            )
-            .withColumn("updated_at", F.col("session_date").cast("timestamp_ntz"))
+            .selectExpr("*", *[f"{e} AS {k}" for k, e in keys.items()])
+            .groupBy("session_date", *keys)
+            .agg(*_aggs("count(*) AS sessions", "count(DISTINCT user_id) AS total_users"))
         )
+        exprs = {**_same("session_date", *keys, "sessions", "total_users"), "updated_at": "CAST(session_date AS TIMESTAMP_NTZ)"}
+        if name == "visitors_daily":
+            exprs["new_users"] = "IF(new_vs_returning = 'new', total_users, 0)"
+        return _declared(daily, name, exprs)
 
     def _sessions_daily(self) -> DataFrame:
         names = {"view": "search", "click": "social", "purchase": "direct", "signup": "email"}
-        return self._traffic({"referrer_source": _switch(F.col("event_type"), names, "unknown")})
+        return self._traffic("sessions_daily", {"referrer_source": _case("event_type", names, "'unknown'")})
 
     def _visitors_daily(self) -> DataFrame:
-        return self._traffic(
-            {"new_vs_returning": _switch(F.col("event_type"), {"signup": "new", "error": "unknown"}, "returning")}
-        )
+        names = {"signup": "new", "error": "unknown"}
+        return self._traffic("visitors_daily", {"new_vs_returning": _case("event_type", names, "'returning'")})
 
     def _channel_daily(self) -> DataFrame:
-        kind, even = F.col("event_type"), F.col("user_id") % 2 == 0
-        group = F.when(
-            kind == "click", F.when(even, "Cross-network").otherwise("Paid Shopping")
-        ).otherwise(
-            _switch(kind, {"view": "Organic Search", "purchase": "Paid Social", "signup": "Email"}, "Direct")
-        )
+        groups = {"view": "Organic Search", "purchase": "Paid Social", "signup": "Email"}
+        sources = {"view": "google", "click": "google", "purchase": "facebook", "signup": "klaviyo"}
+        clicked = "IF(user_id % 2 = 0, 'Cross-network', 'Paid Shopping')"
         return self._traffic(
+            "channel_daily",
             {
-                "channel_group": group,
-                "source": _switch(kind, {"view": "google", "click": "google", "purchase": "facebook", "signup": "klaviyo"}, "direct"),
-                "medium": F.when(even, "cpc").otherwise("organic"),
-            }
+                "channel_group": f"IF(event_type = 'click', {clicked}, {_case('event_type', groups, "'Direct'")})",
+                "source": _case("event_type", sources, "'direct'"),
+                "medium": "IF(user_id % 2 = 0, 'cpc', 'organic')",
+            },
         )
 
     def _device_daily(self) -> DataFrame:
-        return self._traffic(
-            {"device_category": _switch(F.col("event_type"), {"view": "mobile", "click": "desktop"}, "tablet")}
-        )
+        names = {"view": "mobile", "click": "desktop"}
+        return self._traffic("device_daily", {"device_category": _case("event_type", names, "'tablet'")})
 
     def _region_daily(self) -> DataFrame:
         return self._traffic(
+            "region_daily",
             {
-                "country": F.when(F.col("user_id") % 3 == 0, "Canada").otherwise("United States"),
-                "region": _text("State ", F.col("user_id") % 50),
-            }
+                "country": "IF(user_id % 3 = 0, 'Canada', 'United States')",
+                "region": "concat('State ', user_id % 50)",
+            },
         )
 
     def _landing_pages_daily(self) -> DataFrame:
-        url = F.replace(F.col("url"), F.lit("/en/"), F.lit("/products/"))
-        url = F.replace(url, F.lit("/fr/"), F.lit("/collections/"))
-        day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("page_id") % 30).cast("int"))
-        return (
+        pages = (
             self.raw("pages")
-            .groupBy(day.alias("session_date"), url.alias("landing_page"))
-            .agg(
-                F.sum(F.col("page_id") % 7 + 1).alias("sessions"),
-                F.sum(F.col("page_id") % 3).alias("engaged_sessions"),
+            .selectExpr(
+                "date_add(DATE '1996-01-01', CAST(page_id % 30 AS INT)) AS session_date",
+                "replace(replace(url, '/en/', '/products/'), '/fr/', '/collections/') AS landing_page",
+                "page_id",
             )
-            .withColumn("updated_at", F.col("session_date").cast("timestamp_ntz"))
+            .groupBy("session_date", "landing_page")
+            .agg(*_aggs("sum(page_id % 7 + 1) AS sessions", "sum(page_id % 3) AS engaged_sessions"))
         )
-
-    def _ads(self, *extra: str) -> DataFrame:
-        kind = F.col("event_type")
-
-        def count(name: str) -> Column:
-            return F.count(F.when(kind == name, 1))
-
-        def total(name: str) -> Column:
-            return F.coalesce(F.sum(F.when(kind == name, F.col("value"))), F.lit(0))
-
-        return (
+        exprs = {
+            **_same("session_date", "landing_page", "sessions", "engaged_sessions"),
+            "updated_at": "CAST(session_date AS TIMESTAMP_NTZ)",
+        }
+        return _declared(pages, "landing_pages_daily", exprs)
+
+    def _ads(self, name: str, *extra: str) -> DataFrame:
+        daily = (
             self._star_events()
-            .groupBy(F.col("day").alias("date"), "platform", "campaign_id", "campaign_name", *extra)
+            .groupBy("session_date", "platform", "campaign_id", "campaign_name", *extra)
             .agg(
-                total("click").alias("spend"),
-                count("view").alias("impressions"),
-                count("click").alias("clicks"),
-                count("purchase").alias("purchases"),
-                total("purchase").alias("purchase_value"),
+                *_aggs(
+                    "coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) AS spend",
+                    "count_if(event_type = 'view') AS impressions",
+                    "count_if(event_type = 'click') AS clicks",
+                    "count_if(event_type = 'purchase') AS purchases",
+                    "coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) AS purchase_value",
+                )
             )
-            .withColumns({"currency": F.lit("USD"), "updated_at": F.col("date").cast("timestamp_ntz")})
         )
+        exprs = {
+            **_same("platform", "campaign_id", "campaign_name", *extra),
+            **_same("spend", "impressions", "clicks", "purchases", "purchase_value"),
+            "date": "session_date",
+            "adset_name": "concat('Set ', adset_id)",
+            "ad_name": "concat('Ad ', ad_id)",
+            "status": "'ACTIVE'",
+            "currency": "'USD'",
+            "updated_at": "CAST(session_date AS TIMESTAMP_NTZ)",
+        }
+        return _declared(daily, name, exprs)
 
     def _campaign_daily(self) -> DataFrame:
-        return self._ads().withColumn("status", F.lit("ACTIVE"))
+        return self._ads("campaign_daily")
 
     def _adset_daily(self) -> DataFrame:
-        return self._ads("adset_id").withColumn("adset_name", _text("Set ", F.col("adset_id")))
+        return self._ads("adset_daily", "adset_id")
 
     def _ad_daily(self) -> DataFrame:
-        return self._ads("adset_id", "ad_id").withColumns(
-            {"adset_name": _text("Set ", F.col("adset_id")), "ad_name": _text("Ad ", F.col("ad_id"))}
-        )
+        return self._ads("ad_daily", "adset_id", "ad_id")
 
     def _adset_meta(self) -> DataFrame:
         sets = self._star_events().select("platform", "adset_id").distinct()
-        kind = F.substring_index("adset_id", "-", -1)
-        return sets.select(
-            "platform",
-            "adset_id",
-            F.lit("ACTIVE").alias("status"),
-            _switch(kind, {"0": "lookalike", "1": "interest"}, "broad").alias("targeting_type"),
-            F.when(kind == "0", _text("Buyers of ", F.col("adset_id"))).alias("lookalike_source"),
-            F.when(kind != "2", _text("Audience ", F.col("adset_id"))).alias("audiences"),
-            F.lit("US").alias("geo"),
-            _text('{"set": "', F.col("adset_id"), '"}').alias("targeting_raw"),
-            F.lit("2001-08-01").cast("timestamp_ntz").alias("updated_at"),
-        )
+        kind = "substring_index(adset_id, '-', -1)"
+        exprs = {
+            **_same("platform", "adset_id"),
+            "status": "'ACTIVE'",
+            "targeting_type": _case(kind, {"0": "lookalike", "1": "interest"}, "'broad'"),
+            "lookalike_source": f"IF({kind} = '0', concat('Buyers of ', adset_id), NULL)",
+            "audiences": f"IF({kind} != '2', concat('Audience ', adset_id), NULL)",
+            "geo": "'US'",
+            "targeting_raw": "to_json(named_struct('set', adset_id))",
+            "updated_at": "TIMESTAMP_NTZ '2001-08-01 00:00:00'",
+        }
+        return _declared(sets, "adset_meta", exprs)
 
     def _ad_meta(self) -> DataFrame:
         ads = self._star_events().select("platform", "ad_id").distinct()
-        odd = F.substring_index("ad_id", "-", -1) == "1"
-        return ads.select(
-            "platform",
-            "ad_id",
-            F.lit("ACTIVE").alias("status"),
-            _text("c-", F.col("ad_id")).alias("creative_id"),
-            F.when(odd, "video").otherwise("image").alias("creative_format"),
-            F.when(odd, _text("https://shop.example.com/collections/", F.col("ad_id"), "?x=1")).alias("landing_url"),
-            (~odd).alias("is_dynamic"),
-            F.lit("2001-08-01").cast("timestamp_ntz").alias("updated_at"),
-        )
+        odd = "substring_index(ad_id, '-', -1) = '1'"
+        exprs = {
+            **_same("platform", "ad_id"),
+            "status": "'ACTIVE'",
+            "creative_id": "concat('c-', ad_id)",
+            "creative_format": f"IF({odd}, 'video', 'image')",
+            "landing_url": f"IF({odd}, concat('https://shop.example.com/collections/', ad_id, '?x=1'), NULL)",
+            "is_dynamic": f"NOT ({odd})",
+            "updated_at": "TIMESTAMP_NTZ '2001-08-01 00:00:00'",
+        }
+        return _declared(ads, "ad_meta", exprs)
 
     # --- reviews and notes ---------------------------------------------------
 
     def _reviews(self) -> DataFrame:
-        d, lab, part = self.raw("documents"), self.raw("labels"), self.raw("part")
-        made = F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") % 900).cast("int")).cast("timestamp_ntz")
-        pictured = F.col("id") % 10 == 0
-        return (
-            lab.join(d, "doc_id")
-            .join(part, F.col("doc_id") == part["p_partkey"], "left")
-            .withColumnRenamed("doc_id", "id")
-            .select(
-                "id",
-                F.when(F.col("quality") == 1, 5).when(F.col("toxic") == 1, 1).otherwise(2 + F.col("id") % 2).alias("rating"),
-                _text(F.col("lang"), " ", F.col("source")).alias("title"),
-                F.col("text").alias("body"),
-                made.alias("created_at"),
-                made.alias("updated_at"),
-                F.lit("verified-purchase").alias("verified"),
-                F.lit(True).alias("published"),
-                F.lit("ok").alias("curated"),
-                F.lit(False).alias("hidden"),
-                F.lit(False).alias("featured"),
-                F.col("source"),
-                F.col("p_partkey").alias("product_external_id"),
-                F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("product_handle"),
-                F.col("p_name").alias("product_title"),
-                _text("10.0.0.", F.col("id") % 256).alias("ip_address"),
-                (F.col("id") * 7).alias("reviewer_id"),
-                F.when(F.col("id") % 4 > 0, F.col("id") * 11).alias("reviewer_external_id"),
-                _text("Reviewer ", F.col("id")).alias("reviewer_name"),
-                _text("reviewer", F.col("id"), "@mail.test").alias("reviewer_email"),
-                pictured.alias("has_pictures"),
-                F.lit(False).alias("has_videos"),
-                F.when(pictured, F.lit('["p.jpg"]')).alias("pictures"),
-                made.alias("synced_at"),
-            )
-        )
+        part = self.raw("part").selectExpr("p_partkey AS doc_id", "p_partkey", "p_name")
+        rows = self.raw("labels").join(self.raw("documents"), "doc_id").join(part, "doc_id", "left")
+        made = "CAST(date_add(DATE '1999-01-01', CAST(doc_id % 900 AS INT)) AS TIMESTAMP_NTZ)"
+        exprs = {
+            "id": "doc_id",
+            "rating": "CASE WHEN quality = 1 THEN 5 WHEN toxic = 1 THEN 1 ELSE 2 + doc_id % 2 END",
+            "title": "concat(lang, ' ', source)",
+            "body": "text",
+            "created_at": made,
+            "updated_at": made,
+            "verified": "'verified-purchase'",
+            "published": "true",
+            "curated": "'ok'",
+            "hidden": "false",
+            "featured": "false",
+            "source": "source",
+            "product_external_id": "p_partkey",
+            "product_handle": "replace(p_name, ' ', '-')",
+            "product_title": "p_name",
+            "ip_address": "concat('10.0.0.', doc_id % 256)",
+            "reviewer_id": "doc_id * 7",
+            "reviewer_external_id": "IF(doc_id % 4 > 0, doc_id * 11, NULL)",
+            "reviewer_name": "concat('Reviewer ', doc_id)",
+            "reviewer_email": "concat('reviewer', doc_id, '@mail.test')",
+            "has_pictures": "doc_id % 10 = 0",
+            "has_videos": "false",
+            "pictures": """IF(doc_id % 10 = 0, '["p.jpg"]', NULL)""",
+            "synced_at": made,
+        }
+        return _declared(rows, "reviews", exprs)
 
     def _annotations(self) -> DataFrame:
         """Notes taken from the error, signup and purchase events."""
-        kind = F.col("event_type")
-        return (
-            self.raw("events")
-            .filter(kind.isin("error", "signup", "purchase"))
-            .select(
-                F.col("event_id").alias("id"),
-                F.add_months(F.col("ts").cast("date"), EVENT_SHIFT_MONTHS).alias("date"),
-                _text(kind, " by user ", F.col("user_id")).alias("title"),
-                F.when(F.col("value") > 100, F.col("props")).alias("description"),
-                _switch(kind, {"error": "incident", "signup": "campaign"}, "promotion").alias("category"),
-                F.col("ts").alias("created_at"),
-                _text("user ", F.col("user_id")).alias("created_by"),
-                F.col("ts").alias("updated_at"),
-            )
+        exprs = {
+            "id": "event_id",
+            "date": "add_months(CAST(ts AS DATE), -336)",
+            "title": "concat(event_type, ' by user ', user_id)",
+            "description": "IF(value > 100, props, NULL)",
+            "category": _case("event_type", {"error": "incident", "signup": "campaign"}, "'promotion'"),
+            "created_at": "ts",
+            "created_by": "concat('user ', user_id)",
+            "updated_at": "ts",
+        }
+        return _declared(
+            self.raw("events").filter("event_type IN ('error', 'signup', 'purchase')"), "annotations", exprs
         )
 
     def annotation_requests(self) -> DataFrame:
         """Unvalidated notes: some miss a date or a title, are too long or name an unknown category."""
-        kind, n = F.col("event_type"), F.col("event_id")
-        return self.raw("events").select(
-            F.when(n % 11 > 0, F.add_months(F.col("ts").cast("date"), EVENT_SHIFT_MONTHS)).alias("date"),
-            F.when(n % 13 == 0, "")
-            .when(n % 17 == 0, F.repeat(kind, 40))
-            .otherwise(_text(kind, " ", n))
-            .alias("title"),
-            F.when(n % 19 == 0, F.repeat(F.col("props"), 30)).alias("description"),
-            _switch(kind, {"error": "incident", "signup": "campaign", "click": "party"}).alias("category"),
-            _text("user ", F.col("user_id")).alias("created_by"),
+        return self.raw("events").selectExpr(
+            "IF(event_id % 11 > 0, add_months(CAST(ts AS DATE), -336), NULL) AS date",
+            "CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN repeat(event_type, 40) "
+            "ELSE concat(event_type, ' ', event_id) END AS title",
+            "IF(event_id % 19 = 0, repeat(props, 30), NULL) AS description",
+            _case("event_type", {"error": "incident", "signup": "campaign", "click": "party"}) + " AS category",
+            "concat('user ', user_id) AS created_by",
         )

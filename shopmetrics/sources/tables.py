@@ -15,11 +15,10 @@ from shopmetrics.sources.schema import DDL, GENERATED, table_schema
 
 def derive_line_columns(lines: DataFrame) -> DataFrame:
     """Add the generated columns: ``is_returned`` and ``net_sales``."""
-    return lines.withColumns(
-        {
-            "is_returned": F.col("returned_quantity") > 0,
-            "net_sales": (F.col("discounted_unit_price") * F.col("current_quantity")).cast(UNIT),
-        }
+    return lines.selectExpr(
+        *[c for c in lines.columns if c not in GENERATED["order_line_items"]],
+        "returned_quantity > 0 AS is_returned",
+        f"CAST(discounted_unit_price * current_quantity AS {UNIT}) AS net_sales",
     )
 
 
