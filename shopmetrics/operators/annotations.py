@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import check_range
 from shopmetrics.operators.distributed import assign_row_numbers
+from shopmetrics.sources.staging import stage
 
 # Note categories.
 CATEGORIES = ["campaign", "product", "incident", "promotion", "other"]
@@ -41,7 +42,8 @@ def annotations_append(
     rejected = checked.filter(F.col("reason").isNotNull())
     columns = ["date", "title", "description", "category", "created_by"]
     accepted = checked.filter(F.col("reason").isNull()).select(*columns)
-    numbered = assign_row_numbers(accepted, [F.col(c).asc_nulls_first() for c in columns[:2] + ["created_by", "category", "description"]], "n", "notes")
+    order = [F.col(c).asc_nulls_first() for c in ("date", "title", "created_by", "category", "description")]
+    numbered = assign_row_numbers(accepted, order, "n", "notes")
     last_id = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
     stamp = (F.localtimestamp() if now is None else now).alias("created_at")
     ready = numbered.select(
@@ -75,8 +77,12 @@ def annotations_overlay(trend: DataFrame, annotations: DataFrame, grain: str = "
     """Trend points with the notes that fall into their bucket, one row per point and note.
 
     Points without notes keep one row. The long form leaves a day with very
-    many notes spread over rows instead of one growing list.
+    many notes spread over rows, and an inner join plus the bare points lets AQE
+    split such a day, which it cannot do on the inner side of an outer join. The
+    trend (one row per bucket) is written once and read twice.
     """
+    points = stage(trend, "trend")
     bucket = F.col("date") if grain == "day" else F.trunc("date", grain)
     notes = annotations.select(bucket.alias("date"), F.col("id").alias("annotation_id"), "title", "category")
-    return trend.join(notes, "date", "left")
+    bare = points.join(notes.select("date").distinct(), "date", "left_anti")
+    return points.join(notes, "date").unionByName(bare, allowMissingColumns=True)

@@ -79,7 +79,7 @@ def line_factors(lines: DataFrame, refund_lines: DataFrame, salt: str) -> DataFr
     price = F.coalesce("original_unit_price", F.lit(0))
     changeable = is_product_sku(F.col("sku")) & (price > 0)
     factor = _dec("0.70") + _dec("0.70") * _draw("p", F.col("title"), salt)
-    snapped = F.greatest(F.round(F.col("original_unit_price") * factor, 0) - _dec("0.01"), _dec("0.99"))
+    snapped = F.greatest(F.round(F.col("original_unit_price") * F.col("_factor"), 0) - _dec("0.01"), _dec("0.99"))
     repriced = changeable & F.col("title").isNotNull()
     untouched = (
         changeable
@@ -88,15 +88,25 @@ def line_factors(lines: DataFrame, refund_lines: DataFrame, salt: str) -> DataFr
         & (F.col("returned_quantity") <= 0)
         & F.col("has_refund").isNull()
     )
-    u = _draw("q", F.col("line_item_id"), salt)
-    times = F.when(~untouched, 1).when(u < _dec("0.12"), 2).when(u < _dec("0.16"), 3).when(u < _dec("0.18"), 4)
-    return marked.withColumns(
-        {
-            "price_from": F.when(repriced, F.col("original_unit_price")).otherwise(1).cast(UNIT),
-            "price_to": F.when(repriced, snapped).otherwise(1).cast(UNIT),
-            "times": times.otherwise(1),
-        }
-    ).drop("has_refund")
+    u = F.col("_u")
+    times = F.when(u < _dec("0.12"), 2).when(u < _dec("0.16"), 3).when(u < _dec("0.18"), 4)
+    return (
+        # Each digest is computed once, and only where it is used.
+        marked.withColumns(
+            {
+                "_factor": F.when(repriced, factor),
+                "_u": F.when(untouched, _draw("q", F.col("line_item_id"), salt)),
+            }
+        )
+        .withColumns(
+            {
+                "price_from": F.when(repriced, F.col("original_unit_price")).otherwise(1).cast(UNIT),
+                "price_to": F.when(repriced, snapped).otherwise(1).cast(UNIT),
+                "times": times.otherwise(1),
+            }
+        )
+        .drop("has_refund", "_factor", "_u")
+    )
 
 
 def _repriced(amount: str) -> Column:
@@ -124,7 +134,8 @@ def perturb_lines(lines: DataFrame, refund_lines: DataFrame, salt: str) -> DataF
 def perturb_allocations(allocations: DataFrame, new_lines: DataFrame) -> DataFrame:
     """Discount allocations follow the price and quantity of their line."""
     f = new_lines.select("line_item_id", "price_from", "price_to", "times")
-    amount = F.round(F.col("allocated_amount") * F.col("times") * F.col("price_to") / F.col("price_from"), 2)
+    grown = F.col("allocated_amount") * F.col("times").cast("decimal(1,0)")
+    amount = F.round(grown * F.col("price_to") / F.col("price_from"), 2)
     return allocations.join(f, "line_item_id").withColumn("allocated_amount", amount.cast(UNIT)).select(
         *allocations.columns
     )
@@ -166,7 +177,9 @@ def rederive_refunds(
     old = old_refund_lines.groupBy("refund_id").agg(F.sum("subtotal").cast(TOTAL).alias("old_alloc"))
     new = new_refund_lines.groupBy("refund_id").agg(F.sum("subtotal").cast(TOTAL).alias("new_alloc"))
     total = F.col("total_refunded")
-    by_lines = F.round(total * F.col("new_alloc") / F.nullif(F.col("old_alloc"), F.lit(0)), 2)
+    # Multiplied first, in a type that leaves the quotient ten decimals.
+    scaled = (total * F.col("new_alloc")).cast("decimal(30,4)")
+    by_lines = F.round(scaled / F.nullif(F.col("old_alloc"), F.lit(0)), 2)
     return (
         refunds.join(old, "refund_id", "left")
         .join(new, "refund_id", "left")

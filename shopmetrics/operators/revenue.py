@@ -25,20 +25,23 @@ from shopmetrics.functions.money import (
 from shopmetrics.operators.distributed import top_with_rest
 from shopmetrics.operators.ledger import attributed_orders, booked_in
 
-IS_SALE = F.col("row_type") == "SALE"
-
 # Month labels.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
+def _is_sale() -> Column:
+    return F.col("row_type") == "SALE"
+
+
 def _kpis() -> list[Column]:
     """Gross sales, returns, net, units and distinct sale orders of a group of ledger rows."""
+    sale = _is_sale()
     return [
-        F.coalesce(F.sum(F.when(IS_SALE, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("sales"),
-        F.coalesce(F.sum(F.when(~IS_SALE, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("returns"),
+        F.coalesce(F.sum(F.when(sale, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("sales"),
+        F.coalesce(F.sum(F.when(~sale, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("returns"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("net"),
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("qty"),
-        F.countDistinct(F.when(IS_SALE, F.col("order_id"))).alias("orders"),
+        F.countDistinct(F.when(sale, F.col("order_id"))).alias("orders"),
     ]
 
 
@@ -130,7 +133,7 @@ def revenue_trend(
             F.explode(sides).alias("side"),
             (day if grain == "day" else F.trunc(day, grain)).alias("bucket"),
             "amount",
-            F.when(IS_SALE, F.col("order_id")).alias("sale_order"),
+            F.when(_is_sale(), F.col("order_id")).alias("sale_order"),
         )
         .groupBy("side", "bucket")
         .agg(F.sum("amount").cast(TOTAL).alias("net"), F.countDistinct("sale_order").alias("orders"))

@@ -129,7 +129,7 @@ TABLES: dict[str, str] = {
     "base_lines": f"""
         SELECT l_orderkey AS order_id,
             ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                strftime(l_shipdate, '%Y-%m-%d'), {_EXT})), 1, 15))::BIGINT AS line_item_id,
+                CAST(l_shipdate AS DATE) - DATE '1970-01-01', CAST({_EXT} * 100 AS BIGINT))), 1, 15))::BIGINT AS line_item_id,
             l_partkey AS part_id, l_linenumber AS line_no, CAST(l_quantity AS INTEGER) AS quantity,
             {unit(f"(CAST({_EXT} * 100 AS BIGINT) // CAST(l_quantity AS INTEGER)) * 0.01")} AS original_unit_price,
             {unit(f"(CAST({_PAID} * 100 AS BIGINT) // CAST(l_quantity AS INTEGER)) * 0.01")} AS discounted_unit_price,
@@ -811,7 +811,7 @@ oracle("annotations_list", f"SELECT * FROM m_notes WHERE {between('date', p.NOTE
 oracle("annotations_count", f"SELECT count(*) AS total FROM m_notes WHERE {between('date', p.NOTES)}")
 oracle(
     "annotations_append",
-    """SELECT (SELECT max(id) FROM m_notes) + row_number() OVER (ORDER BY date, title, created_by, category, description) AS id,
+    """SELECT (SELECT max(id) FROM m_notes) + row_number() OVER (ORDER BY date, title, created_by, category NULLS FIRST, description NULLS FIRST) AS id,
         date, title, description, category, created_by, TIMESTAMP '1996-02-01' AS created_at, TIMESTAMP '1996-02-01' AS updated_at
     FROM checked_notes WHERE reason IS NULL""",
 )

@@ -43,22 +43,22 @@ def _case(key: str, cases: Mapping[str, str | None], default: str = "NULL") -> s
     return f"CASE {key} {whens} ELSE {default} END"
 
 
-# Price per unit in whole cents: the line amount divided by the quantity, rounded down.
-_PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
-_PAID = f"round({_PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))), 2)"
+# The star stores money as doubles with two decimals; whole cents are exact.
+_CENTS = "CAST(l_extendedprice * 100 + 0.5D AS BIGINT)"
+_PAID_CENTS = f"(({_CENTS} * (100 - CAST(round(l_discount * 100) AS INT)) + 50) div 100)"
 
 
-def _per_unit(amount: str) -> str:
-    cents = f"CAST({amount} * 100 AS BIGINT) div CAST(l_quantity AS INT)"
-    return f"CAST(CAST({cents} AS DECIMAL(14,0)) * 0.01BD AS DECIMAL(12,2))"
+def _per_unit(cents: str) -> str:
+    """Price per unit: the line amount divided by the quantity, rounded down to whole cents."""
+    return f"CAST(CAST({cents} div CAST(l_quantity AS INT) AS DECIMAL(12,0)) * 0.01BD AS DECIMAL(12,2))"
 
 
 # The star has no line key. The id is a 60-bit digest of the columns that tell
 # lines apart: it needs no window over an order, so an order of any size stays
 # spread over tasks. Joins use it together with the order id.
 _LINE_ID = (
-    "CAST(conv(substring(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-    f"date_format(l_shipdate, 'yyyy-MM-dd'), {_PRICE})), 1, 15), 16, 10) AS BIGINT)"
+    "CAST(conv(left(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    f"unix_date(CAST(l_shipdate AS DATE)), {_CENTS})), 15), 16, 10) AS BIGINT)"
 )
 
 _DISCOUNT_NAME = (
@@ -81,6 +81,20 @@ _CHANNEL = _case(
 )
 
 
+SMALL_SPLITS = 8  # up to about 1 GB at the default split size
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan that has fewer splits than the session has cores.
+
+    A file with one row group is read by a single task whatever the session
+    offers. Only inputs of a few splits are touched, so even a hot key stays
+    small; anything larger keeps the layout of its files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
+
+
 class StarTables(LazyTables):
     """The canonical tables of one star directory."""
 
@@ -92,7 +106,8 @@ class StarTables(LazyTables):
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            self._raw[name] = _spread(df, "l_orderkey") if name == "lineitem" else df
         return self._raw[name]
 
     # --- orders and lines ----------------------------------------------------
@@ -106,8 +121,8 @@ class StarTables(LazyTables):
                 "l_partkey AS part_id",
                 "l_linenumber AS line_no",
                 "CAST(l_quantity AS INT) AS quantity",
-                f"{_per_unit(_PRICE)} AS original_unit_price",
-                f"{_per_unit(_PAID)} AS discounted_unit_price",
+                f"{_per_unit(_CENTS)} AS original_unit_price",
+                f"{_per_unit(_PAID_CENTS)} AS discounted_unit_price",
                 "l_discount > 0 AS has_discount",
                 "l_returnflag AS return_flag",
                 "l_linestatus AS status",
