@@ -253,15 +253,16 @@ def anonymize_lines(
     product = is_product_sku(F.col("sku"))
     out = _mapped(lines, products.select("orig", "new_title"), F.col("title"), "p")
     out = _mapped(_mapped(out, skus, F.col("sku"), "s"), seasons, F.col("season_code"), "c")
-    out = out.select(
-        *[c for c in lines.columns if c not in ("title", "sku", "season_code", "original_unit_price", "discounted_unit_price", "is_returned", "net_sales")],
-        _scaled("original_unit_price", k).alias("original_unit_price"),
-        _scaled("discounted_unit_price", k).alias("discounted_unit_price"),
-        F.when(product, F.col("p_new_title")).otherwise(F.col("title")).alias("title"),
-        F.when(product, F.col("s_new_sku")).otherwise(F.col("sku")).alias("sku"),
-        F.col("c_alias").alias("season_code"),
+    changed = out.withColumns(
+        {
+            "original_unit_price": _scaled("original_unit_price", k),
+            "discounted_unit_price": _scaled("discounted_unit_price", k),
+            "title": F.when(product, F.col("p_new_title")).otherwise(F.col("title")),
+            "sku": F.when(product, F.col("s_new_sku")).otherwise(F.col("sku")),
+            "season_code": F.col("c_alias"),
+        }
     )
-    return derive_line_columns(out)
+    return derive_line_columns(changed).select(*lines.columns)
 
 
 def anonymize_refunds(refunds: DataFrame, k: Decimal) -> DataFrame:
