@@ -18,6 +18,7 @@ from shopmetrics.functions.text import is_product_sku
 from shopmetrics.operators.ledger import ledger_of
 from shopmetrics.operators.privacy import renumber_orders
 from shopmetrics.sources.lazy import LazyTables, Tables
+from shopmetrics.sources.staging import stage
 from shopmetrics.sources.tables import derive_line_columns
 
 RHO = "decimal(20,16)"
@@ -263,34 +264,52 @@ def rederive_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
-    """Dropped orders, new prices and quantities, and everything that follows from them."""
-    t = drop_orders(tables, salt, tz)
+CHANGE_COLUMNS = [
+    "order_id", "line_item_id", "price_from", "price_to", "times", "old_net", "discounted_unit_price", "quantity",
+]
+
+
+def perturb_steps(t: Tables, salt: str) -> Tables:
+    """Intermediate results of a perturbation, planned on first use.
+
+    What changes on each line feeds the order ratios, the refund lines and the
+    allocations, so those few columns are written once instead of being joined
+    together again for each.
+    """
     steps = LazyTables(
         {
             "lines": lambda: perturb_lines(t["order_line_items"], t["refund_line_items"], salt),
-            "ratios": lambda: order_ratios(steps["lines"]),
-            "refund_lines": lambda: perturb_refund_lines(t["refund_line_items"], steps["lines"]),
+            "changes": lambda: stage(steps["lines"].select(*CHANGE_COLUMNS), "changes"),
+            "ratios": lambda: order_ratios(steps["changes"]),
+            "refund_lines": lambda: perturb_refund_lines(t["refund_line_items"], steps["changes"]),
             "refunds": lambda: rederive_refunds(
                 t["refunds"], t["refund_line_items"], steps["refund_lines"], steps["ratios"]
             ),
-            "orders": lambda: rederive_orders(t["orders"], steps["refunds"], steps["ratios"]),
         }
     )
-    return LazyTables(
+    return steps
+
+
+def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
+    """Dropped orders, new prices and quantities, and everything that follows from them."""
+    t = drop_orders(tables, salt, tz)
+    steps = perturb_steps(t, salt)
+    out = LazyTables(
         {
             "order_line_items": lambda: steps["lines"].drop("old_net", "price_from", "price_to", "times"),
             "line_item_discount_allocations": lambda: perturb_allocations(
-                t["line_item_discount_allocations"], steps["lines"]
+                t["line_item_discount_allocations"], steps["changes"]
             ),
             "refund_line_items": lambda: steps["refund_lines"],
             "refunds": lambda: steps["refunds"].drop("old_total"),
             "order_discounts": lambda: rederive_discounts(t["order_discounts"], steps["ratios"]),
-            "customers": lambda: rederive_customers(t["customers"], steps["orders"]),
-            "orders": lambda: renumber_orders(steps["orders"]),
+            "orders": lambda: renumber_orders(rederive_orders(t["orders"], steps["refunds"], steps["ratios"])),
+            # Numbering writes the orders, so the customers read them from there.
+            "customers": lambda: rederive_customers(t["customers"], out["orders"]),
         },
         t,
     )
+    return out
 
 
 def quantity_draws(

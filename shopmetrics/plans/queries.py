@@ -515,40 +515,34 @@ def perturb_lines(t):
 
 @query
 def perturb_refund_lines(t):
-    new = perturb.perturb_lines(t["order_line_items"], t["refund_line_items"], p.PERTURB_SALT)
-    return perturb.perturb_refund_lines(t["refund_line_items"], new).select("id", "order_id", "subtotal")
+    return perturb.perturb_steps(t, p.PERTURB_SALT)["refund_lines"].select("id", "order_id", "subtotal")
 
 
 @query
 def perturb_allocations(t):
-    new = perturb.perturb_lines(t["order_line_items"], t["refund_line_items"], p.PERTURB_SALT)
-    return perturb.perturb_allocations(t["line_item_discount_allocations"], new).select("id", "allocated_amount")
-
-
-def _rederived(t):
-    new = perturb.perturb_lines(t["order_line_items"], t["refund_line_items"], p.PERTURB_SALT)
-    ratios = perturb.order_ratios(new)
-    back = perturb.perturb_refund_lines(t["refund_line_items"], new)
-    refunds = perturb.rederive_refunds(t["refunds"], t["refund_line_items"], back, ratios)
-    return ratios, refunds
+    changes = perturb.perturb_steps(t, p.PERTURB_SALT)["changes"]
+    return perturb.perturb_allocations(t["line_item_discount_allocations"], changes).select("id", "allocated_amount")
 
 
 @query
 def rederive_refunds(t):
-    return _rederived(t)[1].select("refund_id", "order_id", "total_refunded", "old_total")
+    return perturb.perturb_steps(t, p.PERTURB_SALT)["refunds"].select(
+        "refund_id", "order_id", "total_refunded", "old_total"
+    )
 
 
 @query
 def rederive_orders(t):
-    ratios, refunds = _rederived(t)
-    return perturb.rederive_orders(t["orders"], refunds, ratios).select(
+    steps = perturb.perturb_steps(t, p.PERTURB_SALT)
+    return perturb.rederive_orders(t["orders"], steps["refunds"], steps["ratios"]).select(
         "order_id", "total_amount", "total_paid", "total_refunded", "current_total", "net_payment"
     )
 
 
 @query
 def rederive_discounts(t):
-    return perturb.rederive_discounts(t["order_discounts"], _rederived(t)[0]).select("id", "value_amount")
+    ratios = perturb.perturb_steps(t, p.PERTURB_SALT)["ratios"]
+    return perturb.rederive_discounts(t["order_discounts"], ratios).select("id", "value_amount")
 
 
 @query
