@@ -1050,14 +1050,35 @@ def _check(name: str, value: str, ok: str) -> str:
     return f"SELECT '{name}' AS check_name, CAST({value} AS DECIMAL(28,4)) AS value, {ok} AS ok"
 
 
+def _none(name: str, rows: str, bad: str) -> str:
+    """A check that holds when no row is bad."""
+    n = f"(SELECT count(*) FILTER ({bad}) FROM {rows})"
+    return _check(name, n, f"{n} = 0")
+
+
+def _line_checks(lines: str, where: str) -> list[str]:
+    refunds = f"(SELECT order_id, line_item_id, quantity AS back FROM m_refund_lines {where})"
+    return [
+        _none("invalid_quantities", f"{lines} {where}", "quantity < 1 OR current_quantity > quantity"),
+        _none("refunds_over_line", f"{refunds} JOIN {lines} USING (order_id, line_item_id)", "back > quantity"),
+        _none(
+            "inconsistent_prices",
+            f"{lines} {where}",
+            "original_unit_price < 0 OR discounted_unit_price < 0 OR discounted_unit_price > original_unit_price",
+        ),
+    ]
+
+
 oracle(
     "perturb_checks",
     " UNION ALL ".join(
         [
-            _check("invalid_quantities", "0", "true"),
-            _check("refunds_over_line", "0", "true"),
-            _check("inconsistent_prices", "0", "true"),
-            _check("negative_money", "0", "true"),
+            *_line_checks("new_lines", _KEPT),
+            _none(
+                "negative_money",
+                f"new_orders {_KEPT}",
+                "total_amount < 0 OR total_paid < 0 OR total_refunded < 0",
+            ),
             _check(
                 "orders_changed",
                 "(SELECT count(*) FROM kept_orders)",
@@ -1081,9 +1102,7 @@ oracle(
     "perturb_quantity_checks",
     " UNION ALL ".join(
         [
-            _check("invalid_quantities", "0", "true"),
-            _check("refunds_over_line", "0", "true"),
-            _check("inconsistent_prices", "0", "true"),
+            *_line_checks("quantity_lines", ""),
             _check("units_grew", _UNITS, f"{_UNITS} >= 1.05 * (SELECT sum(quantity) FROM m_lines)"),
             _check(
                 "net_sales_held",
@@ -1096,21 +1115,52 @@ oracle(
 
 # --- data quality ------------------------------------------------------------
 
-oracle(
-    "check_keys",
-    " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key, 0::BIGINT AS duplicate_keys, 0::BIGINT AS rows"
-        for t, keys in KEYS.items()
-        for k in keys
-    ),
-)
-oracle(
-    "check_references",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS child, '{par}' AS parent, '{','.join(k)}' AS key, 0::BIGINT AS orphan_keys, 0::BIGINT AS rows"
-        for c, par, k, _ in REFERENCES
-    ),
-)
+SOURCE = {
+    "customers": "m_customers",
+    "orders": "m_orders",
+    "order_attribution": "m_attribution",
+    "order_discounts": "m_discounts",
+    "order_line_items": "m_lines",
+    "refund_line_items": "m_refund_lines",
+    "refunds": "m_refunds",
+    "line_item_discount_allocations": "m_allocations",
+    "sessions_daily": "m_sessions",
+    "visitors_daily": "m_visitors",
+    "channel_daily": "m_channels",
+    "device_daily": "m_devices",
+    "region_daily": "m_regions",
+    "landing_pages_daily": "m_pages",
+    "reviews": "m_reviews",
+    "campaign_daily": "(SELECT date, platform, campaign_id FROM m_ads GROUP BY 1, 2, 3, campaign_name)",
+    "adset_daily": "(SELECT date, platform, adset_id FROM m_ads GROUP BY 1, 2, 3, campaign_id, campaign_name)",
+    "ad_daily": "m_ads",
+    "adset_meta": "(SELECT DISTINCT platform, adset_id FROM m_ads)",
+    "ad_meta": "(SELECT DISTINCT platform, ad_id FROM m_ads)",
+    "annotations": "m_notes",
+}
+TABLES["m_devices"] = f"""
+    SELECT d AS session_date, CASE {_KIND} WHEN 'view' THEN 'mobile' WHEN 'click' THEN 'desktop' ELSE 'tablet' END
+        AS device_category, count(*) AS sessions FROM ev GROUP BY ALL"""
+
+
+def _duplicates(table: str, keys: list[str]) -> str:
+    cols = ", ".join(keys)
+    return f"""SELECT '{table}' AS table_name, '{",".join(keys)}' AS key, count(*) AS duplicate_keys,
+        CAST(coalesce(sum(n), 0) AS BIGINT) AS rows
+    FROM (SELECT count(*) AS n FROM {SOURCE[table]} GROUP BY {cols} HAVING count(*) > 1)"""
+
+
+def _orphans(child: str, parent: str, keys: list[str], parent_keys: list[str]) -> str:
+    match = " AND ".join(f"par.{b} = c.{a}" for a, b in zip(keys, parent_keys, strict=True))
+    cols = ", ".join(f"c.{k}" for k in keys)
+    return f"""SELECT '{child}' AS child, '{parent}' AS parent, '{",".join(keys)}' AS key, count(*) AS orphan_keys,
+        CAST(coalesce(sum(n), 0) AS BIGINT) AS rows
+    FROM (SELECT count(*) AS n FROM {SOURCE[child]} c WHERE {" AND ".join(f"c.{k} IS NOT NULL" for k in keys)}
+        AND NOT EXISTS (SELECT 1 FROM {SOURCE[parent]} par WHERE {match}) GROUP BY {cols})"""
+
+
+oracle("check_keys", " UNION ALL ".join(_duplicates(t, k) for t, keys in KEYS.items() for k in keys))
+oracle("check_references", " UNION ALL ".join(_orphans(*r) for r in REFERENCES))
 oracle(
     "check_domains",
     """SELECT * FROM (SELECT 'annotation_requests' AS table_name, 'date not null' AS rule, count(*) FILTER (date IS NULL) AS violations
