@@ -7,27 +7,39 @@ folder survives the loss of executors; cached blocks do not.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ALLOW_FILE = "shopmetrics.staging.allowFileScheme"
+
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only local sessions may go without."""
+    """Folder named by ``spark.checkpoint.dir``, else one in the warehouse of the session.
+
+    A ``file:`` warehouse is a shared folder only on a local master or on a mount that all
+    executors see; a cluster session says so by setting ``shopmetrics.staging.allowFileScheme``.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="shopmetrics-stage-")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if root.startswith(("file:", "/")) and not local and spark.conf.get(ALLOW_FILE, "false") != "true":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder shared by all executors, or {ALLOW_FILE}=true")
+    return f"{root}/_staged"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def stage(df: DataFrame, label: str, run_id: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table; ``clean_stage(run_id)`` removes it."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/stage-{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{run_id or 'stage'}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_stage(spark: SparkSession, run_id: str) -> None:
+    """Remove every table staged under ``run_id``, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/{run_id}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ STAR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(STAR), reason="needs the test dataset")
 duckdb = pytest.importorskip("duckdb")
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = entry_point.QUERIES, entry_point.ORACLES
 
 
 @pytest.fixture(scope="module")
