@@ -7,18 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import bpe, exact, language, minhash, mixing
+from shopmetrics.llm import bpe, embeddings, exact, html_text, language, minhash, mixing, pii, preference
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.neighbours(_table(spark, sf_dir, "conversations"))
+    masks = {c: preference.joined(c) for c in ("chosen_mask", "rejected_mask")}
+    return preference.format_preferences(turns).withColumns(masks)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs)))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.with_lengths(html_text.extract(_table(spark, sf_dir, "pages")))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -37,15 +47,67 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preferences": op1_preferences,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_html_text": op4_html_text,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embeddings": op9_embeddings,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_preferences": """
+        WITH turns AS (
+            SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (
+                       PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')
+                   ) AS pos
+            FROM conversations
+            WHERE conv_id IS NOT NULL
+        ), compared AS (
+            SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
+            FROM turns
+            GROUP BY pair_id, pos
+        ), cut AS (
+            SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS shared
+            FROM compared
+            GROUP BY pair_id
+        ), rendered AS (
+            SELECT pair_id, side, pos, role, pos <= shared AS common, length(role) + 5 AS head, length(text) AS size,
+                   '<|' || role || '|>' || chr(10) || text || chr(10) AS line
+            FROM turns JOIN cut USING (pair_id)
+        ), placed AS (
+            SELECT *, coalesce(sum(length(line)) OVER (
+                       PARTITION BY pair_id, side, common ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+                   ), 0) + head AS start
+            FROM rendered
+        ), masked AS (
+            SELECT *, CASE WHEN role = 'assistant' AND size > 0
+                           THEN start::BIGINT || ':' || (start + size)::BIGINT END AS span
+            FROM placed
+        )
+        SELECT pair_id,
+               count(*) FILTER (common AND side = 0) AS n_prompt_turns,
+               coalesce(string_agg(line, '' ORDER BY pos) FILTER (common AND side = 0), '') AS prompt,
+               coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT common AND side = 0), '') AS chosen,
+               coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT common AND side = 0), '') AS chosen_mask,
+               coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT common AND side = 1), '') AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT common AND side = 1), '') AS rejected_mask
+        FROM masked
+        GROUP BY pair_id
+    """,
     "op8_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
