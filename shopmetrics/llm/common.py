@@ -62,7 +62,7 @@ def components(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u > v").distinct(), f"{label}-large")
+        large = stage(large.where("u > v"), f"{label}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         pairs = stage(small.where("u > v").distinct(), f"{label}-small")

@@ -8,11 +8,11 @@ of their similarity and concentrate as those of as many independent hashes.
 
 Candidates share all coordinates of a band. ``BANDS`` bands of ``ROWS`` miss a pair at similarity
 0.8 with probability (1 - 0.8^ROWS)^BANDS = 3e-7. Equal sets are one class from the start and
-only its smallest document is compared. In each bucket all classes are first compared with one
-leader: in the first round the smallest, then, while that finds new links, the one with most links.
-What is left are the pairs of one bucket whose classes are in different components; all of them
-are compared, except where the sketches agree in fewer than ``LEAST_AGREEING`` coordinates (over
-6 standard deviations below 0.8). A pair is linked only if its full shingle sets, made anew from
+only its smallest document is compared. In each bucket all classes are first compared with the
+smallest, then those that this left in other components with the one that has most links, and at
+last with all of other components. The latter two steps leave out what can't be linked: a class
+whose own shingles, found nowhere else, are too many (see ``_possible``), and pairs whose sketches
+agree in fewer than ``LEAST_AGREEING`` coordinates ( 6 standard deviations below 0.8). A pair is linked only if its full shingle sets, made anew from
 both texts, have 100 * intersection >= 80 * union. So no bucket emits all its pairs, and none
 is capped. Components follow from the links.
 
@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import components, pieces, utf8
@@ -40,8 +41,8 @@ PERCENT = 80
 COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
-LEAST_AGREEING = 30
-STAR_ROUNDS = 4
+LEAST_AGREEING = 36
+PLANES = 16
 
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -142,11 +143,20 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return _mix(key)
 
 
-_SKETCHED = "n_shingles long, class binary, bands array<long>, coordinates array<int>"
+def bit_planes(coordinates: np.ndarray) -> np.ndarray:
+    """Bit p of all coordinates' digests as one number, for each of ``PLANES`` bits p.
+
+    So the agreeing coordinates of two sketches are the zero bits of one union of differences.
+    """
+    bits = (_mix(coordinates)[None, :] >> np.arange(PLANES, dtype=_U)[:, None]) & _U(1)
+    return (bits << np.arange(COORDINATES, dtype=_U)[None, :]).sum(axis=1, dtype=_U)
+
+
+_SKETCHED = "n_shingles long, class binary, bands array<long>, planes array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, bands, coordinates); class is a digest of the set, null if it is empty."""
+    """(doc_id, n_shingles, class, bands, planes); class is a digest of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +169,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                     pa.array([None if x is None else band_keys(x).view(np.int64) for x in known], pa.list_(pa.int64())),
-                    pa.array([None if x is None else _mix(x).astype(np.uint32).view(np.int32) for x in known], pa.list_(pa.int32())),
+                    pa.array([None if x is None else bit_planes(x).view(np.int64) for x in known], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "bands", "coordinates"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "bands", "planes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SKETCHED}")
@@ -186,71 +196,118 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(similar("left", "right")).select("a", "b")
 
 
-def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes: class, rep) and the links (a, b) between representatives."""
+def _mixed(members: DataFrame, group: DataFrame, label: str) -> DataFrame:
+    """(key, rep, band, component) of the buckets whose members aren't all in one component yet."""
+    component = F.coalesce("component", "rep").alias("component")
+    placed = members.join(group, members["rep"] == group["node"], "left").select("key", "rep", "band", component)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return stage(placed.join(mixed.where("low <> high").select("key"), "key"), label)
+
+
+def _possible(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rep, band, component, n, most) of the members that can be linked with another one of their bucket.
+
+    Of n shingles let u occur in no other member. Then a pair shares at most min(n - u) of the two,
+    and 0.8 needs 4/9 of the sum of both sizes, so either size is at most the other's
+    most = 9/4 (n - u) - n. Copies that differ from all others in too many places go here, one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in pieces(offsets):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), [len(x) for x in sets])))
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, flat], ["rep", "shingle"])
+
+    wanted = rest.select(F.col("rep").alias("doc_id")).distinct()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    shingles = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, shingle long")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    own = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    sizes = shingles.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    bound = F.col("n") - F.coalesce("own", F.lit(0))
+    known = sizes.join(own, "rep", "left").select("rep", "n", (bound * (100 + PERCENT) / PERCENT - F.col("n")).alias("most"))
+    known = stage(known, "near-bounds")
+    listed = rest.select("key", "rep", "band", "component").join(known, "rep")
+    limits = listed.groupBy("key").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"))
+    listed = listed.join(limits, "key").where("most >= least_n and n <= largest").drop("least_n", "largest")
+    return stage(listed, "near-possible")
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(class, rep) of the classes, the links (a, b) between representatives and their components."""
     known = sketched.where("class is not null and doc_id is not null")
     classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).drop(classes["class"])
-    reps = reps.select("rep", F.explode("bands").alias("key"))
-    met = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage(reps.join(met, "key").distinct(), "near-members")
+    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = stage(bands.join(met, "key").distinct(), "near-members")  # key, rep, band
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = stage(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
 
-    leaders = members.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = members.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    pairs = tried = stage(pairs, "near-tried")
-    found = stage(_confirmed(pairs, texts), "near-links")
-    owners = members.select(F.col("rep").alias("node")).distinct()
-    for round_ in range(STAR_ROUNDS + 1):
-        group = components(found, "a", "b", f"near-{round_}")
-        member = F.coalesce("component", "rep").alias("component")
-        placed = members.join(group, members["rep"] == group["node"], "left").select("key", "rep", member)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        rest = stage(placed.join(mixed.where("low <> high").select("key"), "key"), f"near-rest-{round_}")
-        if rest.isEmpty():
-            return classes, found
-        if round_ == STAR_ROUNDS:
-            break
-        both = found.select("a").union(found.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = rest.join(both, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        best = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"), "component")).alias("best"))
-        best = best.select("key", (-F.col("best.least")).alias("lead"), F.col("best.component").alias("lead_component"))
-        pairs = rest.join(best, "key").where("component <> lead_component")
-        pairs = pairs.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stage(pairs.join(done, ["a", "b"], "left_anti"), f"near-pairs-{round_}")
-        more = stage(_confirmed(pairs, texts), f"near-links-{round_}")
+    # All against the smallest of their bucket.
+    leaders = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    tried = stage(_ordered(members.join(leaders, "key").where("lead <> rep"), "lead", "rep"), "near-pairs")
+    found = stage(_confirmed(tried, texts), "near-links")
+    group = components(found, "a", "b", "near")
+    rest = _mixed(members, group, "near-rest")
+    if rest.isEmpty():
+        return classes, found, group
+
+    # What may still be linked, against the member of another component that has most links.
+    listed = _possible(_possible(rest, texts), texts)  # the second time among fewer, so that more shingles are unique
+    degree = found.select("a").union(found.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = listed.join(degree, "rep", "left")
+    rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("rep").alias("lead"), F.col("component").alias("other"))
+    best = ranked.groupBy("key").agg(F.max(rank).alias("best")).select("key", "best.lead", "best.other")
+    pairs = _ordered(listed.join(best, "key").where("component <> other"), "lead", "rep").join(tried, ["a", "b"], "left_anti")
+    pairs = stage(pairs, "near-pairs")
+    more = stage(_confirmed(pairs, texts), "near-links")
+    if not more.isEmpty():
         tried, found = tried.union(pairs), found.union(more)
-        if more.isEmpty():
-            break
-    del owners
-    # Every remaining pair of different components that shares a bucket, unless the sketches rule it out.
-    coordinates = sketched.join(classes, (sketched["class"] == classes["class"]) & (sketched["doc_id"] == classes["rep"]))
-    coordinates = coordinates.select("rep", "coordinates").dropDuplicates(["rep"])
-    listed = rest.join(coordinates, "rep").select("key", "rep", "component", "coordinates")
-    other = listed.toDF("key", "rep2", "component2", "coordinates2")
-    agreeing = F.aggregate(
-        F.arrays_zip("coordinates", "coordinates2"), F.lit(0), lambda n, x: n + (x.coordinates == x.coordinates2).cast("int")
-    )
-    pairs = listed.join(other, "key").where("component < component2").where(agreeing >= LEAST_AGREEING)
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stage(pairs.join(done, ["a", "b"], "left_anti"), "near-last")
-    return classes, found.union(stage(_confirmed(pairs, texts), "near-last-links"))
+        group = components(found, "a", "b", "near")
+        listed = _mixed(listed.select("key", "rep", "band"), group, "near-rest").join(
+            listed.select("rep", "n", "most").distinct(), "rep"
+        )
+
+    # All that is left of different components in one bucket, unless sizes or sketches rule a pair out.
+    listed = listed.join(reps.select("rep", "planes", "bands").dropDuplicates(["rep"]), "rep")
+    planes = [f"p{k}" for k in range(PLANES)]
+    listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("planes")[k].alias(p) for k, p in enumerate(planes)])
+    other = listed.select("key", *[F.col(c).alias(f"other_{c}") for c in listed.columns[1:] if c != "band"])
+    differ = reduce(Column.bitwiseOR, [F.col(p).bitwiseXOR(F.col(f"other_{p}")) for p in planes])
+    pairs = listed.join(other, "key").where("component < other_component and n <= other_most and other_n <= most")
+    pairs = pairs.where(F.bit_count(differ) <= COORDINATES - LEAST_AGREEING)
+    # A pair may share several buckets and is taken from that of the first band; keys tell bands apart.
+    pairs = pairs.where("not arrays_overlap(slice(bands, 1, band), slice(other_bands, 1, band))")
+    pairs = _ordered(pairs, "rep", "other_rep").join(tried, ["a", "b"], "left_anti")
+    pairs = stage(pairs, "near-pairs")
+    more = stage(_confirmed(pairs, texts), "near-links")
+    if more.isEmpty():
+        return classes, found, group
+    found = found.union(more)
+    return classes, found, components(found, "a", "b", "near")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     sketched = stage(sketches(docs), "near-sketches")
-    classes, found = links(docs, sketched)
+    classes, found, group = links(docs, sketched)
     # Rows that share an id tie their classes together.
     nodes = sketched.select("doc_id", "class").where("class is not null and doc_id is not null")
-    shared = nodes.groupBy("doc_id").agg(F.count_distinct("class").alias("n")).where("n > 1").select("doc_id")
-    tied = nodes.join(shared, "doc_id").join(classes, "class").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    group = components(found.union(tied), "a", "b", "near-all")
+    shared = nodes.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    tied = nodes.join(shared.select("doc_id"), "doc_id").join(classes, "class")
+    tied = stage(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "near-tied")
+    if not tied.isEmpty():
+        group = components(found.union(tied), "a", "b", "near")
     named = classes.join(group, classes["rep"] == group["node"], "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
