@@ -15,6 +15,29 @@ from shopmetrics.sources.staging import stage
 #: Text that one vectorised step looks at, so that a task's memory doesn't follow the size of an Arrow batch.
 PIECE_BYTES = 1 << 20
 
+U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit numbers one to one."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64; with them, differences of prefix sums hash any stretch of bytes."""
+    known = _powers.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, U)
+        known[0] = U(1)
+        known = _powers[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
+
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column (names are compared without case)."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.llm.common import components, pieces, utf8
+from shopmetrics.llm.common import BASE, BASE_INVERSE, U, components, mix, pieces, powers, utf8
 from shopmetrics.sources.staging import stage
 
 SHINGLE_WORDS = 4
@@ -44,39 +44,20 @@ BANDS = COORDINATES // ROWS
 LEAST_AGREEING = 36
 PLANES = 16
 
-_U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, _U)
-        known[0] = _U(1)
-        known = _powers[int(base)] = np.multiply.accumulate(known)
-    return known[:n]
-
-
-_SEEDS = _mix(np.arange(1, 2 * COORDINATES + 1, dtype=_U) * _BASE)
-_PLACES = _mix(np.arange(101, 101 + SHINGLE_WORDS, dtype=_U)) | _U(1)
-_BAND_SEEDS = _mix(np.arange(301, 301 + BANDS, dtype=_U))
+_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U) * BASE)
+_PLACES = mix(np.arange(101, 101 + SHINGLE_WORDS, dtype=U)) | U(1)
+_BAND_SEEDS = mix(np.arange(301, 301 + BANDS, dtype=U))
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in ``data`` and the number of words of each text."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(bounds) - 1, np.int64)
+        return np.zeros(0, U), np.zeros(len(bounds) - 1, np.int64)
     low = _FOLD[data]
     solid = low != 32
     begins = solid.copy()
@@ -89,30 +70,30 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     before = inner[inner > 0] - 1
     ends[before] |= solid[before]
     stops = np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum((low.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=total[1:])
-    words = (total[stops] - total[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts]
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum((low.astype(U) + U(1)) * powers(BASE, len(data)), out=total[1:])
+    words = (total[stops] - total[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts]
     per_text = np.diff(np.searchsorted(starts, bounds))
-    return _mix(words + (stops - starts).astype(_U)), per_text
+    return mix(words + (stops - starts).astype(U)), per_text
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words, per_text = word_hashes(data, bounds)
     n = max(0, len(words) - SHINGLE_WORDS + 1)
-    joined = np.zeros(n, _U)
+    joined = np.zeros(n, U)
     for k in range(SHINGLE_WORDS):
         joined += words[k : k + n] * _PLACES[k]
-    joined = _mix(joined)
+    joined = mix(joined)
     sets, first = [], 0
     for count in per_text.tolist():
         if count >= SHINGLE_WORDS:
             sets.append(np.unique(joined[first : first + count - SHINGLE_WORDS + 1]))
         elif count:
-            part = (words[first : first + count] * _PLACES[:count]).sum(dtype=_U) + _U(count)
-            sets.append(_mix(np.array([part], _U)))
+            part = (words[first : first + count] * _PLACES[:count]).sum(dtype=U) + U(count)
+            sets.append(mix(np.array([part], U)))
         else:
-            sets.append(np.zeros(0, _U))
+            sets.append(np.zeros(0, U))
         first += count
     return sets
 
@@ -120,18 +101,18 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """``COORDINATES`` values of a non-empty set of shingle hashes."""
     t = COORDINATES
-    out = np.full(t, ~_U(0), _U)
+    out = np.full(t, ~U(0), U)
     step = max(1, 512 // len(shingles))
     for first in range(0, t, step):
         rounds = np.arange(first, min(t, first + step))
-        hashes = _mix(shingles[None, :] ^ _SEEDS[rounds, None])
-        values = (rounds.astype(_U)[:, None] << _U(56)) | (hashes >> _U(8))
-        np.minimum.at(out, (hashes % _U(t)).astype(np.int64).ravel(), values.ravel())
-        if out.max() != ~_U(0):
+        hashes = mix(shingles[None, :] ^ _SEEDS[rounds, None])
+        values = (rounds.astype(U)[:, None] << U(56)) | (hashes >> U(8))
+        np.minimum.at(out, (hashes % U(t)).astype(np.int64).ravel(), values.ravel())
+        if out.max() != ~U(0):
             return out
-    for bin_ in np.flatnonzero(out == ~_U(0)):
+    for bin_ in np.flatnonzero(out == ~U(0)):
         i = t + int(bin_)
-        out[bin_] = (_U(i) << _U(56)) | (_mix(shingles ^ _SEEDS[i]).min() >> _U(8))
+        out[bin_] = (U(i) << U(56)) | (mix(shingles ^ _SEEDS[i]).min() >> U(8))
     return out
 
 
@@ -139,8 +120,8 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     rows = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS)
     key = _BAND_SEEDS.copy()
     for k in range(ROWS):
-        key = _mix(key ^ rows[:, k]) * _BASE
-    return _mix(key)
+        key = mix(key ^ rows[:, k]) * BASE
+    return mix(key)
 
 
 def bit_planes(coordinates: np.ndarray) -> np.ndarray:
@@ -148,8 +129,8 @@ def bit_planes(coordinates: np.ndarray) -> np.ndarray:
 
     So the agreeing coordinates of two sketches are the zero bits of one union of differences.
     """
-    bits = (_mix(coordinates)[None, :] >> np.arange(PLANES, dtype=_U)[:, None]) & _U(1)
-    return (bits << np.arange(COORDINATES, dtype=_U)[None, :]).sum(axis=1, dtype=_U)
+    bits = (mix(coordinates)[None, :] >> np.arange(PLANES, dtype=U)[:, None]) & U(1)
+    return (bits << np.arange(COORDINATES, dtype=U)[None, :]).sum(axis=1, dtype=U)
 
 
 _SKETCHED = "n_shingles long, class binary, bands array<long>, planes array<long>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import bpe, embeddings, exact, html_text, language, minhash, mixing, pii, preference
+from shopmetrics.llm import bpe, embeddings, exact, html_text, language, minhash, mixing, pii, preference, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs)))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.with_lengths(html_text.extract(_table(spark, sf_dir, "pages")))
 
@@ -58,6 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preferences": op1_preferences,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_repeats": op3_repeats,
     "op4_html_text": op4_html_text,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
