@@ -16,8 +16,9 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is
 4. Hot anchors, with more than ``GROUP`` occurrences, never meet in one task. Their equal contexts are
    counted first, before the shuffle; a context that occurs twice covers itself. Then the places that
    the anchor may have in a string are halved again and again: a half fixes more common bytes, by
-   which the contexts are grouped anew, until a group is small enough for step 3 or, at a single place,
-   consists of equal strings that cover themselves. Nothing is capped.
+   which the contexts are grouped anew, and leaves less of each context; contexts that have become
+   equal cover each other and one of them goes on. This ends with groups that are small enough for
+   step 3, at the latest at a single place, where a group's strings are equal. Nothing is capped.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH keep everything; rows that agree
 in id and text are repeats of one another; an empty table gives no rows.
@@ -205,22 +206,33 @@ def _hot_covers(contexts: DataFrame, group: int) -> DataFrame:
     rows = known.select("context", "left", "right", F.lit(0).alias("o1"), F.lit(LEFT).alias("o2"))
     level = 0
     while not rows.isEmpty():
-        # Places o1 to o2 of the anchor in a string: all these strings have the bytes from o1 before it to LENGTH - o2 after it.
-        near = F.expr("substring(left, length(left) - o1 + 1, o1)")
-        rows = rows.where(F.length("left") >= F.col("o1")).where(F.length("right") >= LENGTH - F.col("o2"))
-        rows = rows.withColumn("gram", F.xxhash64("o1", "o2", near, F.expr(f"substring(right, 1, {LENGTH} - o2)")))
-        sizes = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = stage(rows.join(sizes, "gram"), f"repeat-level-{level}")
-        trimmed = rows.where((F.col("size") <= group) & (F.col("o1") < F.col("o2"))).select(
-            "context", "gram", F.expr("substring(left, greatest(length(left) - o2, 0) + 1, o2)").alias("left"),
+        # Places o1 to o2 of the anchor in a string: all these strings have the bytes from o1 before it to LENGTH - o2
+        # after it, and none has more than those from o2 before it to LENGTH - o1 after it.
+        rows = rows.where(F.length("left") >= F.col("o1")).where(F.length("right") >= LENGTH - F.col("o2")).select(
+            "context", "o1", "o2", F.expr("substring(left, greatest(length(left) - o2, 0) + 1, o2)").alias("left"),
             F.expr(f"substring(right, 1, {LENGTH} - o1)").alias("right"),
         )
-        covers = covers.union(stage(_scanned(trimmed, "context binary"), f"repeat-covers-{level}"))
-        single = rows.where("o1 = o2").select("context", "o1", (LENGTH - F.col("o1")).alias("r"))
-        covers = covers.union(single)
+        shared = [F.expr("substring(left, length(left) - o1 + 1, o1)"), F.expr(f"substring(right, 1, {LENGTH} - o2)")]
+        part = F.md5(F.concat(F.col("left"), F.lit("|").cast("binary"), F.col("right")))
+        rows = rows.withColumns({"gram": F.xxhash64("o1", "o2", *shared), "part": part})
+        # Equal parts cover each other; one of them goes on, as a partner of the rest.
+        parts = rows.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("same"), F.min("context").alias("first"))
+        groups = parts.groupBy("gram").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1")
+        parts = stage(parts.join(groups, "gram").select("gram", "part", "same", "first", "size"), f"repeat-parts-{level}")
+        covers = covers.union(
+            rows.select("context", "gram", "part", F.length("left").alias("l"), F.length("right").alias("r"))
+            .join(parts.where("same > 1").select("gram", "part"), ["gram", "part"])
+            .where(F.col("l") + F.col("r") >= LENGTH)
+            .select("context", "l", "r")
+        )
+        open_parts = parts.where("size > 1").select("gram", "part", F.col("first").alias("context"), "size")
+        rows = stage(rows.join(open_parts, ["gram", "part", "context"]), f"repeat-level-{level}")
+        few = rows.where(F.col("size") <= group).select("context", "gram", "left", "right")
+        found = stage(_scanned(few, "context binary"), f"repeat-covers-{level}")
+        covers = covers.union(found.select("context", "l", "r"))
         middle = F.expr("(o1 + o2) div 2").cast("int")
         halves = F.explode(F.array(F.struct(F.col("o1"), middle.alias("o2")), F.struct((middle + 1).alias("o1"), F.col("o2")))).alias("half")
-        rows = rows.where((F.col("size") > group) & (F.col("o1") < F.col("o2"))).select("context", "left", "right", halves)
+        rows = rows.where(F.col("size") > group).select("context", "left", "right", halves)
         rows = rows.select("context", "left", "right", "half.o1", "half.o2")
         level += 1
     return covers
