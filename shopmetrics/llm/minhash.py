@@ -12,7 +12,8 @@ only its smallest document is compared. In each bucket all classes are first com
 smallest, then those that this left in other components with the one that has most links, and at
 last with all of other components. The latter two steps leave out what can't be linked: a class
 whose own shingles, found nowhere else, are too many (see ``_possible``), and pairs whose sketches
-agree in fewer than ``LEAST_AGREEING`` coordinates ( 6 standard deviations below 0.8). A pair is linked only if its full shingle sets, made anew from
+agree in fewer than ``LEAST_AGREEING`` coordinates (4 standard deviations below 0.8, a chance of
+about 3e-5 at 0.8 itself and below 1e-6 from 0.83 on). A pair is linked only if its full shingle sets, made anew from
 both texts, have 100 * intersection >= 80 * union. So no bucket emits all its pairs, and none
 is capped. Components follow from the links.
 
@@ -41,7 +42,7 @@ PERCENT = 80
 COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
-LEAST_AGREEING = 36
+LEAST_AGREEING = 38
 PLANES = 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -185,7 +186,7 @@ def _mixed(members: DataFrame, group: DataFrame, label: str) -> DataFrame:
     return stage(placed.join(mixed.where("low <> high").select("key"), "key"), label)
 
 
-def _possible(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, rep, band, component, n, most) of the members that can be linked with another one of their bucket.
 
     Of n shingles let u occur in no other member. Then a pair shares at most min(n - u) of the two,
@@ -207,7 +208,7 @@ def _possible(rest: DataFrame, texts: DataFrame) -> DataFrame:
     shingles = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, shingle long")
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
     own = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    sizes = shingles.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    sizes = reps.join(wanted, reps["rep"] == wanted["doc_id"], "left_semi").select("rep", F.col("n_shingles").alias("n"))
     bound = F.col("n") - F.coalesce("own", F.lit(0))
     known = sizes.join(own, "rep", "left").select("rep", "n", (bound * (100 + PERCENT) / PERCENT - F.col("n")).alias("most"))
     known = stage(known, "near-bounds")
@@ -226,6 +227,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
     known = sketched.where("class is not null and doc_id is not null")
     classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).drop(classes["class"])
+    reps = stage(reps.select("rep", "n_shingles", "bands", "planes"), "near-reps")
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stage(bands.join(met, "key").distinct(), "near-members")  # key, rep, band
@@ -243,7 +245,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
         return classes, found, group
 
     # What may still be linked, against the member of another component that has most links.
-    listed = _possible(_possible(rest, texts), texts)  # the second time among fewer, so that more shingles are unique
+    listed = _possible(rest, texts, reps)
     degree = found.select("a").union(found.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     ranked = listed.join(degree, "rep", "left")
     rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("rep").alias("lead"), F.col("component").alias("other"))
@@ -259,7 +261,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
         )
 
     # All that is left of different components in one bucket, unless sizes or sketches rule a pair out.
-    listed = listed.join(reps.select("rep", "planes", "bands").dropDuplicates(["rep"]), "rep")
+    listed = listed.join(reps.select("rep", "planes", "bands"), "rep")
     planes = [f"p{k}" for k in range(PLANES)]
     listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("planes")[k].alias(p) for k, p in enumerate(planes)])
     other = listed.select("key", *[F.col(c).alias(f"other_{c}") for c in listed.columns[1:] if c != "band"])
