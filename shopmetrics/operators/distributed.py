@@ -74,8 +74,8 @@ def rank_top(df: DataFrame, measure: str, tie_cols: list[str], out: str = "rank"
 
 
 def share_of_total(df: DataFrame, col: str, out: str, digits: int = 2) -> DataFrame:
-    """Percent of the column total, for a report of a handful of rows (one per label)."""
-    return df.withColumn(out, percent_of(F.col(col), F.sum(col).over(Window.partitionBy()), digits))
+    """Percent of the column total, which a scalar subquery computes without moving the rows."""
+    return df.withColumn(out, percent_of(F.col(col), df.agg(F.sum(col)).scalar(), digits))
 
 
 def top_with_rest(df: DataFrame, label: str, rank_by: str, measures: list[str], k: int, rest: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from shopmetrics.operators.annotations import CATEGORIES
 from shopmetrics.sources.schema import DDL, KEYS, REFERENCES, table_schema
 
 
@@ -49,7 +50,7 @@ def declared_rules(name: str) -> dict[str, Column]:
         rules["kind known"] = F.col("kind").isin("CODE", "AUTOMATIC", "MANUAL")
         rules["amount or percentage"] = F.col("value_amount").isNotNull() | F.col("value_percentage").isNotNull()
     if name == "annotations":
-        rules["category known"] = F.col("category").isin("campaign", "product", "incident", "promotion", "other")
+        rules["category known"] = F.col("category").isin(CATEGORIES)
     return rules
 
 

@@ -61,7 +61,8 @@ def publish_checked(
     """Write, verify and publish a dataset; returns the version folder.
 
     ``checks`` gets scans of the written tables and returns violations, one row
-    each. The marker is a single JSON row appended after every check passed.
+    each. They are written next to the rejected version, and the error names their number and
+    place. The marker is a single JSON row appended after every check passed.
     """
     _, done = published(spark, path)
     if step is not None:
@@ -71,9 +72,11 @@ def publish_checked(
     for name, df in tables.items():
         write_table(df, name, target)
     written = load_tables(spark, target, list(tables))
-    violations = checks(written).limit(20).collect()
-    if violations:
-        raise CheckFailed("; ".join(str(tuple(v)) for v in violations))
+    rejected = f"{target}-violations"
+    checks(written).write.parquet(rejected)
+    found = spark.read.parquet(rejected).count()
+    if found:
+        raise CheckFailed(f"{found} violations, listed in {rejected}")
     steps = ",".join([*done, step] if step else done)
     marker = spark.range(1).selectExpr(
         "unix_micros(current_timestamp()) AS seq", f"'{version}' AS version", f"'{steps}' AS steps"

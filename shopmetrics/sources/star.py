@@ -81,20 +81,6 @@ _CHANNEL = _case(
 )
 
 
-SMALL_SPLITS = 8  # up to about 1 GB at the default split size
-
-
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small scan that has fewer splits than the session has cores.
-
-    A file with one row group is read by a single task whatever the session
-    offers. Only inputs of a few splits are touched, so even a hot key stays
-    small; anything larger keeps the layout of its files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
-
-
 class StarTables(LazyTables):
     """The canonical tables of one star directory."""
 
@@ -107,7 +93,7 @@ class StarTables(LazyTables):
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-            self._raw[name] = _spread(df, "l_orderkey") if name == "lineitem" else df
+            self._raw[name] = df
         return self._raw[name]
 
     # --- orders and lines ----------------------------------------------------
