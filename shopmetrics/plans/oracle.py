@@ -284,9 +284,10 @@ TABLES: dict[str, str] = {
     "m_notes": """
         SELECT event_id AS id, d AS date, event_type || ' by user ' || user_id AS title,
             CASE WHEN value > 100 THEN props END AS description,
-            CASE event_type WHEN 'error' THEN 'incident' WHEN 'signup' THEN 'campaign' ELSE 'promotion' END AS category,
+            CASE event_type WHEN 'error' THEN 'incident' WHEN 'signup' THEN 'campaign' WHEN 'view' THEN 'product'
+                WHEN 'click' THEN 'other' ELSE 'promotion' END AS category,
             ts AS created_at, 'user ' || user_id AS created_by, ts AS updated_at
-        FROM ev WHERE event_type IN ('error', 'signup', 'purchase')""",
+        FROM ev""",
     "note_requests": """
         SELECT CASE WHEN event_id % 11 > 0 THEN d END AS date,
             CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN repeat(event_type, 40)

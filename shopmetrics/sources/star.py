@@ -462,20 +462,20 @@ class StarTables(LazyTables):
         return _declared(rows, "reviews", exprs)
 
     def _annotations(self) -> DataFrame:
-        """Notes taken from the error, signup and purchase events."""
+        """Notes taken from the events of all types."""
         exprs = {
             "id": "event_id",
             "date": "add_months(CAST(ts AS DATE), -336)",
             "title": "concat(event_type, ' by user ', user_id)",
             "description": "IF(value > 100, props, NULL)",
-            "category": _case("event_type", {"error": "incident", "signup": "campaign"}, "'promotion'"),
+            "category": _case(
+                "event_type", {"error": "incident", "signup": "campaign", "view": "product", "click": "other"}, "'promotion'"
+            ),
             "created_at": "ts",
             "created_by": "concat('user ', user_id)",
             "updated_at": "ts",
         }
-        return _declared(
-            self.raw("events").filter("event_type IN ('error', 'signup', 'purchase')"), "annotations", exprs
-        )
+        return _declared(self.raw("events"), "annotations", exprs)
 
     def annotation_requests(self) -> DataFrame:
         """Unvalidated notes: some miss a date or a title, are too long or name an unknown category."""
