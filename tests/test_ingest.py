@@ -59,30 +59,30 @@ def test_pending_and_resolve(spark, make):
     assert got == [(1, 2), (2, 3)]
 
 
-def test_load_and_copy(spark, january, tmp_path):
+def test_load_and_copy(spark, autumn, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
-    for name, df in january.items():
+    for name, df in autumn.items():
         io.write_table(df, name, src)
-    assert io.copy_tables(spark, src, dst, january) == list(january)
+    assert io.copy_tables(spark, src, dst, autumn) == list(autumn)
     assert "net_sales" not in spark.read.parquet(f"{dst}/order_line_items").columns
-    back = io.load_tables(spark, dst, january)
-    assert back["order_line_items"].filter("net_sales = 100 AND NOT is_returned").count() == 2
+    back = io.load_tables(spark, dst, autumn)
+    assert back["order_line_items"].filter("net_sales = 59 AND NOT is_returned").count() == 2
     assert back["orders"].schema["created_at"].dataType.typeName() == "timestamp_ntz"
     with pytest.raises(ValueError):
         io.copy_tables(spark, src, src)
 
 
-def test_publish_only_when_checks_pass(spark, january, tmp_path):
+def test_publish_only_when_checks_pass(spark, autumn, tmp_path):
     path = str(tmp_path / "pub")
     clean = lambda t: t["orders"].filter("false")
-    first = publish_checked(spark, january, clean, path, "anonymize")
+    first = publish_checked(spark, autumn, clean, path, "anonymize")
     assert published(spark, path) == (first, ["anonymize"])
     with pytest.raises(CheckFailed):
-        publish_checked(spark, january, lambda t: t["orders"].select("order_id"), path, "perturb")
+        publish_checked(spark, autumn, lambda t: t["orders"].select("order_id"), path, "perturb")
     assert published(spark, path) == (first, ["anonymize"])
     with pytest.raises(ValueError):
-        publish_checked(spark, january, clean, path, "anonymize")
-    second = publish_checked(spark, january, clean, path, "perturb")
+        publish_checked(spark, autumn, clean, path, "anonymize")
+    second = publish_checked(spark, autumn, clean, path, "perturb")
     assert published(spark, path) == (second, ["anonymize", "perturb"])
 
 

@@ -8,11 +8,12 @@ from shopmetrics.functions.money import pct_change_nonpositive, pct_change_zero
 from shopmetrics.operators import ledger, products, revenue
 
 JAN = (date(2026, 1, 1), date(2026, 1, 31))
+OCT = (date(2024, 10, 1), date(2024, 10, 31))
 
 
 @pytest.fixture
-def book(january):
-    return ledger.ledger_of(january)
+def book(autumn):
+    return ledger.ledger_of(autumn)
 
 
 @pytest.fixture
@@ -30,41 +31,43 @@ def sold(make, order):
     return _sold
 
 
-def test_january_summary(book):
-    r = revenue.revenue_summary(book, *JAN).first()
-    assert (r.total_sales, r.total_returns, r.net_sales) == (D("240.00"), D("50.00"), D("190.00"))
-    assert (r.total_orders, r.total_qty, r.average_order_value) == (3, 6, D("63.33"))
+def test_month_summary(book):
+    r = revenue.revenue_summary(book, *OCT).first()
+    assert (r.total_sales, r.total_returns, r.net_sales) == (D("281.65"), D("36.75"), D("244.90"))
+    assert (r.total_orders, r.total_qty, r.average_order_value) == (4, 8, D("61.22"))
 
 
-def test_january_changes(book):
-    r = revenue.revenue_summary(book, *JAN).first()
-    assert r.net_sales_change_percent == D("90.00")
-    assert r.total_sales_change_percent == D("140.00")
-    assert r.orders_change_percent == D("200.00")
-    assert r.total_qty_change_percent == D("500.00")
-    assert r.aov_change_percent == D("-36.67")
+def test_month_changes(book):
+    r = revenue.revenue_summary(book, *OCT).first()
+    assert r.net_sales_change_percent == D("206.12")
+    assert r.total_sales_change_percent == D("252.06")
+    assert r.orders_change_percent == D("100.00")
+    assert r.total_qty_change_percent == D("60.00")
+    assert r.aov_change_percent == D("53.06")
     assert r.total_returns_change_percent is None
 
 
-def test_one_day_and_february(book):
-    r = revenue.revenue_summary(book, date(2026, 1, 10), date(2026, 1, 10)).first()
-    assert (r.net_sales, r.total_orders) == (D("180.00"), 2)
-    r = revenue.revenue_summary(book, date(2026, 2, 1), date(2026, 2, 28)).first()
-    assert (r.total_returns, r.net_sales) == (D("20.00"), D("30.00"))
+def test_one_day_and_next_month(book):
+    r = revenue.revenue_summary(book, date(2024, 10, 8), date(2024, 10, 8)).first()
+    assert (r.net_sales, r.total_orders) == (D("95.75"), 2)
+    r = revenue.revenue_summary(book, date(2024, 11, 1), date(2024, 11, 30)).first()
+    assert (r.total_returns, r.net_sales) == (D("145.90"), D("-86.90"))
 
 
-def test_summary_from_plain_ledger_columns(january):
-    plain = ledger.net_sales_lines(january["order_line_items"], january["orders"], january["refund_line_items"])
-    assert revenue.revenue_summary(plain, *JAN).first().net_sales == D("190.00")
+def test_summary_from_plain_ledger_columns(autumn):
+    plain = ledger.net_sales_lines(autumn["order_line_items"], autumn["orders"], autumn["refund_line_items"])
+    assert revenue.revenue_summary(plain, *OCT).first().net_sales == D("244.90")
 
 
 def test_sparklines(book):
-    got = sorted(tuple(r) for r in revenue.revenue_sparklines(book, *JAN).select(
+    got = sorted(tuple(r) for r in revenue.revenue_sparklines(book, *OCT).select(
         "date", "net_sales", "total_orders", "average_order_value").collect())
     assert got == [
-        (date(2026, 1, 10), D("180.00"), 2, D("90.00")),
-        (date(2026, 1, 15), D("60.00"), 1, D("60.00")),
-        (date(2026, 1, 20), D("-50.00"), 0, D("0.00")),
+        (date(2024, 10, 8), D("95.75"), 2, D("47.88")),
+        (date(2024, 10, 11), D("-12.25"), 0, D("0.00")),
+        (date(2024, 10, 21), D("-24.50"), 0, D("0.00")),
+        (date(2024, 10, 27), D("40.00"), 1, D("40.00")),
+        (date(2024, 10, 30), D("145.90"), 1, D("145.90")),
     ]
 
 
@@ -86,8 +89,8 @@ def test_exact_decimals(sold):
 
 
 def test_monthly_trend_equals_summary(book):
-    p = revenue.revenue_trend(book, *JAN, "month").collect()
-    assert [(x.date, x.current_net_sales, x.current_orders) for x in p] == [(date(2026, 1, 1), D("190.00"), 3)]
+    p = revenue.revenue_trend(book, *OCT, "month").collect()
+    assert [(x.date, x.current_net_sales, x.current_orders) for x in p] == [(date(2024, 10, 1), D("244.90"), 4)]
 
 
 def test_trend_against_last_year(sold):
