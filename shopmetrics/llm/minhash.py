@@ -12,10 +12,11 @@ only its smallest document is compared. In each bucket all classes are first com
 smallest, then those that this left in other components with the one that has most links, and at
 last with all of other components. The latter two steps leave out what can't be linked: a class
 whose own shingles, found nowhere else, are too many (see ``_possible``), and pairs whose sketches
-agree in fewer than ``LEAST_AGREEING`` coordinates (4 standard deviations below 0.8, a chance of
-about 3e-5 at 0.8 itself and below 1e-6 from 0.83 on). A pair is linked only if its full shingle sets, made anew from
-both texts, have 100 * intersection >= 80 * union. So no bucket emits all its pairs, and none
-is capped. Components follow from the links.
+differ too often. For the latter the members left get a sketch of ``FINE`` coordinates with one bit each;
+sets of similarity s agree in (1 + s) / 2 of them, and ``MOST_DIFFERING`` is 4 standard deviations
+off 0.8, which is 0.747 (a chance of about 3e-5 at 0.8 itself and below 1e-6 from 0.81 on). A pair is
+linked only if its full shingle sets, made anew from both texts, have 100 * intersection >= 80 * union.
+So no bucket emits all its pairs, and none is capped. Components follow from the links.
 
 Defined cases: texts are lower-cased in A-Z only; words are split at blank, tab and the four line
 and page breaks; a text of fewer words than a shingle is one shingle; one without words, or a
@@ -42,15 +43,15 @@ PERCENT = 80
 COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
-LEAST_AGREEING = 38
-PLANES = 16
+FINE = 2048
+MOST_DIFFERING = 259
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 
 
-_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U) * BASE)
+_SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=U) * BASE)
 _PLACES = mix(np.arange(101, 101 + SHINGLE_WORDS, dtype=U)) | U(1)
 _BAND_SEEDS = mix(np.arange(301, 301 + BANDS, dtype=U))
 
@@ -99,21 +100,22 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """``COORDINATES`` values of a non-empty set of shingle hashes."""
-    t = COORDINATES
+def sketch(shingles: np.ndarray, t: int = COORDINATES) -> np.ndarray:
+    """``t`` values of a non-empty set of shingle hashes."""
+    round_bits = (2 * t).bit_length()
+    place, rest = U(64 - round_bits), U(round_bits)
     out = np.full(t, ~U(0), U)
-    step = max(1, 512 // len(shingles))
+    step = max(1, 8 * t // len(shingles))
     for first in range(0, t, step):
         rounds = np.arange(first, min(t, first + step))
         hashes = mix(shingles[None, :] ^ _SEEDS[rounds, None])
-        values = (rounds.astype(U)[:, None] << U(56)) | (hashes >> U(8))
+        values = (rounds.astype(U)[:, None] << place) | (hashes >> rest)
         np.minimum.at(out, (hashes % U(t)).astype(np.int64).ravel(), values.ravel())
         if out.max() != ~U(0):
             return out
     for bin_ in np.flatnonzero(out == ~U(0)):
         i = t + int(bin_)
-        out[bin_] = (U(i) << U(56)) | (mix(shingles ^ _SEEDS[i]).min() >> U(8))
+        out[bin_] = (U(i) << place) | (mix(shingles ^ _SEEDS[i]).min() >> rest)
     return out
 
 
@@ -125,20 +127,16 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
-def bit_planes(coordinates: np.ndarray) -> np.ndarray:
-    """Bit p of all coordinates' digests as one number, for each of ``PLANES`` bits p.
-
-    So the agreeing coordinates of two sketches are the zero bits of one union of differences.
-    """
-    bits = (mix(coordinates)[None, :] >> np.arange(PLANES, dtype=U)[:, None]) & U(1)
-    return (bits << np.arange(COORDINATES, dtype=U)[None, :]).sum(axis=1, dtype=U)
+def fine_bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of ``FINE`` coordinates, as numbers of 64 bits."""
+    return np.packbits((mix(sketch(shingles, FINE)) & U(1)).astype(np.uint8)).view(np.int64)
 
 
-_SKETCHED = "n_shingles long, class binary, bands array<long>, planes array<long>"
+_SKETCHED = "n_shingles long, class binary, bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, bands, planes); class is a digest of the set, null if it is empty."""
+    """(doc_id, n_shingles, class, bands); class is a digest of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +149,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                     pa.array([None if x is None else band_keys(x).view(np.int64) for x in known], pa.list_(pa.int64())),
-                    pa.array([None if x is None else bit_planes(x).view(np.int64) for x in known], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "bands", "planes"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SKETCHED}")
@@ -218,6 +215,23 @@ def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     return stage(listed, "near-possible")
 
 
+def _fine_sketches(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, fine) of the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in pieces(offsets):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                fine = pa.array([fine_bits(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fine], ["rep", "fine"])
+
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    texts = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return stage(texts.mapInArrow(run, f"rep {kind}, fine array<long>"), "near-fine")
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -227,7 +241,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
     known = sketched.where("class is not null and doc_id is not null")
     classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).drop(classes["class"])
-    reps = stage(reps.select("rep", "n_shingles", "bands", "planes"), "near-reps")
+    reps = stage(reps.select("rep", "n_shingles", "bands"), "near-reps")
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stage(bands.join(met, "key").distinct(), "near-members")  # key, rep, band
@@ -261,13 +275,13 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
         )
 
     # All that is left of different components in one bucket, unless sizes or sketches rule a pair out.
-    listed = listed.join(reps.select("rep", "planes", "bands"), "rep")
-    planes = [f"p{k}" for k in range(PLANES)]
-    listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("planes")[k].alias(p) for k, p in enumerate(planes)])
+    listed = listed.join(reps.select("rep", "bands"), "rep").join(_fine_sketches(listed, texts), "rep")
+    fine = [f"f{k}" for k in range(FINE // 64)]
+    listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("fine")[k].alias(f) for k, f in enumerate(fine)])
     other = listed.select("key", *[F.col(c).alias(f"other_{c}") for c in listed.columns[1:] if c != "band"])
-    differ = reduce(Column.bitwiseOR, [F.col(p).bitwiseXOR(F.col(f"other_{p}")) for p in planes])
+    differing = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"other_{f}"))) for f in fine])
     pairs = listed.join(other, "key").where("component < other_component and n <= other_most and other_n <= most")
-    pairs = pairs.where(F.bit_count(differ) <= COORDINATES - LEAST_AGREEING)
+    pairs = pairs.where(differing <= MOST_DIFFERING)
     # A pair may share several buckets and is taken from that of the first band; keys tell bands apart.
     pairs = pairs.where("not arrays_overlap(slice(bands, 1, band), slice(other_bands, 1, band))")
     pairs = _ordered(pairs, "rep", "other_rep").join(tried, ["a", "b"], "left_anti")
