@@ -273,8 +273,8 @@ def anonymize_refunds(refunds: DataFrame, k: Decimal) -> DataFrame:
 def anonymize_landing_pages(pages: DataFrame, salt: str) -> DataFrame:
     """Cleaned paths can merge, so the days are summed again."""
     return pages.groupBy("session_date", anonymize_path(F.col("landing_page"), salt).alias("landing_page")).agg(
-        F.sum("sessions").cast("int").alias("sessions"),
-        F.sum("engaged_sessions").cast("int").alias("engaged_sessions"),
+        F.sum("sessions").cast("bigint").alias("sessions"),
+        F.sum("engaged_sessions").cast("bigint").alias("engaged_sessions"),
         F.max("updated_at").alias("updated_at"),
     )
 

@@ -240,7 +240,7 @@ TABLES: dict[str, str] = {
     "m_sessions": f"""
         SELECT d AS session_date, CASE {_KIND} WHEN 'view' THEN 'search' WHEN 'click' THEN 'social'
             WHEN 'purchase' THEN 'direct' WHEN 'signup' THEN 'email' ELSE 'unknown' END AS referrer_source,
-            CAST(count(*) AS INTEGER) AS sessions, CAST(d AS TIMESTAMP) AS updated_at
+            count(*) AS sessions, CAST(d AS TIMESTAMP) AS updated_at
         FROM ev GROUP BY ALL""",
     "m_visitors": f"""
         SELECT d AS session_date, CASE {_KIND} WHEN 'signup' THEN 'new' WHEN 'error' THEN 'unknown'
@@ -276,11 +276,11 @@ TABLES: dict[str, str] = {
             coalesce(sum(val) FILTER ({_KIND} = 'purchase'), 0) AS purchase_value
         FROM ev GROUP BY ALL""",
     "m_reviews": """
-        SELECT doc_id AS id, CASE WHEN quality = 1 THEN 5 WHEN toxic = 1 THEN 1 ELSE 2 + doc_id % 2 END AS rating,
+        SELECT doc_id AS id, CASE WHEN quality = 1 THEN 5 WHEN toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 2 + doc_id % 2 END AS rating,
             lang || ' ' || source AS title, text AS body, source, p_name AS product_title,
             replace(p_name, ' ', '-') AS product_handle, 'Reviewer ' || doc_id AS reviewer_name,
             'reviewer' || doc_id || '@mail.test' AS reviewer_email, '10.0.0.' || (doc_id % 256) AS ip_address
-        FROM labels JOIN documents USING (doc_id) LEFT JOIN part ON p_partkey = doc_id""",
+        FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN part ON p_partkey = doc_id""",
     "m_notes": """
         SELECT event_id AS id, d AS date, event_type || ' by user ' || user_id AS title,
             CASE WHEN value > 100 THEN props END AS description,
@@ -830,12 +830,12 @@ oracle(
 oracle(
     "upsert_snapshot",
     f"""SELECT session_date, referrer_source, CAST(sessions + CASE WHEN session_date > DATE '{p.SPLIT_DAY - timedelta(days=p.REFETCH_DAYS)}'
-        THEN 1 ELSE 0 END AS INTEGER) AS sessions, updated_at FROM m_sessions""",
+        THEN 1 ELSE 0 END AS BIGINT) AS sessions, updated_at FROM m_sessions""",
 )
 oracle(
     "refetch_window",
     f"""SELECT session_date, referrer_source, CAST(sessions * CASE WHEN session_date BETWEEN
-        DATE '{p.SPLIT_DAY - timedelta(days=p.REFETCH_DAYS - 1)}' AND DATE '{p.SPLIT_DAY}' THEN 2 ELSE 1 END AS INTEGER) AS sessions
+        DATE '{p.SPLIT_DAY - timedelta(days=p.REFETCH_DAYS - 1)}' AND DATE '{p.SPLIT_DAY}' THEN 2 ELSE 1 END AS BIGINT) AS sessions
     FROM m_sessions""",
 )
 oracle(
@@ -902,14 +902,14 @@ oracle(
 )
 oracle(
     "anonymize_landing_pages",
-    f"""SELECT session_date, {path_of("landing_page", p.SALT)} AS landing_page, CAST(sum(sessions) AS INTEGER) AS sessions,
-        CAST(sum(engaged_sessions) AS INTEGER) AS engaged_sessions FROM m_pages GROUP BY 1, 2""",
+    f"""SELECT session_date, {path_of("landing_page", p.SALT)} AS landing_page, CAST(sum(sessions) AS BIGINT) AS sessions,
+        CAST(sum(engaged_sessions) AS BIGINT) AS engaged_sessions FROM m_pages GROUP BY 1, 2""",
 )
 oracle(
     "anonymize_ads",
     f"""SELECT date, platform, a.new_id AS ad_id, a.new_name AS ad_name, s.new_id AS adset_id, s.new_name AS adset_name,
         c.new_id AS campaign_id, c.new_name AS campaign_name, {unit(f"round(spend * {p.K}, 2)")} AS spend, impressions,
-        CAST(clicks AS INTEGER) AS clicks, CAST(purchases AS INTEGER) AS purchases,
+        CAST(clicks AS BIGINT) AS clicks, CAST(purchases AS BIGINT) AS purchases,
         {unit(f"round(purchase_value * {p.K}, 2)")} AS purchase_value
     FROM m_ads JOIN map_ad a ON a.orig = ad_id JOIN map_adset s ON s.orig = adset_id JOIN map_campaign c ON c.orig = campaign_id""",
 )
@@ -928,7 +928,7 @@ _RID = "CAST(id AS VARCHAR)"
 def _by_rating(good: list[str], fair: list[str], poor: list[str]) -> str:
     draw = h(_RID, p.SALT)
     return (
-        f"CASE WHEN rating >= 4 THEN {words_at(good, draw)} WHEN rating = 3 THEN {words_at(fair, draw)} "
+        f"CASE WHEN rating >= 4 THEN {words_at(good, draw)} WHEN coalesce(rating, 3) = 3 THEN {words_at(fair, draw)} "
         f"ELSE {words_at(poor, draw)} END"
     )
 
@@ -986,6 +986,14 @@ _SCANNED = {
     "m_reviews": ("reviews", ["title", "body", "source", "product_title", "product_handle", "reviewer_name"]),
     "m_ads": ("campaign_daily", ["platform", "campaign_name"]),
     "m_notes": ("annotations", ["title", "description", "category", "created_by"]),
+    "m_channels": ("channel_daily", ["channel_group", "source", "medium"]),
+    "m_sessions": ("sessions_daily", ["referrer_source"]),
+    "m_visitors": ("visitors_daily", ["new_vs_returning"]),
+    "m_regions": ("region_daily", ["country", "region"]),
+    "m_pages": ("landing_pages_daily", ["landing_page"]),
+    "m_orders": ("orders", ["order_name"]),
+    "m_lines": ("order_line_items", ["sku", "title", "season_code", "line_status"]),
+    "m_discounts": ("order_discounts", ["code_or_title", "kind", "description"]),
 }
 oracle(
     "term_scan",

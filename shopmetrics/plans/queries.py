@@ -490,8 +490,7 @@ def anonymize_checks(t):
 
 @query
 def term_scan(t):
-    names = ["customers", "orders", "order_attribution", "refunds", "reviews", "campaign_daily", "annotations"]
-    return quality.term_scan({n: t[n] for n in names}, p.BRAND)
+    return quality.term_scan(t, p.BRAND)
 
 
 @query

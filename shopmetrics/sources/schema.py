@@ -2,7 +2,7 @@
 
 DDL strings, one per table. Instants are TIMESTAMP_NTZ in UTC; unit prices are
 decimal(12,2) and accumulated amounts decimal(22,2), so that a hot order or
-customer cannot overflow its total.
+customer cannot overflow its total; daily counts are bigint for the same reason.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql.types import StructType
 
 _MEASURES = (
-    "spend decimal(12,2) not null, impressions bigint not null, clicks int not null, "
-    "purchases int not null, purchase_value decimal(12,2) not null, currency string not null, "
+    "spend decimal(22,2) not null, impressions bigint not null, clicks bigint not null, "
+    "purchases bigint not null, purchase_value decimal(22,2) not null, currency string not null, "
     "updated_at timestamp_ntz not null"
 )
 
@@ -65,29 +65,29 @@ DDL: dict[str, str] = {
         "allocated_amount decimal(12,2) not null, currency string"
     ),
     "sessions_daily": (
-        "session_date date not null, referrer_source string not null, sessions int not null, "
+        "session_date date not null, referrer_source string not null, sessions bigint not null, "
         "updated_at timestamp_ntz not null"
     ),
     "visitors_daily": (
-        "session_date date not null, new_vs_returning string not null, sessions int not null, "
-        "total_users int not null, new_users int not null, updated_at timestamp_ntz not null"
+        "session_date date not null, new_vs_returning string not null, sessions bigint not null, "
+        "total_users bigint not null, new_users bigint not null, updated_at timestamp_ntz not null"
     ),
     "channel_daily": (
         "session_date date not null, channel_group string not null, source string not null, "
-        "medium string not null, sessions int not null, total_users int not null, "
+        "medium string not null, sessions bigint not null, total_users bigint not null, "
         "updated_at timestamp_ntz not null"
     ),
     "device_daily": (
-        "session_date date not null, device_category string not null, sessions int not null, "
-        "total_users int not null, updated_at timestamp_ntz not null"
+        "session_date date not null, device_category string not null, sessions bigint not null, "
+        "total_users bigint not null, updated_at timestamp_ntz not null"
     ),
     "region_daily": (
         "session_date date not null, country string not null, region string not null, "
-        "sessions int not null, total_users int not null, updated_at timestamp_ntz not null"
+        "sessions bigint not null, total_users bigint not null, updated_at timestamp_ntz not null"
     ),
     "landing_pages_daily": (
-        "session_date date not null, landing_page string not null, sessions int not null, "
-        "engaged_sessions int not null, updated_at timestamp_ntz not null"
+        "session_date date not null, landing_page string not null, sessions bigint not null, "
+        "engaged_sessions bigint not null, updated_at timestamp_ntz not null"
     ),
     "reviews": (
         "id bigint not null, rating smallint, title string, body string, created_at timestamp_ntz, "

@@ -431,11 +431,11 @@ class StarTables(LazyTables):
 
     def _reviews(self) -> DataFrame:
         part = self.raw("part").selectExpr("p_partkey AS doc_id", "p_partkey", "p_name")
-        rows = self.raw("labels").join(self.raw("documents"), "doc_id").join(part, "doc_id", "left")
+        rows = self.raw("documents").join(self.raw("labels"), "doc_id", "left").join(part, "doc_id", "left")
         made = "CAST(date_add(DATE '1999-01-01', CAST(doc_id % 900 AS INT)) AS TIMESTAMP_NTZ)"
         exprs = {
             "id": "doc_id",
-            "rating": "CASE WHEN quality = 1 THEN 5 WHEN toxic = 1 THEN 1 ELSE 2 + doc_id % 2 END",
+            "rating": "CASE WHEN quality = 1 THEN 5 WHEN toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 2 + doc_id % 2 END",
             "title": "concat(lang, ' ', source)",
             "body": "text",
             "created_at": made,
