@@ -284,7 +284,7 @@ def anonymize_ads(daily: DataFrame, maps: Mapping[str, DataFrame], k: Decimal, *
     out = daily
     for g in grains:
         out = _mapped(out, maps[g], F.col(f"{g}_id"), g)
-    changes = {"spend": _scaled("spend", k), "purchase_value": _scaled("purchase_value", k)}
+    changes = {"spend": _scaled("spend", k, TOTAL), "purchase_value": _scaled("purchase_value", k, TOTAL)}
     for g in grains:
         changes[f"{g}_id"] = F.coalesce(f"{g}_new_id", f"{g}_id")
         changes[f"{g}_name"] = F.coalesce(f"{g}_new_name", f"{g}_name")

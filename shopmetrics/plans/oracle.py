@@ -908,9 +908,9 @@ oracle(
 oracle(
     "anonymize_ads",
     f"""SELECT date, platform, a.new_id AS ad_id, a.new_name AS ad_name, s.new_id AS adset_id, s.new_name AS adset_name,
-        c.new_id AS campaign_id, c.new_name AS campaign_name, {unit(f"round(spend * {p.K}, 2)")} AS spend, impressions,
+        c.new_id AS campaign_id, c.new_name AS campaign_name, {money(f"round(spend * {p.K}, 2)")} AS spend, impressions,
         CAST(clicks AS BIGINT) AS clicks, CAST(purchases AS BIGINT) AS purchases,
-        {unit(f"round(purchase_value * {p.K}, 2)")} AS purchase_value
+        {money(f"round(purchase_value * {p.K}, 2)")} AS purchase_value
     FROM m_ads JOIN map_ad a ON a.orig = ad_id JOIN map_adset s ON s.orig = adset_id JOIN map_campaign c ON c.orig = campaign_id""",
 )
 oracle(
