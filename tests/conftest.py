@@ -134,6 +134,6 @@ def autumn(make, order):
     returned = ["id", "refund_id", "order_id", "line_item_id", "processed_at", "quantity", "subtotal"]
     return {
         "orders": orders,
-        "order_line_items": make("order_line_items", [dict(zip(names, r, strict=True)) for r in sold]),
+        "order_line_items": make("order_line_items", [{**dict(zip(names, r, strict=True)), "current_quantity": r[4]} for r in sold]),
         "refund_line_items": make("refund_line_items", [dict(zip(returned, r, strict=True)) for r in back]),
     }
