@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import BUSINESS_TZ, Span, business_date, in_spans
@@ -71,7 +73,10 @@ def ledger_of(tables, tz: str = BUSINESS_TZ) -> DataFrame:
 
 
 def booked_in(ledger: DataFrame, spans: list[Span], tz: str = BUSINESS_TZ) -> DataFrame:
-    """Ledger rows of the given inclusive local-date spans."""
+    """Ledger rows of the given inclusive local-date spans; of a stored ledger only their months are read."""
+    if "month_key" in ledger.columns:
+        months = [F.col("month_key").between(F.lit(d0.replace(day=1)), F.lit(d1.replace(day=1))) for d0, d1 in spans]
+        ledger = ledger.filter(reduce(Column.__or__, months, F.lit(False)))
     if "booked_at" in ledger.columns:
         return ledger.filter(in_spans("booked_at", spans, tz))
     cond = F.lit(False)
@@ -80,6 +85,16 @@ def booked_in(ledger: DataFrame, spans: list[Span], tz: str = BUSINESS_TZ) -> Da
     return ledger.filter(cond)
 
 
+def booked_from(ledger: DataFrame, first: Column, tz: str = BUSINESS_TZ) -> DataFrame:
+    """Ledger rows of the local date ``first`` (a constant or a scalar subquery) and later."""
+    if "month_key" in ledger.columns:
+        ledger = ledger.filter(F.col("month_key") >= F.trunc(first, "month"))
+    if "booked_at" in ledger.columns:
+        midnight = F.convert_timezone(F.lit(tz), F.lit("UTC"), first.cast("timestamp_ntz"))
+        return ledger.filter(F.col("booked_at") >= midnight)
+    return ledger.filter(F.col("date_key") >= first)
+
+
 def refund_reconciliation(refunds: DataFrame, refund_lines: DataFrame, tz: str = BUSINESS_TZ) -> DataFrame:
     """Cash returned next to the value booked on lines, per refund.
 

@@ -133,23 +133,25 @@ def perturb_lines(lines: DataFrame, refund_lines: DataFrame, salt: str) -> DataF
 
 
 def perturb_allocations(allocations: DataFrame, new_lines: DataFrame) -> DataFrame:
-    """Discount allocations follow the price and quantity of their line."""
+    """Discount allocations follow the price and quantity of their line; one without a line stays as it is."""
     f = new_lines.select("line_item_id", "price_from", "price_to", "times")
     grown = F.col("allocated_amount") * F.col("times").cast("decimal(1,0)")
-    amount = F.round(grown * F.col("price_to") / F.col("price_from"), 2)
-    return allocations.join(f, "line_item_id").withColumn("allocated_amount", amount.cast(UNIT)).select(
-        *allocations.columns
+    amount = F.coalesce(F.round(grown * F.col("price_to") / F.col("price_from"), 2), F.col("allocated_amount"))
+    return (
+        allocations.join(f, "line_item_id", "left")
+        .withColumn("allocated_amount", amount.cast(UNIT))
+        .select(*allocations.columns)
     )
 
 
 def perturb_refund_lines(refund_lines: DataFrame, new_lines: DataFrame) -> DataFrame:
-    """Refunded values follow the price of their line."""
+    """Refunded values follow the price of their line, with ``old_subtotal`` kept for the refunds."""
     f = new_lines.select("order_id", "line_item_id", "price_from", "price_to")
     amount = F.coalesce(F.round(_repriced("subtotal"), 2), F.col("subtotal"))
     return (
         refund_lines.join(f, ["order_id", "line_item_id"], "left")
-        .withColumn("subtotal", amount.cast(UNIT))
-        .select(*refund_lines.columns)
+        .withColumns({"old_subtotal": F.col("subtotal"), "subtotal": amount.cast(UNIT)})
+        .select(*refund_lines.columns, "old_subtotal")
     )
 
 
@@ -167,23 +169,21 @@ def _by_rho(amount: str, kind: str) -> Column:
     return F.round(F.col(amount) * F.coalesce("rho", F.lit(1)).cast(RHO), 2).cast(kind)
 
 
-def rederive_refunds(
-    refunds: DataFrame, old_refund_lines: DataFrame, new_refund_lines: DataFrame, ratios: DataFrame
-) -> DataFrame:
+def rederive_refunds(refunds: DataFrame, new_refund_lines: DataFrame, ratios: DataFrame) -> DataFrame:
     """Refund cash after the change, with ``old_total`` kept for the order totals.
 
     Cash follows the booked lines; without lines it follows the order; a refund
     without cash stays without.
     """
-    old = old_refund_lines.groupBy("refund_id").agg(F.sum("subtotal").cast(TOTAL).alias("old_alloc"))
-    new = new_refund_lines.groupBy("refund_id").agg(F.sum("subtotal").cast(TOTAL).alias("new_alloc"))
+    booked = new_refund_lines.groupBy("refund_id").agg(
+        F.sum("old_subtotal").cast(TOTAL).alias("old_alloc"), F.sum("subtotal").cast(TOTAL).alias("new_alloc")
+    )
     total = F.col("total_refunded")
     # Multiplied first, in a type that leaves the quotient ten decimals.
     scaled = (total * F.col("new_alloc")).cast("decimal(30,4)")
     by_lines = F.round(scaled / F.nullif(F.col("old_alloc"), F.lit(0)), 2)
     return (
-        refunds.join(old, "refund_id", "left")
-        .join(new, "refund_id", "left")
+        refunds.join(booked, "refund_id", "left")
         .join(ratios, "order_id", "left")
         .withColumn("old_total", total)
         .withColumn(
@@ -282,9 +282,7 @@ def perturb_steps(t: Tables, salt: str) -> Tables:
             "changes": lambda: stage(steps["lines"].select(*CHANGE_COLUMNS), "changes"),
             "ratios": lambda: order_ratios(steps["changes"]),
             "refund_lines": lambda: perturb_refund_lines(t["refund_line_items"], steps["changes"]),
-            "refunds": lambda: rederive_refunds(
-                t["refunds"], t["refund_line_items"], steps["refund_lines"], steps["ratios"]
-            ),
+            "refunds": lambda: rederive_refunds(t["refunds"], steps["refund_lines"], steps["ratios"]),
         }
     )
     return steps
@@ -300,7 +298,7 @@ def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
             "line_item_discount_allocations": lambda: perturb_allocations(
                 t["line_item_discount_allocations"], steps["changes"]
             ),
-            "refund_line_items": lambda: steps["refund_lines"],
+            "refund_line_items": lambda: steps["refund_lines"].drop("old_subtotal"),
             "refunds": lambda: steps["refunds"].drop("old_total"),
             "order_discounts": lambda: rederive_discounts(t["order_discounts"], steps["ratios"]),
             "orders": lambda: renumber_orders(rederive_orders(t["orders"], steps["refunds"], steps["ratios"])),

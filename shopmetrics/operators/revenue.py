@@ -23,7 +23,7 @@ from shopmetrics.functions.money import (
     share_even,
 )
 from shopmetrics.operators.distributed import top_with_rest
-from shopmetrics.operators.ledger import attributed_orders, booked_in
+from shopmetrics.operators.ledger import attributed_orders, booked_from, booked_in
 
 # Month labels.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -219,22 +219,25 @@ def revenue_by_channel(
     return out if limit is None else out.orderBy(F.desc("revenue"), "channel").limit(limit)
 
 
-def _daily_net(ledger: DataFrame) -> DataFrame:
-    """Net sales per day with the latest day of the ledger: one row per calendar day."""
-    daily = ledger.groupBy("date_key").agg(F.sum("amount").cast(TOTAL).alias("net"))
-    return daily.withColumn("last_day", F.max("date_key").over(Window.partitionBy()))
+def _two_years(ledger: DataFrame, tz: str) -> DataFrame:
+    """date_key and amount of the latest year with data and of the year before, with that latest day.
+
+    The latest day comes first, from the dates alone, and bounds what is read and summed.
+    """
+    last_day = ledger.agg(F.max("date_key")).scalar()
+    recent = booked_from(ledger, F.make_date(F.year(last_day) - 1, F.lit(1), F.lit(1)), tz)
+    return recent.select("date_key", "amount", last_day.alias("last_day"))
 
 
-def yearly_comparison_months(ledger: DataFrame) -> DataFrame:
+def yearly_comparison_months(ledger: DataFrame, tz: str = BUSINESS_TZ) -> DataFrame:
     """Full-month revenue of the latest year with data and of the year before, 12 rows."""
-    daily = _daily_net(ledger)
     age = F.year("last_day") - F.year("date_key")
     months = (
-        daily.filter(age.isin(0, 1))
+        _two_years(ledger, tz)
         .groupBy(F.month("date_key").alias("month_number"))
         .agg(
-            F.sum(F.when(age == 0, F.col("net"))).alias("cur"),
-            F.sum(F.when(age == 1, F.col("net"))).alias("prev"),
+            F.sum(F.when(age == 0, F.col("amount"))).alias("cur"),
+            F.sum(F.when(age == 1, F.col("amount"))).alias("prev"),
         )
     )
     labels = F.array(*[F.lit(m) for m in MONTHS])
@@ -247,7 +250,7 @@ def yearly_comparison_months(ledger: DataFrame) -> DataFrame:
     )
 
 
-def yearly_comparison_ytd(ledger: DataFrame, today: date | None = None) -> DataFrame:
+def yearly_comparison_ytd(ledger: DataFrame, today: date | None = None, tz: str = BUSINESS_TZ) -> DataFrame:
     """Year-to-date totals up to the latest day with data against the same span a year earlier.
 
     ``today`` anchors the report when the ledger is empty.
@@ -256,10 +259,10 @@ def yearly_comparison_ytd(ledger: DataFrame, today: date | None = None) -> DataF
     year_ago = F.add_months(last, -12)
     in_cur = (day >= F.trunc(last, "year")) & (day <= last)
     in_prev = (day >= F.trunc(year_ago, "year")) & (day <= year_ago)
-    sums = _daily_net(ledger).agg(
+    sums = _two_years(ledger, tz).agg(
         F.max("last_day").alias("last_day"),
-        F.coalesce(F.sum(F.when(in_cur, F.col("net"))), F.lit(0)).cast(TOTAL).alias("cur"),
-        F.coalesce(F.sum(F.when(in_prev, F.col("net"))), F.lit(0)).cast(TOTAL).alias("prev"),
+        F.coalesce(F.sum(F.when(in_cur, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("cur"),
+        F.coalesce(F.sum(F.when(in_prev, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("prev"),
     )
     end = F.coalesce("last_day", F.lit(today).cast("date"))
     return sums.select(

@@ -3,7 +3,8 @@ from decimal import Decimal as D
 
 import pytest
 
-from shopmetrics.operators import ledger
+from shopmetrics.operators import ledger, revenue
+from shopmetrics.sources.stored_ledger import read_ledger, write_ledger
 
 
 def rows(df, *cols):
@@ -110,3 +111,25 @@ def test_daily_conversion_without_orders_or_sessions(make, order):
         (date(2026, 1, 10), 3, 1, D("9.50"), D("33.33")),
         (date(2026, 1, 11), 0, 0, None, None),
     ]
+
+
+def test_stored_ledger(spark, autumn, tmp_path):
+    whole, path = ledger.ledger_of(autumn), str(tmp_path / "ledger")
+    write_ledger(whole, path)
+    stored = read_ledger(spark, path)
+    assert stored.count() == whole.count()
+    for d0, d1 in [(date(2024, 10, 1), date(2024, 10, 31)), (date(2024, 10, 8), date(2024, 11, 5)), (date(2020, 1, 1), date(2020, 1, 2))]:
+        assert revenue.revenue_summary(stored, d0, d1).collect() == revenue.revenue_summary(whole, d0, d1).collect()
+    by_month = ["month_number", "current_year_revenue", "previous_year_revenue"]
+    assert rows(revenue.yearly_comparison_months(stored), *by_month) == rows(revenue.yearly_comparison_months(whole), *by_month)
+    assert revenue.yearly_comparison_ytd(stored).collect() == revenue.yearly_comparison_ytd(whole).collect()
+    october = ledger.booked_in(stored, [(date(2024, 10, 2), date(2024, 10, 9))])
+    plan = october._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month_key" in plan
+    assert {f.split("month_key=")[1][:10] for f in october.inputFiles()} >= {"2024-10-01"}
+
+
+def test_stored_ledger_without_rows(spark, make, tmp_path):
+    empty = ledger.sales_ledger(make("order_line_items", []), make("orders", []), make("refund_line_items", []))
+    write_ledger(empty, str(tmp_path / "empty"))
+    assert revenue.yearly_comparison_ytd(read_ledger(spark, str(tmp_path / "empty")), date(2026, 7, 1)).first().current_year == 2026

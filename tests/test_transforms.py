@@ -128,14 +128,23 @@ def test_refund_cash_rules(make, spark):
         ],
     )
 
-    def lines(value):
-        return make(
-            "refund_line_items",
-            [{"id": i, "refund_id": i, "order_id": 1, "line_item_id": i, "processed_at": "2026-01-01", "quantity": 1, "subtotal": value} for i in (1, 2)],
-        )
+    lines = make(
+        "refund_line_items",
+        [{"id": i, "refund_id": i, "order_id": 1, "line_item_id": i, "processed_at": "2026-01-01", "quantity": 1, "subtotal": "5.00"} for i in (1, 2)],
+    ).withColumn("old_subtotal", F.lit(D("4.00")))
 
     ratios = spark.createDataFrame([(1, D("1.5"))], "order_id long, rho decimal(20,16)")
-    out = perturb.rederive_refunds(refunds, lines("4.00"), lines("5.00"), ratios)
+    out = perturb.rederive_refunds(refunds, lines, ratios)
     got = {r.refund_id: r.total_refunded for r in out.collect()}
     # by its lines, no cash stays no cash, by the order where no line is named
     assert got == {1: D("12.50"), 2: D("0.00"), 3: D("12.00")}
+
+
+def test_allocations_without_a_line_stay(spark, make):
+    allocations = make(
+        "line_item_discount_allocations",
+        [{"id": i, "line_item_id": i, "order_discount_id": 1, "allocated_amount": "3.00"} for i in (1, 2)],
+    )
+    changes = spark.createDataFrame([(1, D("2.00"), D("3.00"), 2)], "line_item_id long, price_from decimal(12,2), price_to decimal(12,2), times int")
+    got = {r.id: r.allocated_amount for r in perturb.perturb_allocations(allocations, changes).collect()}
+    assert got == {1: D("9.00"), 2: D("3.00")}
