@@ -71,15 +71,16 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def components(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, label: str, staged: bool = False) -> DataFrame:
     """(node, component) for every node of ``edges``: the smallest node reachable.
 
     Alternates large-star and small-star steps, which keep the number of edges from growing and
     need a logarithmic number of rounds. Each round is a grouped minimum (combined before the
     shuffle) and a join in which Spark may split a hot node. Loops and null ends are ignored.
+    ``staged`` edges are scans of written tables with few repetitions, which needn't be written again.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    pairs = stage(pairs, f"{label}-edges")
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
+    pairs = pairs if staged else stage(pairs.distinct(), f"{label}-edges")
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -239,21 +239,21 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(class, rep) of the classes, the links (a, b) between representatives and their components."""
     known = sketched.where("class is not null and doc_id is not null")
-    classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).drop(classes["class"])
-    reps = stage(reps.select("rep", "n_shingles", "bands"), "near-reps")
+    # Equal sets have equal sizes and bands, so any of a class will do.
+    any_of = [F.any_value(c).alias(c) for c in ("n_shingles", "bands")]
+    reps = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep"), *any_of), "near-reps")
+    classes = reps.select("class", "rep")
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage(bands.join(met, "key").distinct(), "near-members")  # key, rep, band
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead")
+    members = stage(bands.join(met, "key"), "near-members")  # key, rep, band, lead
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = stage(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
 
     # All against the smallest of their bucket.
-    leaders = members.groupBy("key").agg(F.min("rep").alias("lead"))
-    tried = stage(_ordered(members.join(leaders, "key").where("lead <> rep"), "lead", "rep"), "near-pairs")
+    tried = stage(_ordered(members.where("lead <> rep"), "lead", "rep"), "near-pairs")
     found = stage(_confirmed(tried, texts), "near-links")
-    group = components(found, "a", "b", "near")
+    group = components(found, "a", "b", "near", staged=True)
     rest = _mixed(members, group, "near-rest")
     if rest.isEmpty():
         return classes, found, group
@@ -269,7 +269,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
     more = stage(_confirmed(pairs, texts), "near-links")
     if not more.isEmpty():
         tried, found = tried.union(pairs), found.union(more)
-        group = components(found, "a", "b", "near")
+        group = components(found, "a", "b", "near", staged=True)
         listed = _mixed(listed.select("key", "rep", "band"), group, "near-rest").join(
             listed.select("rep", "n", "most").distinct(), "rep"
         )
@@ -290,7 +290,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
     if more.isEmpty():
         return classes, found, group
     found = found.union(more)
-    return classes, found, components(found, "a", "b", "near")
+    return classes, found, components(found, "a", "b", "near", staged=True)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tied = nodes.join(shared.select("doc_id"), "doc_id").join(classes, "class")
     tied = stage(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "near-tied")
     if not tied.isEmpty():
-        group = components(found.union(tied), "a", "b", "near")
+        group = components(found.union(tied), "a", "b", "near", staged=True)
     named = classes.join(group, classes["rep"] == group["node"], "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
