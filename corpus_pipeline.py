@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shopmetrics.llm import bpe, exact, language, minhash, mixing
 from shopmetrics.sources.staging import staging_root
 
+#: Words of a shingle in the near-duplicate stage; op5_minhash has its own number.
+NEAR_WORDS = 5
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.known_language(docs)
@@ -24,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(docs)
+    return minhash.near_dedup(docs, NEAR_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from shopmetrics.llm.common import BASE, BASE_INVERSE, U, components, mix, pieces, powers, utf8
 from shopmetrics.sources.staging import stage
 
+#: Words of a shingle in op5_minhash; the pipeline's stage passes its own number.
 SHINGLE_WORDS = 4
 PERCENT = 80
 COORDINATES = 64
@@ -52,7 +53,6 @@ _FOLD[9:14] = 32
 
 
 _SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=U) * BASE)
-_PLACES = mix(np.arange(101, 101 + SHINGLE_WORDS, dtype=U)) | U(1)
 _BAND_SEEDS = mix(np.arange(301, 301 + BANDS, dtype=U))
 
 
@@ -79,20 +79,21 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(words + (stops - starts).astype(U)), per_text
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of ``width`` words of each text."""
     words, per_text = word_hashes(data, bounds)
-    n = max(0, len(words) - SHINGLE_WORDS + 1)
+    places = mix(np.arange(101, 101 + width, dtype=U)) | U(1)
+    n = max(0, len(words) - width + 1)
     joined = np.zeros(n, U)
-    for k in range(SHINGLE_WORDS):
-        joined += words[k : k + n] * _PLACES[k]
+    for k in range(width):
+        joined += words[k : k + n] * places[k]
     joined = mix(joined)
     sets, first = [], 0
     for count in per_text.tolist():
-        if count >= SHINGLE_WORDS:
-            sets.append(np.unique(joined[first : first + count - SHINGLE_WORDS + 1]))
+        if count >= width:
+            sets.append(np.unique(joined[first : first + count - width + 1]))
         elif count:
-            part = (words[first : first + count] * _PLACES[:count]).sum(dtype=U) + U(count)
+            part = (words[first : first + count] * places[:count]).sum(dtype=U) + U(count)
             sets.append(mix(np.array([part], U)))
         else:
             sets.append(np.zeros(0, U))
@@ -135,14 +136,14 @@ def fine_bits(shingles: np.ndarray) -> np.ndarray:
 _SKETCHED = "n_shingles long, class binary, bands array<long>"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, class, bands); class is a digest of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in pieces(offsets):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 known = [sketch(x) if len(x) else None for x in sets]
                 columns = [
                     batch.column(0).slice(a, b - a),
@@ -156,7 +157,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SKETCHED}")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts' full sets are similar enough."""
 
     @F.arrow_udf("boolean")
@@ -164,7 +165,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         out: list[bool] = []
         sides = [utf8(left), utf8(right)]
         for a, b in pieces(np.maximum.accumulate(sides[0][1] - sides[0][1][0] + sides[1][1] - sides[1][1][0])):
-            x, y = (shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a]) for d, o in sides)
+            x, y = (shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a], width) for d, o in sides)
             for p, q in zip(x, y, strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * both >= PERCENT * (len(p) + len(q) - both))
@@ -183,7 +184,7 @@ def _mixed(members: DataFrame, group: DataFrame, label: str) -> DataFrame:
     return stage(placed.join(mixed.where("low <> high").select("key"), "key"), label)
 
 
-def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(key, rep, band, component, n, most) of the members that can be linked with another one of their bucket.
 
     Of n shingles let u occur in no other member. Then a pair shares at most min(n - u) of the two,
@@ -195,7 +196,7 @@ def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in pieces(offsets):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), [len(x) for x in sets])))
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids, flat], ["rep", "shingle"])
@@ -215,14 +216,14 @@ def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     return stage(listed, "near-possible")
 
 
-def _fine_sketches(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _fine_sketches(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(rep, fine) of the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in pieces(offsets):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 fine = pa.array([fine_bits(x) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fine], ["rep", "fine"])
 
@@ -236,7 +237,7 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, sketched: DataFrame, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(class, rep) of the classes, the links (a, b) between representatives and their components."""
     known = sketched.where("class is not null and doc_id is not null")
     # Equal sets have equal sizes and bands, so any of a class will do.
@@ -252,21 +253,21 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
 
     # All against the smallest of their bucket.
     tried = stage(_ordered(members.where("lead <> rep"), "lead", "rep"), "near-pairs")
-    found = stage(_confirmed(tried, texts), "near-links")
+    found = stage(_confirmed(tried, texts, width), "near-links")
     group = components(found, "a", "b", "near", staged=True)
     rest = _mixed(members, group, "near-rest")
     if rest.isEmpty():
         return classes, found, group
 
     # What may still be linked, against the member of another component that has most links.
-    listed = _possible(rest, texts, reps)
+    listed = _possible(rest, texts, reps, width)
     degree = found.select("a").union(found.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     ranked = listed.join(degree, "rep", "left")
     rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("rep").alias("lead"), F.col("component").alias("other"))
     best = ranked.groupBy("key").agg(F.max(rank).alias("best")).select("key", "best.lead", "best.other")
     pairs = _ordered(listed.join(best, "key").where("component <> other"), "lead", "rep").join(tried, ["a", "b"], "left_anti")
     pairs = stage(pairs, "near-pairs")
-    more = stage(_confirmed(pairs, texts), "near-links")
+    more = stage(_confirmed(pairs, texts, width), "near-links")
     if not more.isEmpty():
         tried, found = tried.union(pairs), found.union(more)
         group = components(found, "a", "b", "near", staged=True)
@@ -275,7 +276,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
         )
 
     # All that is left of different components in one bucket, unless sizes or sketches rule a pair out.
-    listed = listed.join(reps.select("rep", "bands"), "rep").join(_fine_sketches(listed, texts), "rep")
+    listed = listed.join(reps.select("rep", "bands"), "rep").join(_fine_sketches(listed, texts, width), "rep")
     fine = [f"f{k}" for k in range(FINE // 64)]
     listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("fine")[k].alias(f) for k, f in enumerate(fine)])
     other = listed.select("key", *[F.col(c).alias(f"other_{c}") for c in listed.columns[1:] if c != "band"])
@@ -286,18 +287,18 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame, D
     pairs = pairs.where("not arrays_overlap(slice(bands, 1, band), slice(other_bands, 1, band))")
     pairs = _ordered(pairs, "rep", "other_rep").join(tried, ["a", "b"], "left_anti")
     pairs = stage(pairs, "near-pairs")
-    more = stage(_confirmed(pairs, texts), "near-links")
+    more = stage(_confirmed(pairs, texts, width), "near-links")
     if more.isEmpty():
         return classes, found, group
     found = found.union(more)
     return classes, found, components(found, "a", "b", "near", staged=True)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, by shingles of ``width`` words."""
     docs = docs.select("doc_id", "text")
-    sketched = stage(sketches(docs), "near-sketches")
-    classes, found, group = links(docs, sketched)
+    sketched = stage(sketches(docs, width), "near-sketches")
+    classes, found, group = links(docs, sketched, width)
     # Rows that share an id tie their classes together.
     nodes = sketched.select("doc_id", "class").where("class is not null and doc_id is not null")
     shared = nodes.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
@@ -312,7 +313,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns."""
-    goes = near_groups(docs).where("not kept").select(F.col("doc_id").alias("goes_id"))
+    goes = near_groups(docs, width).where("not kept").select(F.col("doc_id").alias("goes_id"))
     return docs.join(goes, docs["doc_id"] == F.col("goes_id"), "left_anti").select(*docs.columns)

@@ -34,7 +34,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), minhash.SHINGLE_WORDS)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
