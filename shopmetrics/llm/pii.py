@@ -2,8 +2,9 @@
 
 The base spans follow fixed rules: an e-mail address, an IP address, a card number with a valid check
 digit, an international phone number. Beside them, generators of high recall propose spans that may
-overlap: loose addresses around an at sign (also written out in brackets) and every run of
-digits with the separators that people use, as a possible address, card and phone number. For each
+overlap: loose addresses around an at sign (also written out in brackets), addresses with bracketed dots,
+and every run of digits with the separators that people use and, at these separators, its windows of up to
+``WINDOW`` groups, as a possible address, card and phone number. For each
 kind boosted trees of two splits score a candidate by its format and by the words around it. They
 are trained on the candidates of ``TRAIN_DOCS`` documents, those with the smallest hash of the id, a
 candidate being positive where the base rule has exactly its span. Half of these documents are
@@ -36,11 +37,14 @@ RATE = 0.3
 PRECISION = 0.995
 LEAST_CONFIDENCE = 0.9
 CONTEXT = 40
+WINDOW = 6  # groups of digits that a proposed part of a run has at most
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+GROUP = re.compile(r"[0-9]+")
+DEFANGED = re.compile(r"(?<![0-9.\])])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])")
 RUN = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
 WRITTEN = re.compile(r"\w[\w.+-]*+ ?[\[(]at[\])] ?\w[\w-]*+(?: ?(?:\.|[\[(]dot[\])]) ?\w[\w-]*+)+")
 LOOSE_TAIL = re.compile(r"[^\s@<>\"']*+")
@@ -129,15 +133,39 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         found += [("email", m.start(), m.end()) for m in WRITTEN.finditer(text)]
     if _DIGIT.search(text):
         for m in RUN.finditer(text):
-            length = m.end() - m.start()
-            if 7 <= length <= 40:
-                n, digit = len(_digits(m[0])), m.start() + _DIGIT.search(m[0]).start()
-                if m[0].count(".") == 3:
-                    found.append(("ip", digit, m.end()))
-                if 12 <= n <= 19:
-                    found.append(("card", digit, m.end()))
-                if 7 <= n <= 15:
-                    found.append(("phone", m.start(), m.end()))
+            found += _within(text, m.start(), m.end())
+        found += [("ip", m.start(), m.end()) for m in DEFANGED.finditer(text)]
+    return list(dict.fromkeys(found))
+
+
+def _within(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """The run from ``start`` to ``end`` and the windows of up to ``WINDOW`` of its groups of digits, where they fit a kind."""
+    places = [(m.start(), m.end()) for m in GROUP.finditer(text, start, end)]
+    sizes = [b - a for a, b in places]
+    # (first, last, number of digits); the whole run comes first, whatever the number of its groups.
+    spans = [(0, len(places) - 1, sum(sizes))]
+    for k in range(len(places)):
+        n = 0
+        for last in range(k, min(k + WINDOW, len(places))):
+            n += sizes[last]
+            if n > 19:
+                break
+            spans.append((k, last, n))
+    found = []
+    for k, last, n in spans:
+        digit, stop = places[k][0], places[last][1]
+        if last - k == 3 and all(text[places[i][1] : places[i + 1][0]] == "." for i in range(k, last)):
+            found.append(("ip", digit, stop))
+        if 12 <= n <= 19:
+            found.append(("card", digit, stop))
+        if 7 <= n <= 15:
+            # The sign and the bracket before the first group belong to a phone number.
+            first = digit
+            if first > start and text[first - 1] == "(" and text.find(")", digit, stop) > 0:
+                first -= 1
+            if first - 1 == start and text[start] == "+":
+                first = start
+            found.append(("phone", first, stop))
     return found
 
 

@@ -340,3 +340,19 @@ def test_pipeline_keeps_one_of_each_whole_component(spark):
     component = components_of(sets)
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, star).collect()}
     assert kept == {d for d in sets if component[d] == d}
+
+
+def proposed(text):
+    return {(kind, text[a:b]) for kind, a, b in pii.candidates(text)}
+
+
+def test_candidates_are_parts_of_runs_too():
+    assert ("card", "4111 1111 1111 1111") in proposed("card 4111 1111 1111 1111 12/27")
+    assert {("phone", "212-555-0123"), ("phone", "212-555-0199")} <= proposed("212-555-0123 212-555-0199")
+    three = ["(212) 555-0123", "(212) 555-0199", "(646) 555-0142"]
+    assert {("phone", x) for x in three} <= proposed("call " + " ".join(three))
+    assert ("phone", "+1 (826) 555-4081") in proposed("+1 (826) 555-4081 190.137.223.204")
+    assert ("ip", "10[.]0[.]0[.]7") in proposed("host 10[.]0[.]0[.]7")
+    # Linear: a bounded number of proposals for each group of digits.
+    for n in (200, 2000):
+        assert len(pii.candidates("12 " * n)) <= 12 * n
