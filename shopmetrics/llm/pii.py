@@ -5,22 +5,27 @@ digit, an international phone number. Beside them, generators of high recall pro
 overlap: loose addresses around an at sign (also written out in brackets), addresses with bracketed dots,
 and every run of digits with the separators that people use and, at these separators, its windows of up to
 ``WINDOW`` groups, as a possible address, card and phone number. For each
-kind boosted trees of two splits score a candidate by its format and by the words around it. They
-are trained on the candidates of ``TRAIN_DOCS`` documents, those with the smallest hash of the id, a
-candidate being positive where the base rule has exactly its span. Half of these documents are
-kept from the training and set the threshold: the lowest score at which at least ``PRECISION`` of the
-candidates are positive. Candidates from there on that overlap no other span of the result are added,
-the highest score first. Base spans always stay.
+kind boosted trees of two splits score a candidate by its format and by the words around it.
+
+What no base rule covers counts as positive by its form and check digit where the nearest telling word before it
+names the kind or the form alone is plain (see ``label``), and as negative otherwise. As such forms are rare, the
+base spans are also put into forms that the base rules don't find (without the plus, the at sign written out, other
+lengths and separators), into contexts that do and don't tell, and spoiled; these disguises are labelled alike.
+The trees are fitted on half of ``TRAIN_DOCS`` documents, those with the smallest hash of the id. The other half's
+examples that no base span covers set the threshold: the lowest score from which on at least ``PRECISION`` of them
+are positive. Candidates from there on that overlap no
+other span of the result are added, the highest score first. Base spans always stay.
 
 Offsets are code points, ends exclusive. Every scan is linear in the text. Defined cases: a null
-text counts as empty and has no spans; where a kind has no positive candidates to learn from,
-nothing is added to it; rows are handled one by one, so repeated ids, null ids, further columns and
+text counts as empty and has no spans; where a kind has no examples of both classes
+in one half of the texts and none that is positive in the other, nothing is added to it; rows are handled one by one, so repeated ids, null ids, further columns and
 empty tables need nothing special.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,7 @@ RATE = 0.3
 PRECISION = 0.995
 LEAST_CONFIDENCE = 0.9
 CONTEXT = 40
+SCORED = 4096  # candidates that are scored at once
 WINDOW = 6  # groups of digits that a proposed part of a run has at most
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,13 +55,19 @@ RUN = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
 WRITTEN = re.compile(r"\w[\w.+-]*+ ?[\[(]at[\])] ?\w[\w-]*+(?: ?(?:\.|[\[(]dot[\])]) ?\w[\w-]*+)+")
 LOOSE_TAIL = re.compile(r"[^\s@<>\"']*+")
 
-#: Words near a span that tell what it is.
-CLUES = {
-    "email": re.compile(r"e-?mail|contact|write|correo|courriel|adresse", re.I),
-    "ip": re.compile(r"\bip\b|address|server|host|login|version|v\.?\s?\d", re.I),
-    "card": re.compile(r"card|visa|master|credit|pay|karte|tarjeta|carte", re.I),
-    "phone": re.compile(r"phone|tel|call|fax|mobile|anruf|llama|appel", re.I),
-}
+#: Words near a span that tell what it is, or that it is something else.
+SAID = re.compile(
+    r"\b(?:(?P<email>e-?mails?|correos?|courriel|contact)|(?P<ip>ip|ipv4|server|host|login)"
+    r"|(?P<card>cards?|visa|mastercard|amex|credit|karte|kreditkarte|tarjeta|carte)"
+    r"|(?P<phone>(?:tele)?phones?|tel|telefon|teléfono|téléphone|calls?|fax|mobile?|mobil|handy|móvil|portable|anruf|llama|appel)"
+    r"|(?P<other>orders?|invoices?|ids?|tickets?|zip|isbn|total|amount|version|serial|items?|sku|ref|token))\b",
+    re.I,
+)
+NATIONAL = ([3, 3, 4], [1, 3, 3, 4])
+CARDS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+AT = re.compile(r" ?[\[(]at[\])] ?")
+DOT = re.compile(r" ?[\[(]dot[\])] ?| ?\. ?")
+ADDRESS = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -169,20 +181,177 @@ def _within(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     return found
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[float]:
+def _groups(span: str) -> list[int]:
+    return [len(x) for x in GROUP.findall(span)]
+
+
+def _cut(text: str, start: int, end: int) -> bool:
+    """Whether the span is part of something longer: joined to a letter, a digit or a bracket's other half."""
+    span = text[start:end]
+    left, right = text[start - 1 : start] if start else "", text[end : end + 1]
+    before, after = text[max(0, start - 2) : max(0, start - 1)], text[end + 1 : end + 2]
+    return (
+        left.isalnum() or left in ("@", "_", "=", "+") or (left in ("-", ".", "/", ")") and before.isalnum())
+        or right.isalnum() or right in ("@", "_", "=") or (right in ("-", ".", "/") and after.isalnum())
+        or span.count("(") != span.count(")")
+    )
+
+
+def _usual(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether the digits are grouped as a card's or a national phone number's usually are."""
     span = text[start:end]
+    digits, groups = _digits(span), _groups(span)
+    if kind == "card":
+        return groups in CARDS and digits[0] in "3456" and luhn(digits)
+    return groups in NATIONAL and digits[-10] in "23456789" and digits[-7] in "23456789" and (len(groups) < 4 or digits[0] == "1")
+
+
+def rivals(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
+    """The cards and phone numbers among the spans that overlap one of the usual grouping, or are part of a longer one."""
+    out = set()
+    for kind in ("card", "phone"):
+        own = sorted((s for s in spans if s[0] == kind), key=lambda s: (s[1], -s[2]))
+        good = {s for s in own if valid(text, *s)}
+        usual = [s for s in own if s in good and _usual(text, *s)]
+        known, at, reach = set(usual), 0, -1
+        for s in own:
+            while at < len(usual) and usual[at][2] <= s[1]:
+                at += 1
+            k = at
+            while k < len(usual) and usual[k][1] < s[2] and s not in out:
+                other = usual[k]
+                if other != s and other[2] > s[1] and (s not in known or other[2] - other[1] > s[2] - s[1]):
+                    out.add(s)
+                k += 1
+            if s not in out and s not in known and s[2] <= reach:
+                out.add(s)
+            if s not in out and s in good:
+                reach = max(reach, s[2])
+    return out
+
+
+def said(text: str, start: int, end: int) -> tuple[str, str]:
+    """What the nearest telling words before and after the span name; empty without one."""
+    before, after = "", ""
+    for m in SAID.finditer(text, max(0, start - CONTEXT), start):
+        before = m.lastgroup
+    m = SAID.search(text, end, end + CONTEXT)
+    return before, m.lastgroup if m else after
+
+
+def valid(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether the span can be of its kind by its form and check digit."""
+    span = text[start:end]
+    if kind == "email":
+        return bool(ADDRESS.fullmatch(DOT.sub(".", AT.sub("@", span))))
+    if _cut(text, start, end):
+        return False
+    digits, groups = _digits(span), _groups(span)
+    if kind == "ip":
+        return len(groups) == 4 and all(map(_byte, GROUP.findall(span)))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits)
+    dated = groups[:3] in ([4, 2, 2], [4, 1, 2], [4, 2, 1]) or groups[:3] in ([2, 2, 4], [1, 2, 4])
+    dotted = len(groups) == 4 and span.count(".") == 3
+    return 7 <= len(digits) <= 15 and len(set(digits)) > 1 and not dated and not dotted
+
+
+def plain(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether the form of a valid span tells its kind without further words."""
+    if kind in ("email", "ip"):
+        return True
+    span, usual = text[start:end], _usual(text, kind, start, end)
+    return usual if kind == "card" else span[0] == "+" and len(_digits(span)) >= 10 or usual and any(c in span for c in "-.(")
+
+
+def label(text: str, kind: str, start: int, end: int, rival: bool) -> bool:
+    """Whether a span that no base rule covers counts as personal data."""
+    if rival or not valid(text, kind, start, end):
+        return False
+    before = said(text, start, end)[0]
+    return before == kind or before != "other" and plain(text, kind, start, end)
+
+
+def disguised(text: str, kind: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Texts in which a base span stands in a form that the base rules don't find, or spoiled, and its place there."""
+    span, left, right = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     digits = _digits(span)
-    groups = [len(x) for x in re.split(r"[^0-9]+", span) if x]
-    around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
-    left, right = text[start - 1 : start], text[end : end + 1]
-    host = span.rpartition("@")[2] if "@" in span else ""
+    if kind == "email":
+        name, _, host = span.rpartition("@")
+        forms = [("", f"{name} [at] {host.replace('.', ' [dot] ')}"), ("", f"{name}(at){host}"), ("", f"{name}@{host[0]}ü{host[1:]}"),
+                 ("", f"{name}@{host.replace('.', '')}"), ("", f"{name}@{host.replace('.', '..')}ü"), ("", f"{name}@{host[:3].replace('.', '')}")]
+    elif kind == "ip":
+        parts = span.split(".")
+        forms = [("", "[.]".join(parts)), ("", "[dot]".join(parts)), ("", "[.]".join(["7" + parts[0].zfill(2)[-2:], *parts[1:]]))]
+    elif kind == "card":
+        short = [next(digits[: n - 1] + d for d in "0123456789" if luhn(digits[: n - 1] + d)) for n in (12, 13)]
+        wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        dotted = ".".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        forms = [(w, f) for f in (*short, wrong, dotted, f"{span} 12") for w in ("", "card ", "order ")]
+    else:
+        bare = span.lstrip("+")
+        last = f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}"
+        forms = [(w, f) for f in (bare, digits, last, f"{span} 00.00.00.00") for w in ("", "phone ", "order ")]
+    return [(left + w + f + right, len(left) + len(w), len(left) + len(w) + len(f)) for w, f in forms]
+
+
+#: What a number of ``examples`` stands for: a base span, a proposal that meets none, a proposal in a disguise.
+BASE_RULE, PROPOSED, DISGUISED = range(3)
+
+
+def examples(text: str) -> Iterator[tuple[str, int, bool, list[float]]]:
+    """(kind, origin, label, features) of the text's spans and of disguises of those that the base rules find.
+
+    Parts of a base span of the same kind are left out: they are never added and tell nothing.
+    """
+    base = base_spans(text)
+    known = set(base)
+    for origin, t, first, last in [(PROPOSED, text, 0, len(text)), *[(DISGUISED, *d) for span in base for d in disguised(text, *span)]]:
+        found = candidates(t)
+        rival = rivals(t, found)
+        covered = base if origin == PROPOSED else base_spans(t)
+        for span, met in zip(found, overlapping(found, covered), strict=True):
+            kind, start, end = span
+            if origin == PROPOSED and span in known:
+                yield kind, BASE_RULE, True, features(t, *span, span in rival)
+            elif start < last and end > first and kind not in met:
+                own = PROPOSED if origin == PROPOSED and not met else DISGUISED if origin == DISGUISED and not met else BASE_RULE
+                yield kind, own, not met and label(t, *span, span in rival), features(t, *span, span in rival)
+
+
+def overlapping(spans: list[tuple[str, int, int]], covered: list[tuple[str, int, int]]) -> list[set[str]]:
+    """For each span the kinds of those of ``covered`` that it overlaps."""
+    # By kind the covered ones don't overlap each other, so two bounds find them.
+    out: list[set[str]] = [set() for _ in spans]
+    for kind in KINDS:
+        own = sorted((a, b) for k, a, b in covered if k == kind)
+        starts, ends = [a for a, _ in own], [b for _, b in own]
+        for (_, start, end), kinds in zip(spans, out, strict=True):
+            if bisect_left(starts, end) > bisect_right(ends, start):
+                kinds.add(kind)
+    return out
+
+
+def features(text: str, kind: str, start: int, end: int, rival: bool = False) -> list[float]:
+    span = text[start:end]
+    digits = _digits(span)
+    groups = _groups(span)
+    left, right = text[max(0, start - 1) : start], text[end : end + 1]
+    host = DOT.sub(".", AT.sub("@", span)).rpartition("@")[2] if kind == "email" else ""
+    before, after = said(text, start, end)
+    top = host.rpartition(".")[2]
+    sound = not rival and valid(text, kind, start, end)
+    # Of features that part a sample equally well the first one is taken.
     return [
+        float(sound), float(sound and plain(text, kind, start, end)), float(before == kind), float(before == "other"),
         float(len(span)), float(len(digits)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(span[:1] == "+"), float("(" in span), float(span.count(".")), float(span.count("-")), float(span.count(" ")),
         float(bool(digits) and len(digits) < 40 and luhn(digits)), float(left.isalnum() or left in ("@", "_", "/", "=")),
         float(right.isalnum() or right in ("@", "_", "/", "=")), float(sum(map(str.isalpha, span))), float(host.count(".")),
-        float(len(host.rpartition(".")[2])), float(host.isascii()), float(max((int(x) for x in re.findall(r"[0-9]{1,4}", span)), default=0)),
-        float(digits[:1] in ("3", "4", "5", "6")), *[float(bool(clue.search(around))) for clue in CLUES.values()],
+        float(len(top)), float(top.isalpha()), float(host.isascii()), float(".." in span),
+        float(max((int(x) for x in re.findall(r"[0-9]{1,4}", span)), default=0)), float(digits[:1] in ("3", "4", "5", "6")),
+        float(before not in ("", kind)), float(after == kind), float("[" in span),
+        float(kind != "email" and _cut(text, start, end)), float(rival), float(kind in ("card", "phone") and _usual(text, kind, start, end)),
     ]
 
 
@@ -234,7 +403,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> list[Tree]:
 
 
 def train(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
-    """Trees and threshold for each kind that has positive candidates."""
+    """Trees and threshold for each kind that has examples of both classes."""
     rank = F.xxhash64("doc_id")
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(rank, "doc_id").limit(TRAIN_DOCS)
     # At most TRAIN_DOCS ids, hence the broadcast.
@@ -244,24 +413,22 @@ def train(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
         for batch in batches:
             rows = []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base = set(base_spans(text))
-                for span in dict.fromkeys(candidates(text)):
-                    rows.append({"h": h, "kind": span[0], "y": int(span in base), "x": features(text, *span)})
-            schema = pa.schema([("h", pa.int64()), ("kind", pa.string()), ("y", pa.int64()), ("x", pa.list_(pa.float64()))])
+                rows += [{"h": h, "kind": kind, "origin": o, "y": int(y), "x": x} for kind, o, y, x in examples(text)]
+            schema = pa.schema([("h", pa.int64()), ("kind", pa.string()), ("origin", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.float64()))])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # Each kind gives at most 2 * TRAIN_DOCS candidates, those with the smallest hash.
-    proposed = sample.mapInArrow(propose, "h long, kind string, y long, x array<double>")
+    # Each kind gives at most 4 * TRAIN_DOCS examples, those with the smallest hash.
+    proposed = sample.mapInArrow(propose, "h long, kind string, origin long, y long, x array<double>")
     model = {}
     for kind in KINDS:
         order = F.xxhash64("h", "x")
-        rows = proposed.where(F.col("kind") == kind).select("h", "y", "x").orderBy(order, "h").limit(2 * TRAIN_DOCS).collect()
-        y, half = np.array([r.y for r in rows], float), np.array([r.h % 2 == 0 for r in rows], bool)
-        if not y[half].any() or not y[~half].any():
+        rows = proposed.where(F.col("kind") == kind).select("h", "origin", "y", "x").orderBy(order, "h").limit(4 * TRAIN_DOCS).collect()
+        fitted = [r for r in rows if r.h % 2 == 0]
+        held = [r for r in rows if r.h % 2 and r.origin != BASE_RULE]
+        if not any(r.y for r in fitted) or not any(r.y for r in held):
             continue
-        x = np.array([r.x for r in rows])
-        trees = fit(x[half], y[half])
-        p, sure = score(trees, x[~half]), y[~half]
+        trees = fit(np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float))
+        p, sure = score(trees, np.array([r.x for r in held])), np.array([r.y for r in held], float)
         order = np.argsort(-p, kind="stable")
         precision = np.cumsum(sure[order]) / np.arange(1, len(order) + 1)
         last = np.append(np.diff(p[order]) != 0, True)  # equal scores stand or fall together
@@ -271,18 +438,41 @@ def train(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
     return model
 
 
-def all_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> list[tuple[str, int, int]]:
-    """Base spans and the candidates that the model adds to them."""
-    known, added = set(base), []
-    for kind, start, end in dict.fromkeys(candidates(text)):
-        if kind in model and not any(start < e and s < end for _, s, e in known):
-            trees, threshold = model[kind]
-            value = score(trees, np.array([features(text, kind, start, end)]))[0]
+def all_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: dict) -> list[list[tuple[str, int, int]]]:
+    """Of each text the base spans and the candidates that the model adds to them."""
+    added: list[list] = [[] for _ in texts]
+    waiting: dict[str, list] = {kind: [] for kind in model}
+
+    def decide(kind: str) -> None:
+        trees, threshold = model[kind]
+        values = score(trees, np.array([x for *_, x in waiting[kind]]))
+        for (k, start, end, _), value in zip(waiting[kind], values.tolist(), strict=True):
             if value >= threshold:
-                added.append((-value, start, end, kind))
-    out = list(base)
-    for _, start, end, kind in sorted(added):
-        if not any(start < e and s < end for _, s, e in out):
+                added[k].append((-value, start - end, start, end, kind))
+        waiting[kind].clear()
+
+    for k, (text, base) in enumerate(zip(texts, bases, strict=True)):
+        found = candidates(text)
+        rival = rivals(text, found) if found else set()
+        for span, met in zip(found, overlapping(found, base), strict=True):
+            if span[0] in model and not met:
+                waiting[span[0]].append((k, *span[1:], features(text, *span, span in rival)))
+                if len(waiting[span[0]]) == SCORED:
+                    decide(span[0])
+    for kind in model:
+        if waiting[kind]:
+            decide(kind)
+    return [list(base) + _disjoint(more) for base, more in zip(bases, added, strict=True)]
+
+
+def _disjoint(added: list) -> list[tuple[str, int, int]]:
+    """The highest scores first, of equal ones the longest, those that overlap none before them."""
+    starts, ends, out = [], [], []
+    for _, _, start, end, kind in sorted(added):
+        k = bisect_right(starts, start)
+        if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
+            starts.insert(k, start)
+            ends.insert(k, end)
             out.append((kind, start, end))
     return out
 
@@ -297,9 +487,10 @@ def find_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
         for batch in batches:
             for a, b in pieces(utf8(batch.column(1))[1]):
                 base, spans = [], []
-                for text in batch.column(1).slice(a, b - a).to_pylist():
-                    first = base_spans(text or "")
-                    for out, found in ((base, first), (spans, all_spans(text or "", first, model))):
+                texts = [text or "" for text in batch.column(1).slice(a, b - a).to_pylist()]
+                firsts = [base_spans(text) for text in texts]
+                for pair in zip(firsts, all_spans(texts, firsts, model), strict=True):
+                    for out, found in zip((base, spans), pair, strict=True):
                         found = sorted(found, key=lambda s: (s[1], kind_of[s[0]], s[2]))
                         out.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
                 columns = [batch.column(0).slice(a, b - a), pa.array(base, item), pa.array(spans, item)]

@@ -356,3 +356,29 @@ def test_candidates_are_parts_of_runs_too():
     # Linear: a bounded number of proposals for each group of digits.
     for n in (200, 2000):
         assert len(pii.candidates("12 " * n)) <= 12 * n
+
+
+def with_base_spans(k):
+    """A text with a base span of each kind."""
+    number = f"4000 0000 {k:04d} 000"
+    card = next(number + d for d in "0123456789" if pii.luhn((number + d).replace(" ", "")))
+    return f"text {k} of name{k}@host{k}.example.org and {k % 200}.7.{k % 99}.1 then {card}; also +49 30 55{k:05d}, end"
+
+
+def added(found):
+    return {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} - {(s.kind, s.start, s.end) for s in r.base} for r in found.collect()}
+
+
+def test_personal_data_beyond_the_base_rules(spark):
+    given = {
+        1000: ("phone 49 30 5551234 or", ["49 30 5551234"]), 1001: ("write to max [at] example [dot] de soon", ["max [at] example [dot] de"]),
+        1002: ("mail max@müller.de", ["max@müller.de"]), 1003: ("card 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        1004: ("call 212-555-0123 212-555-0199 now", ["212-555-0123", "212-555-0199"]), 1005: ("host 10[.]0[.]0[.]7 is down", ["10[.]0[.]0[.]7"]),
+        1006: ("card number 5018 0000 0009 is", ["5018 0000 0009"]), 1007: ("call (212) 555-0123 (212) 555-0199 (646) 555-0142", ["(212) 555-0123", "(212) 555-0199", "(646) 555-0142"]),
+    }
+    clean = ["order 49 30 5551234 or", "we sold 1234567 pieces", "on 2024-01-15 10 came", "x@y said", "card 4111 1111 1111 1112 12/27", "12345678901234567890", "1.2.3.4567 is out"]
+    rows = [(k, with_base_spans(k)) for k in range(40)] + [(k, t) for k, (t, _) in given.items()] + [(2000 + k, t) for k, t in enumerate(clean)]
+    got = added(pii.find_spans(spark.createDataFrame([*rows, (None, None)], "doc_id long, text string").repartition(3)))
+    for k, (text, want) in given.items():
+        assert sorted(text[a:b] for _, a, b in got[k]) == sorted(want), text
+    assert not any(got[k] for k in got if k is None or k not in given)
