@@ -11,9 +11,9 @@ What no base rule covers counts as positive by its form and check digit where th
 names the kind or the form alone is plain (see ``label``), and as negative otherwise. As such forms are rare, the
 base spans are also put into forms that the base rules don't find (without the plus, the at sign written out, other
 lengths and separators), into contexts that do and don't tell, and spoiled; these disguises are labelled alike.
-The trees are fitted on half of ``TRAIN_DOCS`` documents, those with the smallest hash of the id. The other half's
-examples that no base span covers set the threshold: the lowest score from which on at least ``PRECISION`` of them
-are positive. Candidates from there on that overlap no
+The trees are fitted on at most ``SAMPLE`` examples of each kind and class, those with the smallest digests of half of
+all texts. The examples of all other texts that no base span covers set the threshold, by a histogram of their scores:
+the lowest bin from which on at least ``PRECISION`` of them are positive. Candidates from there on that overlap no
 other span of the result are added, the highest score first. Base spans always stay.
 
 Offsets are code points, ends exclusive. Every scan is linear in the text. Defined cases: a null
@@ -24,6 +24,7 @@ empty tables need nothing special.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import pieces, utf8
+from shopmetrics.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 4000
+SAMPLE = 4000  # examples of each kind and class to fit on
+BINS = 1000
 TREES = 30
 RATE = 0.3
 PRECISION = 0.995
@@ -402,39 +405,97 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> list[Tree]:
     return model
 
 
-def train(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
-    """Trees and threshold for each kind that has examples of both classes."""
-    rank = F.xxhash64("doc_id")
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(rank, "doc_id").limit(TRAIN_DOCS)
-    # At most TRAIN_DOCS ids, hence the broadcast.
-    sample = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select(rank.alias("h"), "text")
+def _digest(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _held_out(text: str) -> bool:
+    """Copies of a text are on one side."""
+    return _digest(text) % 2 != 0
+
+
+def _examples(docs: DataFrame) -> DataFrame:
+    """(kind, y, key, x): of each kind and class ``SAMPLE`` examples at least, or all, from the texts to fit on.
+
+    A task keeps those of the smallest digests, so the smallest of all tasks are among them.
+    """
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[str, int], dict[int, list[float]]] = {(kind, y): {} for kind in KINDS for y in (0, 1)}
         for batch in batches:
-            rows = []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [{"h": h, "kind": kind, "origin": o, "y": int(y), "x": x} for kind, o, y, x in examples(text)]
-            schema = pa.schema([("h", pa.int64()), ("kind", pa.string()), ("origin", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.float64()))])
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    # Each kind gives at most 4 * TRAIN_DOCS examples, those with the smallest hash.
-    proposed = sample.mapInArrow(propose, "h long, kind string, origin long, y long, x array<double>")
-    model = {}
+            for text in batch.column(0).to_pylist():
+                if not _held_out(text):
+                    for kind, _, y, x in examples(text):
+                        rows = kept[kind, int(y)]
+                        rows[_digest(text, x)] = x
+                        if len(rows) >= 2 * SAMPLE:
+                            kept[kind, int(y)] = {key: rows[key] for key in sorted(rows)[:SAMPLE]}
+        rows = [{"kind": k, "y": y, "key": key, "x": part[key]} for (k, y), part in kept.items() for key in sorted(part)[:SAMPLE]]
+        schema = pa.schema([("kind", pa.string()), ("y", pa.int64()), ("key", pa.int64()), ("x", pa.list_(pa.float64()))])
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return docs.mapInArrow(run, "kind string, y long, key long, x array<double>").dropDuplicates(["kind", "y", "key"])
+
+
+def _histograms(docs: DataFrame, trees: dict[str, list[Tree]]) -> DataFrame:
+    """(kind, bin, y, n): scores of the examples of all held-out texts that the model could add."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {kind: np.zeros((2, BINS), np.int64) for kind in trees}
+        waiting: dict[str, list] = {kind: [] for kind in trees}
+
+        def count(kind: str) -> None:
+            values = score(trees[kind], np.array([x for _, x in waiting[kind]]))
+            np.add.at(counts[kind], (np.array([y for y, _ in waiting[kind]], int), _bin(values)), 1)
+            waiting[kind].clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if _held_out(text):
+                    for kind, origin, y, x in examples(text):
+                        if kind in trees and origin != BASE_RULE:
+                            waiting[kind].append((y, x))
+                            if len(waiting[kind]) == SCORED:
+                                count(kind)
+        rows = []
+        for kind, table in counts.items():
+            if waiting[kind]:
+                count(kind)
+            rows += [{"kind": kind, "bin": int(b), "y": int(y), "n": int(table[y, b])} for y, b in zip(*np.nonzero(table), strict=True)]
+        schema = pa.schema([("kind", pa.string()), ("bin", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    found = docs.mapInArrow(run, "kind string, bin long, y long, n long")
+    return found.groupBy("kind", "bin", "y").agg(F.sum("n").alias("n"))
+
+
+def _bin(values: np.ndarray) -> np.ndarray:
+    return np.minimum((values * BINS).astype(np.int64), BINS - 1)
+
+
+def train(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
+    """Trees and threshold for each kind that has examples of both classes."""
+    texts = docs.where("text is not null").select("text")
+    sample = stage(_examples(texts), "private-examples")
+    trees = {}
     for kind in KINDS:
-        order = F.xxhash64("h", "x")
-        rows = proposed.where(F.col("kind") == kind).select("h", "origin", "y", "x").orderBy(order, "h").limit(4 * TRAIN_DOCS).collect()
-        fitted = [r for r in rows if r.h % 2 == 0]
-        held = [r for r in rows if r.h % 2 and r.origin != BASE_RULE]
-        if not any(r.y for r in fitted) or not any(r.y for r in held):
-            continue
-        trees = fit(np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float))
-        p, sure = score(trees, np.array([r.x for r in held])), np.array([r.y for r in held], float)
-        order = np.argsort(-p, kind="stable")
-        precision = np.cumsum(sure[order]) / np.arange(1, len(order) + 1)
-        last = np.append(np.diff(p[order]) != 0, True)  # equal scores stand or fall together
-        enough = np.flatnonzero((precision >= PRECISION) & last)
+        parts = []
+        for y in (0, 1):
+            rows = sample.where((F.col("kind") == kind) & (F.col("y") == y)).select("key", "x").orderBy("key").limit(SAMPLE).collect()
+            parts.append([r.x for r in rows])
+        if all(parts):
+            trees[kind] = fit(np.array(parts[0] + parts[1]), np.repeat([0.0, 1.0], [len(x) for x in parts]))
+    # At most 2 * BINS rows of each kind.
+    counts = {kind: np.zeros((2, BINS), np.int64) for kind in trees}
+    for r in _histograms(texts, trees).collect() if trees else []:
+        counts[r.kind][r.y, r.bin] = r.n
+    model = {}
+    for kind, (wrong, right) in counts.items():
+        # From each bin on: of all that score at least as high, enough are positive.
+        above, good = (wrong + right)[::-1].cumsum()[::-1], right[::-1].cumsum()[::-1]
+        enough = np.flatnonzero((wrong + right > 0) & (good > 0) & (good >= PRECISION * above))
         if len(enough):
-            model[kind] = (trees, max(LEAST_CONFIDENCE, float(p[order][enough[-1]])))
+            model[kind] = (trees[kind], max(LEAST_CONFIDENCE, float(enough[0]) / BINS))
     return model
 
 

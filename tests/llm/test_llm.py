@@ -382,3 +382,15 @@ def test_personal_data_beyond_the_base_rules(spark):
     for k, (text, want) in given.items():
         assert sorted(text[a:b] for _, a, b in got[k]) == sorted(want), text
     assert not any(got[k] for k in got if k is None or k not in given)
+
+
+def test_personal_data_learns_a_kind_from_all_documents(spark):
+    # The only addresses stand in documents past the first 4,000 in the order of their ids' hashes.
+    ids = [r.id for r in spark.range(9000).orderBy(F.xxhash64("id")).select("id").collect()]
+    texts = {k: f"nothing to see in {k}" for k in ids} | {k: with_base_spans(k) for k in ids[4500:4520]}
+    texts[ids[-1]] = "write to max [at] example [dot] de soon"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = added(pii.find_spans(docs))
+    assert got[ids[-1]] == {("email", 9, 34)} and not any(v for k, v in got.items() if k != ids[-1])
+    model = pii.train(docs.select("text"))
+    assert set(model) == set(pii.KINDS) and model == pii.train(docs.repartition(2).select("text"))
