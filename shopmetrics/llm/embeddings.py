@@ -13,7 +13,7 @@ of a spanning forest of the tile's links. Equal vectors of a label are one class
 Defined cases: vectors without label, null, empty or zero ones and those that hold a null or
 non-finite component are linked with nothing and are their own component. Vectors of different
 length are never linked. Rows that share an id are one node of the components; ``n_links`` counts
-rows. A row without an id has the component of the others linked with it only through its copies' ids.
+rows, those without an id too. A row without an id is no node: it has its copies' component, and connects nothing.
 """
 
 from __future__ import annotations
@@ -83,25 +83,27 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = []
             for k in range(len(sides)):
                 members = sides.slice(k, 1).flatten()
-                ids = members.field("rep").to_numpy(zero_copy_only=False).astype(np.int64)
+                keys = members.field("key").to_numpy(zero_copy_only=False).astype(np.int64)
+                named = members.field("rep").is_valid().to_numpy(zero_copy_only=False)
+                ids = members.field("rep").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 weight = members.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = members.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                blocks.append((ids, weight, flat.reshape(len(ids), -1)))
+                blocks.append((keys, named, ids, weight, flat.reshape(len(ids), -1)))
             one, two = blocks[0], blocks[-1]
             same = len(blocks) == 1
-            i, j = tile_links(one[2], two[2], same)
-            ids = one[0] if same else np.concatenate([one[0], two[0]])
-            weight = one[1] if same else np.concatenate([one[1], two[1]])
+            i, j = tile_links(one[4], two[4], same)
+            keys, named, ids, weight = one[:4] if same else (np.concatenate(x) for x in zip(one[:4], two[:4], strict=True))
             j = j if same else j + len(one[0])
             partners = np.zeros(len(ids), np.int64)
             np.add.at(partners, i, weight[j])
             np.add.at(partners, j, weight[i])
-            a, b = forest(ids, i, j)
+            both = named[i] & named[j]
+            a, b = forest(ids, i[both], j[both])
             linked = np.flatnonzero(partners)
-            rep = np.concatenate([ids[linked], a])
-            other = pa.array(np.concatenate([np.zeros(len(linked), np.int64), b]), mask=np.arange(len(rep)) < len(linked))
+            first = np.concatenate([keys[linked], a])
+            other = pa.array(np.concatenate([np.zeros(len(linked), np.int64), b]), mask=np.arange(len(first)) < len(linked))
             count = np.concatenate([partners[linked], np.zeros(len(a), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(rep), other, pa.array(count)], ["rep", "other", "partners"])
+            yield pa.RecordBatch.from_arrays([pa.array(first), other, pa.array(count)], ["first", "other", "partners"])
 
 
 def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -111,28 +113,29 @@ def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     known = rows.where("label is not null and embedding is not null").where(finite)
     known = known.where(F.exists("embedding", lambda x: x != 0))
     classes = known.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = stage(classes, "vector-classes")
+    # The written table pins the keys, which count the partners of classes with no id or a shared one.
+    classes = stage(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     size = F.size("embedding").alias("size")
-    compared = classes.where("rep is not null")
-    blocks = compared.groupBy("label", size).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    placed = compared.select("label", size, "rep", "n", "embedding").join(blocks, ["label", "size"])
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    packed = placed.groupBy("label", "size", "blocks", "own").agg(F.collect_list(F.struct("rep", "n", "embedding")).alias("members"))
+    blocks = classes.groupBy("label", size).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = classes.select("label", size, "key", "rep", "n", "embedding").join(blocks, ["label", "size"])
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    packed = placed.groupBy("label", "size", "blocks", "own").agg(F.collect_list(F.struct("key", "rep", "n", "embedding")).alias("members"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tiles = packed.select("label", "size", "own", "members", other)
     tiles = tiles.groupBy("label", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list("members").alias("sides")
     )
-    found = stage(tiles.select("sides").mapInArrow(_tiles, "rep long, other long, partners long"), "vector-links")
+    # Beside a block without vectors there is nothing to compare.
+    tiles = tiles.where("i = j or size(sides) = 2")
+    found = stage(tiles.select("sides").mapInArrow(_tiles, "first long, other long, partners long"), "vector-links")
     # Rows of a class that carry different ids are linked, and so are classes that share an id.
     member = known.select("vec_id", "label", "embedding").where("vec_id is not null")
     shared = member.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
     tied = member.join(shared, "vec_id").join(classes, ["label", "embedding"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
-    edges = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")).union(tied)
+    edges = found.where("other is not null").select(F.col("first").alias("a"), F.col("other").alias("b")).union(tied)
     group = components(edges, "a", "b", "vector")
-    partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
-    # A block may hold several classes with one id, so partners of a class are counted for its id.
-    named = classes.join(partners, "rep", "left").join(group, F.col("rep") == F.col("node"), "left").select(
+    partners = found.where("other is null").groupBy(F.col("first").alias("key")).agg(F.sum("partners").alias("partners"))
+    named = classes.join(partners, "key", "left").join(group, F.col("rep") == F.col("node"), "left").select(
         "label", "embedding", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
         F.coalesce("component", "rep").alias("component"),
     )

@@ -394,3 +394,13 @@ def test_personal_data_learns_a_kind_from_all_documents(spark):
     assert got[ids[-1]] == {("email", 9, 34)} and not any(v for k, v in got.items() if k != ids[-1])
     model = pii.train(docs.select("text"))
     assert set(model) == set(pii.KINDS) and model == pii.train(docs.repartition(2).select("text"))
+
+
+def test_vectors_without_an_id_count_as_links(spark):
+    # 1 and 2 are similar only to the one without an id; 2 has another vector besides, with two links of its own.
+    v = {a: [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))] for a in (0, 10, 20, 90, 95)}
+    rows = [(1, v[0], 1), (None, v[10], 1), (2, v[20], 1), (2, v[90], 1), (3, v[95], 1), (4, v[95], 1), (None, v[0], 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block in (2048, 2):
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_vectors(frame, block).collect())
+        assert got == [(0, 0, 0), (0, 2, 0), (1, 1, 1), (2, 1, 2), (2, 2, 2), (3, 2, 2), (4, 2, 2)]
