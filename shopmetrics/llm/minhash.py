@@ -13,8 +13,8 @@ smallest, then those that this left in other components with the one that has mo
 last with all of other components. The latter two steps leave out what can't be linked: a class
 whose own shingles, found nowhere else, are too many (see ``_possible``), and pairs whose sketches
 differ too often. For the latter the members left get a sketch of ``FINE`` coordinates with one bit each;
-sets of similarity s agree in (1 + s) / 2 of them, and ``MOST_DIFFERING`` is 4 standard deviations
-off 0.8, which is 0.747 (a chance of about 3e-5 at 0.8 itself and below 1e-6 from 0.81 on). A pair is
+sets of similarity s agree in (1 + s) / 2 of them, and ``MOST_DIFFERING`` is 5.5 standard deviations
+off 0.8, which is 0.728 (a chance of 7e-8 at 0.8 itself if coordinates are independent, below that of the bands). A pair is
 linked only if its full shingle sets, made anew from both texts, have 100 * intersection >= 80 * union.
 So no bucket emits all its pairs, and none is capped. Components follow from the links.
 
@@ -45,7 +45,7 @@ COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
 FINE = 2048
-MOST_DIFFERING = 259
+MOST_DIFFERING = 279
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

@@ -404,3 +404,12 @@ def test_vectors_without_an_id_count_as_links(spark):
     for block in (2048, 2):
         got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_vectors(frame, block).collect())
         assert got == [(0, 0, 0), (0, 2, 0), (1, 1, 1), (2, 1, 2), (2, 2, 2), (3, 2, 2), (4, 2, 2)]
+
+
+def test_sketches_rule_out_fewer_pairs_than_the_bands_miss():
+    # At similarity 0.8 a one-bit coordinate differs with a chance of 0.1.
+    lost, here = 0.0, 0.9**minhash.FINE
+    for k in range(minhash.FINE):
+        here *= (minhash.FINE - k) / (k + 1) / 9
+        lost += here * (k + 1 > minhash.MOST_DIFFERING)
+    assert 0 < lost <= (1 - 0.8**minhash.ROWS) ** minhash.BANDS
