@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import bpe, embeddings, exact, html_text, language, minhash, mixing, pii, preference, repeats
+from shopmetrics.llm import bpe, divergence, embeddings, exact, html_text, language, minhash, mixing, pii, preference, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preferences": op1_preferences,
     "op2_byte_bpe": op2_byte_bpe,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embeddings": op9_embeddings,
     "op10_pii": op10_pii,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +127,58 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'
+                   ) AS terms
+            FROM documents
+        ), kept AS (
+            SELECT lang, term
+            FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs)
+            GROUP BY lang, term
+            HAVING count(*) >= 10
+        ), counts AS (
+            SELECT lang, source, term, count(*)::HUGEINT AS n
+            FROM (SELECT lang, source, unnest(terms) AS term FROM docs) JOIN kept USING (lang, term)
+            GROUP BY lang, source, term
+        ), vocabulary AS (
+            SELECT lang, count(term)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang
+        ), groups AS (
+            SELECT lang, source, v, coalesce(size, 0) AS size
+            FROM (SELECT DISTINCT lang, source FROM docs) JOIN vocabulary USING (lang)
+            LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS size FROM counts GROUP BY lang, source) USING (lang, source)
+        ), shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+                   1 + 1000000000 * (coalesce(n, 0) + 2) // (g.size + 2 * v) AS p
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)
+        ), overall AS (
+            SELECT lang, term, 1 + 1000000000 * (sum(n)::HUGEINT + 2) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + 2 * any_value(v)) AS q
+            FROM counts JOIN vocabulary USING (lang)
+            GROUP BY lang, term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT s.lang, s.source, t.source AS item, sum((s.p - t.p) * (s.p - t.p) // (s.p + t.p)) AS value
+                FROM shares s JOIN shares t ON s.lang = t.lang AND s.term = t.term AND s.source <> t.source
+                GROUP BY 1, 2, 3
+            ) f ON (f.lang, f.source, f.item) = (a.lang, a.source, b.source)
+        ), terms AS (
+            SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+            FROM shares JOIN overall USING (lang, term)
+            WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank
+            FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', item, value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT
+            FROM terms
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
