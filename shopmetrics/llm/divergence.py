@@ -223,7 +223,9 @@ def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     shared = stage(shared.select("lang", "term", "source", "n", p.alias("p"), q.alias("q"), "p0"), "divergence-shares")
     path = F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("path")
     paths = shared.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    paths = stage(paths, "divergence-paths").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges by the beginning of the rows, so that the sampled bounds are small; a very common beginning is split by a hash.
+    lead = [F.get("path", F.lit(0))["source"], *[F.get("path", F.lit(k))["p"] for k in range(3)], F.xxhash64("path")]
+    paths = stage(paths, "divergence-paths").repartitionByRange("lang", *lead).sortWithinPartitions("lang", "path")
     both = paths.mapInArrow(tree_sums, SUMS).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
     # What one source's counts change against each other source, and the value of two missing counts.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import bpe, divergence, embeddings, exact, html_text, language, minhash, mixing, pii, preference, repeats
+from shopmetrics.llm import bpe, divergence, embeddings, exact, html_text, language, minhash, mixing, pii, preference, repair, repeats, warc
+from shopmetrics.sources.staging import staging_root
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,18 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.resolve(warc.read_records(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.report(conversations, repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preferences": op1_preferences,
     "op2_byte_bpe": op2_byte_bpe,
@@ -75,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_pii": op10_pii,
     "op11_divergence": op11_divergence,
+    "op12_warc": op12_warc,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -181,4 +197,20 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
     """,
+    "op12_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+        ), grouped AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload) AS lead FROM payloads
+        )
+        SELECT page_id,
+               strlen(payload)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr(
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(digest, ((k // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1
+               )), '') AS payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM lead THEN lead END AS refers_to
+        FROM grouped
+    """,
 }
