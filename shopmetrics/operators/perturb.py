@@ -6,7 +6,7 @@ partitioning gives the same dataset.
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from shopmetrics.functions.dates import BUSINESS_TZ, business_date
 from shopmetrics.functions.draws import salted_uniform
 from shopmetrics.functions.money import TOTAL, UNIT
 from shopmetrics.functions.text import is_product_sku
-from shopmetrics.operators.ledger import ledger_of
 from shopmetrics.operators.privacy import renumber_orders
+from shopmetrics.operators.totals import sales_totals
 from shopmetrics.sources.lazy import LazyTables, Tables
 from shopmetrics.sources.staging import stage
 from shopmetrics.sources.tables import derive_line_columns
@@ -365,59 +365,45 @@ def perturb_quantity(
 # --- verification ------------------------------------------------------------
 
 
-def _row(df: DataFrame, name: str, value: Column, ok: Column) -> DataFrame:
-    """One check: a value aggregated from ``df`` and a condition on column ``value``."""
-    return df.agg(value.cast("decimal(28,4)").alias("value")).select(
-        F.lit(name).alias("check_name"), "value", F.coalesce(ok, F.lit(True)).alias("ok")
-    )
+LINE_CHECKS = ["invalid_quantities", "refunds_over_line", "inconsistent_prices"]
 
 
-def _line_checks(t: Tables) -> list[DataFrame]:
-    lines, value = t["order_line_items"], F.col("value")
-    none = value == 0
-    o, d = F.col("original_unit_price"), F.col("discounted_unit_price")
-    bad_qty = (F.col("quantity") < 1) | (F.col("current_quantity") > F.col("quantity"))
-    bad_price = (o < 0) | (d < 0) | (d > o)
-    sold = lines.select("order_id", "line_item_id", F.col("quantity").alias("sold"))
-    refunds = t["refund_line_items"].join(sold, ["order_id", "line_item_id"])
-    return [
-        _row(lines, "invalid_quantities", F.count(F.when(bad_qty, 1)), none),
-        _row(refunds, "refunds_over_line", F.count(F.when(F.col("quantity") > F.col("sold"), 1)), none),
-        _row(lines, "inconsistent_prices", F.count(F.when(bad_price, 1)), none),
+def _judged(row: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(check_name, value, ok) from a row of totals and a condition on it per check; an unknown outcome passes."""
+    checks = [
+        F.struct(F.lit(n).alias("check_name"), F.col(n).cast("decimal(28,4)").alias("value"), F.coalesce(ok, F.lit(True)).alias("ok"))
+        for n, ok in conditions.items()
     ]
-
-
-def _total(df: DataFrame, value: Column) -> Column:
-    """A grand total of another dataset as a scalar subquery."""
-    return df.agg(value.cast("decimal(28,4)").alias("v")).scalar()
+    return row.select(F.inline(F.array(*checks)))
 
 
 def perturb_checks(before: Tables, after: Tables) -> DataFrame:
-    """Quantities, refunds and prices valid, no negative money, and the dataset really changed."""
-    orders, value = after["orders"], F.col("value")
-    negative = (F.col("total_amount") < 0) | (F.col("total_paid") < 0) | (F.col("total_refunded") < 0)
-    multi = F.count(F.when(F.col("quantity") > 1, 1)).cast("decimal(18,0)") / F.nullif(
-        F.count("*").cast("decimal(18,0)"), F.lit(0)
-    )
-    checks = [
-        *_line_checks(after),
-        _row(orders, "negative_money", F.count(F.when(negative, 1)), value == 0),
-        _row(orders, "orders_changed", F.count("*"), value != _total(before["orders"], F.count("*"))),
-        _row(after["order_line_items"], "multi_unit_share", F.round(multi, 4), value >= _dec("0.05")),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    """Quantities, refunds and prices valid, no negative money, and the dataset really changed.
+
+    One pass over the lines, refunded lines and orders afterwards, one over the orders before.
+    """
+    old_orders = before["orders"].agg(F.count("*")).scalar()
+    counted = [*LINE_CHECKS, "negative_money", "orders", "line_items", "multi_units"]
+    new = sales_totals(after, counted).withColumnRenamed("orders", "orders_changed")
+    share = F.col("multi_units").cast("decimal(18,0)") / F.nullif(F.col("line_items").cast("decimal(18,0)"), F.lit(0))
+    new = new.withColumn("multi_unit_share", F.round(share, 4))
+    conditions = {
+        **{n: F.col(n) == 0 for n in [*LINE_CHECKS, "negative_money"]},
+        "orders_changed": F.col("orders_changed") != old_orders,
+        "multi_unit_share": F.col("multi_unit_share") >= _dec("0.05"),
+    }
+    return _judged(new, conditions)
 
 
 def perturb_quantity_checks(before: Tables, after: Tables) -> DataFrame:
-    """Lines still valid, at least 5 % more units, net sales within 0.1 %."""
-    value = F.col("value")
-    units = _total(before["order_line_items"], F.sum("quantity"))
-    net = _total(ledger_of(before), F.sum("amount"))
-    checks = [
-        *_line_checks(after),
-        _row(after["order_line_items"], "units_grew", F.sum("quantity"), value >= units * _dec("1.05")),
-        _row(
-            ledger_of(after), "net_sales_held", F.sum("amount"), F.abs(value - net) <= F.abs(net) * _dec("0.001")
-        ),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    """Lines still valid, at least 5 % more units, net sales within 0.1 %; one pass over the tables of either side."""
+    old = sales_totals(before, ["units", "net_sales"]).select(F.struct("units", "net_sales")).scalar()
+    new = sales_totals(after, [*LINE_CHECKS, "units", "net_sales"])
+    new = new.withColumnsRenamed({"units": "units_grew", "net_sales": "net_sales_held"})
+    net = old["net_sales"]
+    conditions = {
+        **{n: F.col(n) == 0 for n in LINE_CHECKS},
+        "units_grew": F.col("units_grew") >= old["units"] * _dec("1.05"),
+        "net_sales_held": F.abs(F.col("net_sales_held") - net) <= F.abs(net) * _dec("0.001"),
+    }
+    return _judged(new, conditions)

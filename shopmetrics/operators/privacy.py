@@ -13,8 +13,9 @@ from shopmetrics.functions.draws import anonymize_path, fake_name, pick, salted_
 from shopmetrics.functions.money import TOTAL, UNIT
 from shopmetrics.functions.text import is_product_sku
 from shopmetrics.operators.distributed import assign_row_numbers
-from shopmetrics.operators.ledger import ledger_of
+from shopmetrics.operators.totals import measures, sales_totals, unpivoted
 from shopmetrics.sources.lazy import LazyTables, Tables
+from shopmetrics.sources.staging import stage
 from shopmetrics.sources.tables import derive_line_columns
 
 # Words of generated product titles.
@@ -150,8 +151,22 @@ def ad_mapping(tables: Tables, salt: str) -> DataFrame:
     )
 
 
-def build_mappings(tables: Tables, salt: str) -> Tables:
+LINE_VALUES = ["title", "sku", "season_code"]
+
+
+def mapping_source(tables: Tables) -> Tables:
+    """The tables with the order lines cut down to their distinct titles, SKUs and seasons, written once.
+
+    The catalogue bounds them; three mappings and the rewriting of the lines read them instead of the lines.
+    """
+    return LazyTables(
+        {"order_line_items": lambda: stage(tables["order_line_items"].select(*LINE_VALUES).distinct(), "line-values")}, tables
+    )
+
+
+def build_mappings(tables: Tables, salt: str, source: Tables | None = None) -> Tables:
     """Real value to pseudonym, one table per kind, the same in every place of use."""
+    tables = mapping_source(tables) if source is None else source
     maps = LazyTables(
         {
             "product": lambda: product_mapping(tables, salt),
@@ -247,19 +262,27 @@ def anonymize_discounts(discounts: DataFrame, codes: DataFrame, k: Decimal) -> D
 
 
 def anonymize_lines(
-    lines: DataFrame, products: DataFrame, skus: DataFrame, seasons: DataFrame, k: Decimal
+    lines: DataFrame, values: DataFrame, products: DataFrame, skus: DataFrame, seasons: DataFrame, k: Decimal
 ) -> DataFrame:
-    """Scaled prices and pseudonymous titles, SKUs and seasons; protection lines keep title and SKU."""
+    """Scaled prices and pseudonymous titles, SKUs and seasons; protection lines keep title and SKU.
+
+    The mappings are applied to ``values``, the distinct (title, sku, season_code) of the lines, which the lines join once.
+    """
     product = is_product_sku(F.col("sku"))
-    out = _mapped(lines, products.select("orig", "new_title"), F.col("title"), "p")
+    out = _mapped(values, products.select("orig", "new_title"), F.col("title"), "p")
     out = _mapped(_mapped(out, skus, F.col("sku"), "s"), seasons, F.col("season_code"), "c")
-    changed = out.withColumns(
+    new = out.select(
+        *[F.col(c).alias(f"v_{c}") for c in LINE_VALUES],
+        F.when(product, F.col("p_new_title")).otherwise(F.col("title")).alias("n_title"),
+        F.when(product, F.col("s_new_sku")).otherwise(F.col("sku")).alias("n_sku"),
+        F.col("c_alias").alias("n_season_code"),
+    )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"v_{c}")) for c in LINE_VALUES])
+    changed = lines.join(new, same, "left").withColumns(
         {
             "original_unit_price": _scaled("original_unit_price", k),
             "discounted_unit_price": _scaled("discounted_unit_price", k),
-            "title": F.when(product, F.col("p_new_title")).otherwise(F.col("title")),
-            "sku": F.when(product, F.col("s_new_sku")).otherwise(F.col("sku")),
-            "season_code": F.col("c_alias"),
+            **{c: F.col(f"n_{c}") for c in LINE_VALUES},
         }
     )
     return derive_line_columns(changed).select(*lines.columns)
@@ -363,7 +386,8 @@ def anonymize(tables: Tables, k: Decimal, salt: str, brand: str | None = None) -
     """All tables of an anonymised copy: one projection job per table over shared mappings."""
     if not Decimal("0.1") <= k <= 5:
         raise ValueError("k must be between 0.1 and 5")
-    t, m = tables, build_mappings(tables, salt)
+    t, source = tables, mapping_source(tables)
+    m = build_mappings(tables, salt, source)
     return LazyTables(
         {
             "customers": lambda: anonymize_customers(t["customers"], k, salt),
@@ -371,7 +395,7 @@ def anonymize(tables: Tables, k: Decimal, salt: str, brand: str | None = None) -
             "order_attribution": lambda: anonymize_attribution(t["order_attribution"], m["utm"], salt, brand),
             "order_discounts": lambda: anonymize_discounts(t["order_discounts"], m["discount"], k),
             "order_line_items": lambda: anonymize_lines(
-                t["order_line_items"], m["product"], m["sku"], m["season"], k
+                t["order_line_items"], source["order_line_items"], m["product"], m["sku"], m["season"], k
             ),
             "line_item_discount_allocations": lambda: t["line_item_discount_allocations"].withColumn(
                 "allocated_amount", _scaled("allocated_amount", k)
@@ -390,52 +414,40 @@ def anonymize(tables: Tables, k: Decimal, salt: str, brand: str | None = None) -
     )
 
 
-def _single(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return df.agg(value.cast(TOTAL).alias("v")).select(F.lit(name).alias("check_name"), "v")
+def _foreign_mails(col: str) -> Column:
+    return F.count(F.when(~F.col(col).endswith("@example.com"), 1))
 
 
-def _measures(t: Tables) -> DataFrame:
-    rows = [
-        _single(ledger_of(t), "net_sales", F.sum("amount")),
-        _single(t["orders"], "net_payment", F.sum("net_payment")),
-        _single(t["refunds"], "refunds", F.sum("total_refunded")),
-        _single(t["campaign_daily"], "ad_spend", F.sum("spend")),
-        _single(t["campaign_daily"], "ad_revenue", F.sum("purchase_value")),
-        _single(t["orders"], "orders", F.count("*")),
-        _single(t["order_line_items"], "line_items", F.count("*")),
-        _single(t["reviews"], "reviews", F.count("*")),
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def _totals() -> dict[str, dict[str, Column]]:
+    """Named aggregates per table, besides those of orders, lines and refunded lines."""
+    return {
+        "refunds": {"refunds": F.sum("total_refunded")},
+        "campaign_daily": {"ad_spend": F.sum("spend"), "ad_revenue": F.sum("purchase_value")},
+        "reviews": {"reviews": F.count("*"), "reviewer_emails": _foreign_mails("reviewer_email")},
+        "customers": {"customer_emails": _foreign_mails("email")},
+    }
 
 
+SALES_TOTALS = ["net_sales", "net_payment", "orders", "line_items"]
+MAIL_CHECKS = ["customer_emails", "reviewer_emails"]
 MONEY_CHECKS = ["net_sales", "net_payment", "refunds", "ad_spend", "ad_revenue"]
 
 
+def _measured(t: Tables, value: str) -> DataFrame:
+    rows = unpivoted(sales_totals(t, SALES_TOTALS)).unionByName(measures(t, _totals()))
+    return rows.select(F.col("measure").alias("check_name"), F.col("value").cast(TOTAL).alias(value))
+
+
 def anonymize_checks(before: Tables, after: Tables, k: Decimal) -> DataFrame:
     """Each check with its values before and after and whether it holds.
 
     Money totals must scale by ``k`` within 0.5 %, row counts must not change
-    and no e-mail address may lie outside example.com.
+    and no e-mail address may lie outside example.com. Each table is read once per side.
     """
-    old = _measures(before).withColumnRenamed("v", "before_value")
-    new = _measures(after).withColumnRenamed("v", "after_value")
     b, a, factor = F.col("before_value"), F.col("after_value"), F.lit(k).cast("decimal(8,4)")
     ratio = a / F.nullif(b, F.lit(0))
-    money = F.col("check_name").isin(MONEY_CHECKS)
-    held = F.when(money, b.isNull() | (b == 0) | (F.abs(ratio - factor) / factor <= F.lit("0.005").cast("decimal(4,3)")))
-    compared = old.join(new, "check_name").select(
-        "check_name", "before_value", "after_value", held.otherwise(a == b).alias("ok")
-    )
-
-    def foreign_mail(df: DataFrame, col: str, name: str) -> DataFrame:
-        bad = F.count(F.when(~F.col(col).endswith("@example.com"), 1))
-        return df.agg(bad.cast(TOTAL).alias("after_value")).select(
-            F.lit(name).alias("check_name"),
-            F.lit(0).cast(TOTAL).alias("before_value"),
-            "after_value",
-            (F.col("after_value") == 0).alias("ok"),
-        )
-
-    return compared.unionByName(foreign_mail(after["customers"], "email", "customer_emails")).unionByName(
-        foreign_mail(after["reviews"], "reviewer_email", "reviewer_emails")
-    )
+    money, mail = F.col("check_name").isin(MONEY_CHECKS), F.col("check_name").isin(MAIL_CHECKS)
+    scaled = b.isNull() | (b == 0) | (F.abs(ratio - factor) / factor <= F.lit("0.005").cast("decimal(4,3)"))
+    both = _measured(before, "before_value").join(_measured(after, "after_value"), "check_name")
+    both = both.withColumn("before_value", F.when(mail, F.lit(0).cast(TOTAL)).otherwise(b))
+    return both.select("check_name", "before_value", "after_value", F.when(money, scaled).otherwise(a == b).alias("ok"))

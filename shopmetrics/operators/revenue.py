@@ -220,13 +220,17 @@ def revenue_by_channel(
 
 
 def _two_years(ledger: DataFrame, tz: str) -> DataFrame:
-    """date_key and amount of the latest year with data and of the year before, with that latest day.
+    """Day totals (date_key, amount) of the latest year with data and of the year before, with that latest day.
 
-    The latest day comes first, from the dates alone, and bounds what is read and summed.
+    One pass over the ledger gives the days, which the calendar bounds; the latest one is taken from them. A stored
+    ledger finds its latest month in the partition values and opens the months of the two years only.
     """
-    last_day = ledger.agg(F.max("date_key")).scalar()
-    recent = booked_from(ledger, F.make_date(F.year(last_day) - 1, F.lit(1), F.lit(1)), tz)
-    return recent.select("date_key", "amount", last_day.alias("last_day"))
+    if "month_key" in ledger.columns:
+        last_month = ledger.agg(F.max("month_key")).scalar()
+        ledger = booked_from(ledger, F.make_date(F.year(last_month) - 1, F.lit(1), F.lit(1)), tz)
+    days = ledger.groupBy("date_key").agg(F.sum("amount").cast(TOTAL).alias("amount"))
+    days = days.withColumn("last_day", F.max("date_key").over(Window.partitionBy()))
+    return days.where(F.year("date_key") >= F.year("last_day") - 1)
 
 
 def yearly_comparison_months(ledger: DataFrame, tz: str = BUSINESS_TZ) -> DataFrame:

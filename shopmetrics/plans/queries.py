@@ -425,10 +425,10 @@ def anonymize_discounts(t):
 
 @query
 def anonymize_lines(t):
-    seasons = privacy.season_mapping(t)
-    skus = privacy.sku_mapping(t, seasons, p.SALT)
+    source = privacy.mapping_source(t)
+    m = privacy.build_mappings(t, p.SALT, source)
     out = privacy.anonymize_lines(
-        t["order_line_items"], privacy.product_mapping(t, p.SALT), skus, seasons, p.K
+        t["order_line_items"], source["order_line_items"], m["product"], m["sku"], m["season"], p.K
     )
     return out.select(
         "order_id", "line_item_id", "sku", "title", "season_code", "original_unit_price",

@@ -17,11 +17,18 @@ DDL = (
 )
 
 
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Write a ledger to a new folder; a month that holds most rows is split over several tasks and files."""
+def typed_ledger(ledger: DataFrame) -> DataFrame:
+    """A ledger in the stored columns and types."""
     monthly = ledger.withColumn("month_key", F.trunc("date_key", "month"))
-    typed = monthly.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DDL).fields])
-    typed.hint("rebalance", "month_key").write.mode("errorifexists").partitionBy("month_key").parquet(path)
+    return monthly.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DDL).fields])
+
+
+def write_ledger(ledger: DataFrame, path: str) -> None:
+    """Write a ledger to a new folder; a month that holds most rows is split over several tasks and files.
+
+    ``streaming/ledger_sync.py`` keeps a ledger current without writing it whole.
+    """
+    typed_ledger(ledger).hint("rebalance", "month_key").write.mode("errorifexists").partitionBy("month_key").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

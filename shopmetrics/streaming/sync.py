@@ -3,18 +3,23 @@
 Each run picks up the files that arrived since the last one
 (``trigger(availableNow=True)``) and applies the same batch operators the
 nightly load uses. Replaying a micro-batch after a failure gives the same
-result: days are overwritten, snapshots are published under the batch id.
+result: days are overwritten, snapshots are committed under the batch id.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shopmetrics.operators.ingest import overwrite_days, replace_children, upsert_snapshot
-from shopmetrics.sources.publish import published
+from shopmetrics.sources.partition_store import committed, merge_bucketed, read_parts
 from shopmetrics.sources.schema import KEYS, table_schema
 
+#: Hash buckets of a snapshot table; fixed once the first batch is stored.
+BUCKETS = 64
+
 
 def _landed(spark: SparkSession, landing: str, name: str) -> DataFrame:
     return spark.readStream.schema(table_schema(name)).parquet(f"{landing}/{name}")
@@ -50,32 +55,23 @@ def sync_snapshot(
     checkpoint: str,
     order_col: str | None = None,
     parent_key: str | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Upsert of a parent table (``order_col``) or child replacement (``parent_key``).
 
-    Every micro-batch writes a new version of the table and then makes it
-    current; readers use :func:`current_snapshot`.
+    The table is a store of hash buckets of the key: a micro-batch rewrites the buckets it touches
+    and makes them current under its id; readers use :func:`current_snapshot`.
     """
     if (order_col is None) == (parent_key is None):
         raise ValueError("give either order_col or parent_key")
-    root = f"{target}/{name}"
+    keys = KEYS[name][0] if parent_key is None else [parent_key]
+    if order_col is not None:
+        merge = partial(upsert_snapshot, keys=keys, order_col=order_col)
+    else:
+        merge = partial(replace_children, parent_key=parent_key)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        version = f"batch-{batch_id:010d}"
-        path, done = published(session, root)
-        if version in done:
-            return
-        current = batch.limit(0) if path is None else session.read.schema(table_schema(name)).parquet(path)
-        if order_col is not None:
-            merged = upsert_snapshot(current, batch, KEYS[name][0], order_col)
-        else:
-            merged = replace_children(current, batch, parent_key)
-        merged.write.mode("overwrite").parquet(f"{root}/{version}")
-        marker = session.range(1).selectExpr(
-            f"{batch_id}L AS seq", f"'{version}' AS version", f"'{version}' AS steps"
-        )
-        marker.coalesce(1).write.mode("append").json(f"{root}/_published")
+        merge_bucketed(batch.sparkSession, f"{target}/{name}", batch, f"batch-{batch_id:010d}", keys, merge, buckets)
 
     return (
         _landed(spark, landing, name)
@@ -87,8 +83,7 @@ def sync_snapshot(
 
 
 def current_snapshot(spark: SparkSession, target: str, name: str) -> DataFrame:
-    """The published version of a synced snapshot table."""
-    path, _ = published(spark, f"{target}/{name}")
-    if path is None:
+    """The current version of a synced snapshot table."""
+    if not committed(spark, f"{target}/{name}"):
         raise FileNotFoundError(f"no version of {name} has been published in {target}")
-    return spark.read.schema(table_schema(name)).parquet(path)
+    return read_parts(spark, f"{target}/{name}", table_schema(name))
