@@ -9,12 +9,8 @@ of their similarity and concentrate as those of as many independent hashes.
 Candidates share all coordinates of a band. ``BANDS`` bands of ``ROWS`` miss a pair at similarity
 0.8 with probability (1 - 0.8^ROWS)^BANDS = 3e-7. Equal sets are one class from the start and
 only its smallest document is compared. In each bucket all classes are first compared with the
-smallest, then those that this left in other components with the one that has most links, and at
-last with all of other components. The latter two steps leave out what can't be linked: a class
-whose own shingles, found nowhere else, are too many (see ``_possible``), and pairs whose sketches
-differ too often. For the latter the members left get a sketch of ``FINE`` coordinates with one bit each;
-sets of similarity s agree in (1 + s) / 2 of them, and ``MOST_DIFFERING`` is 5.5 standard deviations
-off 0.8, which is 0.728 (a chance of 7e-8 at 0.8 itself if coordinates are independent, below that of the bands). A pair is
+smallest. Members that this left in different components of a bucket meet through the rarest shingles
+that they share (see ``_by_rare_shingles``), an exact bound, also if they never met in a bucket. A pair is
 linked only if its full shingle sets, made anew from both texts, have 100 * intersection >= 80 * union.
 So no bucket emits all its pairs, and none is capped. Components follow from the links.
 
@@ -28,14 +24,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.llm.common import BASE, BASE_INVERSE, U, components, mix, pieces, powers, utf8
+from shopmetrics.llm.common import BASE, BASE_INVERSE, U, components, fresh, mix, pieces, powers, utf8
 from shopmetrics.sources.staging import stage
 
 #: Words of a shingle in op5_minhash; the pipeline's stage passes its own number.
@@ -44,15 +39,13 @@ PERCENT = 80
 COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
-FINE = 2048
-MOST_DIFFERING = 279
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 
 
-_SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=U) * BASE)
+_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U) * BASE)
 _BAND_SEEDS = mix(np.arange(301, 301 + BANDS, dtype=U))
 
 
@@ -128,11 +121,6 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
-def fine_bits(shingles: np.ndarray) -> np.ndarray:
-    """One bit of each of ``FINE`` coordinates, as numbers of 64 bits."""
-    return np.packbits((mix(sketch(shingles, FINE)) & U(1)).astype(np.uint8)).view(np.int64)
-
-
 _SKETCHED = "n_shingles long, class binary, bands array<long>"
 
 
@@ -184,12 +172,14 @@ def _mixed(members: DataFrame, group: DataFrame, label: str) -> DataFrame:
     return stage(placed.join(mixed.where("low <> high").select("key"), "key"), label)
 
 
-def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(key, rep, band, component, n, most) of the members that can be linked with another one of their bucket.
+def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """All pairs (a, b) of members in different components that can be similar, by their first shared shingle.
 
-    Of n shingles let u occur in no other member. Then a pair shares at most min(n - u) of the two,
-    and 0.8 needs 4/9 of the sum of both sizes, so either size is at most the other's
-    most = 9/4 (n - u) - n. Copies that differ from all others in too many places go here, one by one.
+    Each set is put in one order of all shingles, the rarest first. If the first one that a pair shares is at place i of
+    n shingles (from 0), the pair shares at most n - i; 80 % of the union need 4/9 of the sum of both sizes, so
+    the other set has at most 9/4 (n - i) - n shingles. A set is listed under its shingles up to the place
+    where that falls below 4/5 n, less than any partner has. Copies with many changes of their own are
+    listed under those alone, where they meet few others. The bound is exact: no similar pair is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,36 +191,24 @@ def _possible(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) ->
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids, flat], ["rep", "shingle"])
 
-    wanted = rest.select(F.col("rep").alias("doc_id")).distinct()
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    shingles = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, shingle long")
-    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    own = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    sizes = reps.join(wanted, reps["rep"] == wanted["doc_id"], "left_semi").select("rep", F.col("n_shingles").alias("n"))
-    bound = F.col("n") - F.coalesce("own", F.lit(0))
-    known = sizes.join(own, "rep", "left").select("rep", "n", (bound * (100 + PERCENT) / PERCENT - F.col("n")).alias("most"))
-    known = stage(known, "near-bounds")
-    listed = rest.select("key", "rep", "band", "component").join(known, "rep")
-    limits = listed.groupBy("key").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"))
-    listed = listed.join(limits, "key").where("most >= least_n and n <= largest").drop("least_n", "largest")
-    return stage(listed, "near-possible")
-
-
-def _fine_sketches(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(rep, fine) of the members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in pieces(offsets):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                fine = pa.array([fine_bits(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fine], ["rep", "fine"])
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = rest.select(F.col("rep").alias("doc_id"), "component").distinct()
     kind = texts.schema["doc_id"].dataType.simpleString()
     texts = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return stage(texts.mapInArrow(run, f"rep {kind}, fine array<long>"), "near-fine")
+    shingles = stage(texts.mapInArrow(run, f"rep {kind}, shingle long"), "near-shingles")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    order = F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order")
+    orders = shingles.join(shared, "shingle").groupBy("rep").agg(order)
+    sizes = reps.select("rep", F.col("n_shingles").alias("n"))
+    member = wanted.withColumnRenamed("doc_id", "rep")
+    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", F.size("order").alias("many"), F.posexplode("order").alias("k", "e"))
+    # Shingles that no other member has come first.
+    left = F.col("many") - F.col("k")
+    most = F.call_function("div", left * (100 + PERCENT), F.lit(PERCENT)) - F.col("n")
+    listed = listed.select("rep", "component", "n", F.col("e.shingle").alias("shingle"), most.alias("most"))
+    listed = stage(listed.where(F.col("most") * 100 >= F.col("n") * PERCENT), "near-listed")
+    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "most")])
+    met = listed.join(other, "shingle").where("component < other_component and n <= other_most and other_n <= most")
+    return _ordered(met, "rep", "other_rep")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -259,35 +237,9 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = SHINGLE_WORDS) -> t
     if rest.isEmpty():
         return classes, found, group
 
-    # What may still be linked, against the member of another component that has most links.
-    listed = _possible(rest, texts, reps, width)
-    degree = found.select("a").union(found.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = listed.join(degree, "rep", "left")
-    rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("rep").alias("lead"), F.col("component").alias("other"))
-    best = ranked.groupBy("key").agg(F.max(rank).alias("best")).select("key", "best.lead", "best.other")
-    pairs = _ordered(listed.join(best, "key").where("component <> other"), "lead", "rep").join(tried, ["a", "b"], "left_anti")
-    pairs = stage(pairs, "near-pairs")
-    more = stage(_confirmed(pairs, texts, width), "near-links")
-    if not more.isEmpty():
-        tried, found = tried.union(pairs), found.union(more)
-        group = components(found, "a", "b", "near", staged=True)
-        listed = _mixed(listed.select("key", "rep", "band"), group, "near-rest").join(
-            listed.select("rep", "n", "most").distinct(), "rep"
-        )
-
-    # All that is left of different components in one bucket, unless sizes or sketches rule a pair out.
-    listed = listed.join(reps.select("rep", "bands"), "rep").join(_fine_sketches(listed, texts, width), "rep")
-    fine = [f"f{k}" for k in range(FINE // 64)]
-    listed = listed.select("key", "rep", "component", "n", "most", "band", "bands", *[F.col("fine")[k].alias(f) for k, f in enumerate(fine)])
-    other = listed.select("key", *[F.col(c).alias(f"other_{c}") for c in listed.columns[1:] if c != "band"])
-    differing = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"other_{f}"))) for f in fine])
-    pairs = listed.join(other, "key").where("component < other_component and n <= other_most and other_n <= most")
-    pairs = pairs.where(differing <= MOST_DIFFERING)
-    # A pair may share several buckets and is taken from that of the first band; keys tell bands apart.
-    pairs = pairs.where("not arrays_overlap(slice(bands, 1, band), slice(other_bands, 1, band))")
-    pairs = _ordered(pairs, "rep", "other_rep").join(tried, ["a", "b"], "left_anti")
-    pairs = stage(pairs, "near-pairs")
-    more = stage(_confirmed(pairs, texts, width), "near-links")
+    # All that may be linked and is not in one component yet.
+    pairs = _by_rare_shingles(rest, texts, reps, width).join(tried, ["a", "b"], "left_anti")
+    more = stage(_confirmed(stage(pairs, "near-pairs"), texts, width), "near-links")
     if more.isEmpty():
         return classes, found, group
     found = found.union(more)
@@ -315,5 +267,6 @@ def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 def near_dedup(docs: DataFrame, width: int) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns."""
-    goes = near_groups(docs, width).where("not kept").select(F.col("doc_id").alias("goes_id"))
-    return docs.join(goes, docs["doc_id"] == F.col("goes_id"), "left_anti").select(*docs.columns)
+    gone = fresh(docs, "goes_id")
+    goes = near_groups(docs, width).where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(goes, docs["doc_id"] == F.col(gone), "left_anti").select(*docs.columns)
