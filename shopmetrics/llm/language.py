@@ -19,12 +19,12 @@ equal proportions the language that sorts first wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ ROUNDS = 8
 PENALTY = 1.5
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32  # ASCII other than letters separates words; bytes from 128 on belong to letters beyond ASCII
