@@ -107,13 +107,13 @@ def _lookup(docs: DataFrame, capacity: int, hash_bits: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     """The kept rows of ``docs`` with all their columns: of equal texts the row with the largest id."""
-    key, columns = fresh(docs, "exact_key"), docs.columns
+    key, goes_id, goes_key, columns = fresh(docs, "exact_key"), fresh(docs, "goes_id"), fresh(docs, "goes_key"), docs.columns
     answer = _lookup(docs.select("doc_id", "text"), capacity, 64)
     goes = answer.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("doc_id").alias("goes_id"), F.col("key").alias("goes_key")
+        F.col("doc_id").alias(goes_id), F.col("key").alias(goes_key)
     )
     keyed = docs.withColumn(key, _key(docs["text"], 64))
-    rest = keyed.join(goes, keyed["doc_id"].eqNullSafe(F.col("goes_id")) & (keyed[key] == F.col("goes_key")), "left_anti")
+    rest = keyed.join(goes, keyed["doc_id"].eqNullSafe(F.col(goes_id)) & (keyed[key] == F.col(goes_key)), "left_anti")
     if not answer.where("copy > 1").isEmpty():
         rest = rest.dropDuplicates(["doc_id", key])
     return rest.select(*columns)
