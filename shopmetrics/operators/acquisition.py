@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.channels import normalize_channel
@@ -19,6 +19,7 @@ from shopmetrics.functions.dates import (
     whole_months,
 )
 from shopmetrics.functions.money import PCT, pct_change_nonpositive, percent_of, share_even
+from shopmetrics.operators.activity import months_between
 from shopmetrics.operators.distributed import share_of_total
 
 COHORT_FIRST_DAY, COHORT_END_DAY = 180, 90  # days before the reference date
@@ -35,16 +36,37 @@ def acquisition_trend(
     later month with an order.
     """
     first, last = month_window(end_month, months)
-    new = (
-        customers.filter(business_day_range("first_purchase_at", first, last, tz))
-        .groupBy(business_month("first_purchase_at", tz).alias("month_start"))
-        .agg(F.count("*").alias("new"))
-    )
     active_months = (
         orders.filter(business_day_range("created_at", first, last, tz))
         .select("customer_id", business_month("created_at", tz).alias("month_start"))
         .distinct()
     )
+    return _trend(customers, active_months, end_month, months, tz)
+
+
+def acquisition_trend_from_activity(
+    customers: DataFrame, activity: DataFrame, end_month: date, months: int, tz: str = BUSINESS_TZ
+) -> DataFrame:
+    """The same trend from one row per customer (see ``activity``) instead of all orders."""
+    first, last = month_window(end_month, months)
+    index = F.explode(months_between(*_indexes(first, last))).alias("m")
+    year, month = F.call_function("div", F.col("m") - 1, F.lit(12)).cast("int"), (F.col("m") - 1) % 12 + 1
+    active_months = activity.select("customer_id", index).select("customer_id", F.make_date(year, month, F.lit(1)).alias("month_start"))
+    return _trend(customers, active_months, end_month, months, tz)
+
+
+def _indexes(first: date, last: date) -> tuple[Column, Column]:
+    return F.lit(first.year * 12 + first.month), F.lit(last.year * 12 + last.month)
+
+
+def _trend(customers: DataFrame, active_months: DataFrame, end_month: date, months: int, tz: str) -> DataFrame:
+    """The trend from the distinct (customer_id, month_start) of its window."""
+    first, last = month_window(end_month, months)
+    new = (
+        customers.filter(business_day_range("first_purchase_at", first, last, tz))
+        .groupBy(business_month("first_purchase_at", tz).alias("month_start"))
+        .agg(F.count("*").alias("new"))
+    )
     started = customers.select("customer_id", business_month("first_purchase_at", tz).alias("first_month"))
     returning = (
         active_months.join(started, "customer_id")
@@ -104,16 +126,43 @@ def cohort_retention(
     ``report_end``. One pass over customers: each joins its set of order months,
     which is bounded by the calendar however many orders it has.
     """
-    first, last = month_window(end_month, cohorts)
-    through = add_months(last.replace(day=1), periods + 1) - timedelta(days=1)
-    cohort = customers.filter(business_day_range("first_purchase_at", first, last, tz)).select(
-        "customer_id", business_month("first_purchase_at", tz).alias("cohort_month")
-    )
+    first, through = _cohort_span(end_month, cohorts, periods)
     order_months = (
         orders.filter(business_day_range("created_at", first, through, tz))
         .groupBy("customer_id")
         .agg(F.collect_set(month_index(business_date("created_at", tz))).alias("order_months"))
     )
+    return _cohort_cells(customers, order_months, end_month, cohorts, periods, report_end, tz)
+
+
+def cohort_retention_from_activity(
+    customers: DataFrame,
+    activity: DataFrame,
+    end_month: date,
+    cohorts: int,
+    periods: int,
+    report_end: date,
+    tz: str = BUSINESS_TZ,
+) -> DataFrame:
+    """The same retention from one row per customer (see ``activity``) instead of all orders."""
+    span = _indexes(*_cohort_span(end_month, cohorts, periods))
+    order_months = activity.select("customer_id", months_between(*span).alias("order_months"))
+    return _cohort_cells(customers, order_months, end_month, cohorts, periods, report_end, tz)
+
+
+def _cohort_span(end_month: date, cohorts: int, periods: int) -> tuple[date, date]:
+    first, last = month_window(end_month, cohorts)
+    return first, add_months(last.replace(day=1), periods + 1) - timedelta(days=1)
+
+
+def _cohort_cells(
+    customers: DataFrame, order_months: DataFrame, end_month: date, cohorts: int, periods: int, report_end: date, tz: str
+) -> DataFrame:
+    """Cells of the cohorts from each customer's set of order months."""
+    first, last = month_window(end_month, cohorts)
+    cohort = customers.filter(business_day_range("first_purchase_at", first, last, tz)).select(
+        "customer_id", business_month("first_purchase_at", tz).alias("cohort_month")
+    )
     start = month_index("cohort_month")
     offsets = F.transform(F.coalesce("order_months", F.array().cast("array<int>")), lambda m: m - start)
     later = F.filter(offsets, lambda p: (p >= 1) & (p <= periods))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.dates import BUSINESS_TZ, business_date, business_day_range, check_range
 from shopmetrics.functions.money import TOTAL, average, percent_of, rounded_ratio, share_even
 from shopmetrics.functions.text import mask_email
-from shopmetrics.operators.distributed import ntile_global, share_of_total
+from shopmetrics.operators.distributed import Key, ntile_global, share_of_total
 
 # Segment names in report order.
 SEGMENTS = [
@@ -89,7 +89,7 @@ def rfm_scores(customers: DataFrame, as_of: date, date_tz: str = BUSINESS_TZ) ->
         F.col("amount_spent").alias("monetary"),
         F.date_diff(F.lit(as_of), business_date("last_order_at", date_tz)).alias("recency_days"),
     )
-    order = [F.col("monetary").asc_nulls_last(), F.col("customer_id").asc()]
+    order = [Key("monetary", nulls_last=True), Key("customer_id")]
     return (
         ntile_global(metrics, order, 5, "m_score")
         .withColumns(

@@ -719,9 +719,15 @@ oracle(
         LEFT JOIN (SELECT title, sum(amount) AS q, sum(quantity) AS qu FROM m_ledger
             WHERE {between("date_key", previous_period(*p.PRODUCTS))} GROUP BY 1) USING (title)""",
 )
+oracle(
+    "product_count",
+    f"""SELECT count(*) AS total_products_count
+    FROM (SELECT title FROM m_ledger WHERE {between("date_key", p.PRODUCTS)} GROUP BY title HAVING sum(amount) > 0)""",
+)
 
 # --- customers ---------------------------------------------------------------
 
+oracle("buyer_count", "SELECT count(*) AS total_customers FROM m_customers WHERE number_of_orders > 0")
 oracle(
     "customer_summary",
     f"""SELECT DATE '{p.ACTIVE[0]}' AS start_date, DATE '{p.ACTIVE[1]}' AS end_date, count(*) AS total_customers,
@@ -747,6 +753,7 @@ oracle(
 )
 oracle("mask_email", "SELECT customer_id, left(email, 2) || '***@mail.test' AS email_masked FROM m_customers")
 oracle("acquisition_trend", "SELECT * FROM months")
+oracle("acquisition_trend_from_activity", "SELECT * FROM months")
 oracle(
     "acquisition_trend_totals",
     f"""SELECT n AS total_new, r AS total_returning, t AS current_month_total,
@@ -756,6 +763,7 @@ oracle(
         (SELECT total_active AS b FROM months ORDER BY month DESC LIMIT 1 OFFSET 1)""",
 )
 oracle("cohort_retention", "SELECT * FROM cohorts")
+oracle("cohort_retention_from_activity", "SELECT * FROM cohorts")
 oracle(
     "cohort_weighted_average",
     """SELECT period_number, round(sum(retention_pct * cohort_size) / nullif(sum(CASE WHEN retention_pct IS NOT NULL
@@ -874,6 +882,7 @@ oracle(
     "anonymize_orders",
     f"""SELECT order_id, '#' || (10000 + row_number() OVER (ORDER BY created_at, order_id)) AS order_name,
         {money(f"round(total_amount * {p.K}, 2)")} AS total_amount, {money(f"round(net_payment * {p.K}, 2)")} AS net_payment,
+        {money(f"round(current_total * {p.K}, 2)")} AS current_total, {money(f"round(total_paid * {p.K}, 2)")} AS total_paid,
         {money(f"round(total_refunded * {p.K}, 2)")} AS total_refunded, new_code AS discount_code
     FROM m_orders LEFT JOIN map_discount ON orig = lower(trim(discount_code))""",
 )
@@ -913,6 +922,29 @@ oracle(
         {money(f"round(purchase_value * {p.K}, 2)")} AS purchase_value
     FROM m_ads JOIN map_ad a ON a.orig = ad_id JOIN map_adset s ON s.orig = adset_id JOIN map_campaign c ON c.orig = campaign_id""",
 )
+_ADS_SUMS = f"""{money(f"round(sum(spend) * {p.K}, 2)")} AS spend, CAST(sum(impressions) AS BIGINT) AS impressions,
+    CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(purchases) AS BIGINT) AS purchases,
+    {money(f"round(sum(purchase_value) * {p.K}, 2)")} AS purchase_value"""
+oracle(
+    "anonymize_campaigns",
+    f"""SELECT date, platform, new_id AS campaign_id, new_name AS campaign_name, {_ADS_SUMS}
+    FROM m_ads JOIN map_campaign ON orig = campaign_id GROUP BY date, platform, new_id, new_name, m_ads.campaign_name""",
+)
+oracle(
+    "anonymize_adsets",
+    f"""SELECT date, platform, s.new_id AS adset_id, s.new_name AS adset_name, c.new_id AS campaign_id,
+        c.new_name AS campaign_name, {_ADS_SUMS}
+    FROM m_ads JOIN map_adset s ON s.orig = adset_id JOIN map_campaign c ON c.orig = campaign_id
+    GROUP BY date, platform, s.new_id, s.new_name, c.new_id, c.new_name, m_ads.campaign_name""",
+)
+oracle(
+    "anonymize_refund_lines",
+    f"""SELECT id, order_id, line_item_id, quantity, {unit(f"round(subtotal * {p.K}, 2)")} AS subtotal FROM m_refund_lines""",
+)
+oracle(
+    "anonymize_allocations",
+    f"""SELECT id, line_item_id, order_discount_id, {unit(f"round(allocated_amount * {p.K}, 2)")} AS allocated_amount FROM m_allocations""",
+)
 oracle(
     "anonymize_ads_meta",
     f"""SELECT platform, new_id AS id, 'crv_' || {h("'c-' || ad_id", p.SALT)} AS detail,

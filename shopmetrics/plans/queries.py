@@ -13,6 +13,7 @@ from shopmetrics.functions import bands, draws, text
 from shopmetrics.functions.dates import business_date, business_day_range
 from shopmetrics.operators import (
     acquisition,
+    activity,
     ads,
     annotations,
     customers,
@@ -157,6 +158,11 @@ def top_products(t):
     return products.top_products(ledger.ledger_of(t), *p.PRODUCTS)
 
 
+@query
+def product_count(t):
+    return products.product_count(top_products(t))
+
+
 # --- customers ---------------------------------------------------------------
 
 
@@ -191,6 +197,11 @@ def top_customers(t):
     return customers.top_customers(t["customers"], rfm_scores(t), p.TOP_N, p.AS_OF)
 
 
+@query
+def buyer_count(t):
+    return customers.buyer_count(t["customers"])
+
+
 @query
 def top_customers_concentration(t):
     return customers.top_customers_concentration(top_customers(t))
@@ -206,6 +217,12 @@ def acquisition_trend(t):
     return acquisition.acquisition_trend(t["customers"], t["orders"], p.TREND_END_MONTH, p.TREND_LENGTH)
 
 
+@query
+def acquisition_trend_from_activity(t):
+    months = activity.activity_bitmaps(t["orders"])
+    return acquisition.acquisition_trend_from_activity(t["customers"], months, p.TREND_END_MONTH, p.TREND_LENGTH)
+
+
 @query
 def acquisition_trend_totals(t):
     return acquisition.acquisition_trend_totals(acquisition_trend(t))
@@ -218,6 +235,13 @@ def cohort_retention(t):
     )
 
 
+@query
+def cohort_retention_from_activity(t):
+    return acquisition.cohort_retention_from_activity(
+        t["customers"], activity.activity_bitmaps(t["orders"]), p.COHORT_END_MONTH, p.COHORTS, p.PERIODS, p.REPORT_END
+    )
+
+
 @query
 def cohort_weighted_average(t):
     return acquisition.cohort_weighted_average(cohort_retention(t))
@@ -271,7 +295,7 @@ def assign_row_numbers(t):
 
 @query
 def ntile_global(t):
-    order = [F.col("total_amount").asc_nulls_last(), F.col("order_id").asc()]
+    order = [distributed.Key("total_amount", nulls_last=True), distributed.Key("order_id")]
     return distributed.ntile_global(t["orders"].select("order_id", "total_amount"), order, 7, "bucket")
 
 
@@ -408,7 +432,8 @@ def anonymize_customers(t):
 @query
 def anonymize_orders(t):
     out = privacy.anonymize_orders(t["orders"], privacy.discount_mapping(t, p.SALT), p.K)
-    return out.select("order_id", "order_name", "total_amount", "net_payment", "total_refunded", "discount_code")
+    money = ["total_amount", "current_total", "total_paid", "net_payment", "total_refunded"]
+    return out.select("order_id", "order_name", *money, "discount_code")
 
 
 @query
@@ -457,6 +482,30 @@ def anonymize_ads(t):
     return out.drop("currency", "updated_at")
 
 
+@query
+def anonymize_campaigns(t):
+    maps = {"campaign": privacy.campaign_mapping(t, p.SALT)}
+    return privacy.anonymize_ads(t["campaign_daily"], maps, p.K, "campaign").drop("status", "currency", "updated_at")
+
+
+@query
+def anonymize_adsets(t):
+    maps = {"campaign": privacy.campaign_mapping(t, p.SALT), "adset": privacy.adset_mapping(t, p.SALT)}
+    return privacy.anonymize_ads(t["adset_daily"], maps, p.K, "campaign", "adset").drop("currency", "updated_at")
+
+
+@query
+def anonymize_refund_lines(t):
+    out = privacy.anonymize(t, p.K, p.SALT)["refund_line_items"]
+    return out.select("id", "order_id", "line_item_id", "quantity", "subtotal")
+
+
+@query
+def anonymize_allocations(t):
+    out = privacy.anonymize(t, p.K, p.SALT)["line_item_discount_allocations"]
+    return out.select("id", "line_item_id", "order_discount_id", "allocated_amount")
+
+
 @query
 def anonymize_ads_meta(t):
     out = privacy.anonymize_ad_meta(t["ad_meta"], privacy.ad_mapping(t, p.SALT), p.SALT)

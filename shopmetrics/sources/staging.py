@@ -8,11 +8,16 @@ folder survives the loss of executors; cached blocks do not.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 ALLOW_FILE = "shopmetrics.staging.allowFileScheme"
 
+_run: ContextVar[str] = ContextVar("staged_run", default="stage")
+
 
 def staging_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, else one in the warehouse of the session.
@@ -31,9 +36,12 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str, run_id: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table; ``clean_stage(run_id)`` removes it."""
+    """Write ``df`` once and return a scan of the written table.
+
+    It belongs to ``run_id``, else to the ``staged_run`` around the call, which removes it at its end.
+    """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{run_id or 'stage'}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{run_id or _run.get()}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,3 +51,18 @@ def clean_stage(spark: SparkSession, run_id: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/{run_id}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def staged_run(spark: SparkSession, run_id: str | None = None) -> Iterator[str]:
+    """All tables staged inside belong to one run and are removed at its end, also if it fails.
+
+    What is read from them has to be written or collected before.
+    """
+    run_id = run_id or f"run-{uuid.uuid4().hex}"
+    token = _run.set(run_id)
+    try:
+        yield run_id
+    finally:
+        _run.reset(token)
+        clean_stage(spark, run_id)

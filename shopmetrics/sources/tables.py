@@ -49,6 +49,55 @@ def write_table(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> No
     df.drop(*GENERATED.get(name, [])).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
 
 
+def bounds_query(table: str, column: str) -> str:
+    """Query for the least and largest value of a whole-number column and the number of rows."""
+    return f"SELECT min({column}) AS low, max({column}) AS high, count(*) AS n FROM {table}"
+
+
+def histogram_query(table: str, column: str, low: int, width: int) -> str:
+    """Query for the rows in each ``width`` values of a column from ``low`` on; rows without a value aren't counted."""
+    part = f"floor(({column} - ({low})) / {width}.0)"
+    return f"SELECT {part} AS part, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY {part}"
+
+
+def histogram_width(low: int, high: int, rows: int, rows_per_task: int, fineness: int = 8) -> int:
+    """Values per part, so that there are about ``fineness`` parts for each task of evenly spread rows."""
+    parts = max(1, fineness * -(-rows // rows_per_task))
+    return max(1, -(-(high - low + 1) // parts))
+
+
+def even_predicates(column: str, low: int, width: int, counts: Mapping[int, int], rows_per_task: int) -> list[str]:
+    """Ranges of a column that each hold about ``rows_per_task`` rows and together every row once.
+
+    Neighbouring parts are joined until the next one would exceed the number; a part that exceeds it alone is a range of
+    its own. The first range is open below and takes the rows without a value, the last is open above, so rows that
+    arrive after the counting are read too.
+    """
+    cuts, held = [], 0
+    for part in sorted(counts):
+        if held and held + counts[part] > rows_per_task:
+            cuts.append(low + part * width)
+            held = 0
+        held += counts[part]
+    edges = [None, *cuts, None]
+    ranges = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        inside = " AND ".join([f"{column} >= {a}"] * (a is not None) + [f"{column} < {b}"] * (b is not None)) or "1 = 1"
+        ranges.append(f"({inside}) OR {column} IS NULL" if a is None and b is not None else inside)
+    return ranges
+
+
+def jdbc_predicates(spark: SparkSession, options: Mapping[str, str], table: str, column: str, rows_per_task: int) -> list[str]:
+    """Plan the parallel read of a database table: two small queries, whose results are one row and one row per part."""
+    reader = spark.read.format("jdbc").options(**dict(options))
+    low, high, rows = reader.option("query", bounds_query(table, column)).load().first()
+    if low is None:
+        return ["1 = 1"]
+    width = histogram_width(int(low), int(high), int(rows), rows_per_task)
+    counts = reader.option("query", histogram_query(table, column, int(low), width)).load().collect()
+    return even_predicates(column, int(low), width, {int(part): int(n) for part, n in counts}, rows_per_task)
+
+
 def copy_tables(
     spark: SparkSession,
     src: str,
@@ -57,18 +106,27 @@ def copy_tables(
     src_format: str = "parquet",
     dst_format: str = "parquet",
     src_options: Mapping[str, str] | None = None,
+    split_columns: Mapping[str, str] | None = None,
+    rows_per_task: int = 1_000_000,
 ) -> list[str]:
     """Copy base tables between locations, leaving generated columns out.
 
-    The order of the tables does not matter; ``src_format="jdbc"`` reads each
-    table by name with the given options (partition it there for large tables).
+    The order of the tables does not matter; ``src_format="jdbc"`` reads each table by name with the given
+    options, in ranges of about ``rows_per_task`` rows where ``split_columns`` names a whole-number column of it.
     """
     if src.rstrip("/") == dst.rstrip("/"):
         raise ValueError("source and target are the same location")
+    options, split = dict(src_options or {}), split_columns or {}
+    reader = spark.read.format(src_format).options(**options)
     copied = []
     for name in names or DDL:
-        reader = spark.read.format(src_format).options(**dict(src_options or {}))
-        df = reader.option("dbtable", name).load() if src_format == "jdbc" else reader.load(f"{src}/{name}")
+        if src_format != "jdbc":
+            df = reader.load(f"{src}/{name}")
+        elif name in split:
+            ranges = jdbc_predicates(spark, options, name, split[name], rows_per_task)
+            df = spark.read.jdbc(options["url"], name, predicates=ranges, properties={k: v for k, v in options.items() if k != "url"})
+        else:
+            df = reader.option("dbtable", name).load()
         write_table(conform(df, name), name, dst, dst_format)
         copied.append(name)
     return copied
