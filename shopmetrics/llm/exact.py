@@ -6,8 +6,9 @@ byte, and copies are combined before the shuffle: a group that holds a third of
 reaches its owner as one row per task. The directory starts at the depth that fits the number
 of entries and is doubled until no bucket holds more than ``capacity`` entries; a bucket whose
 hash prefix is shorter than the directory's depth is shared by several cells, as in any
-extendible hash. Owner tasks each write one key range of whole buckets' neighbours, sorted, to
-shared storage. A lookup joins on the hash; where a chain has several entries, the text decides.
+extendible hash. Owner tasks each write a range of buckets, sorted by key, to shared storage; a chain
+of several entries keeps their texts. A lookup takes a row's key to its cell, the cell to its bucket and the
+bucket to the key's chain, along which the stored texts are compared byte by byte.
 
 Defined cases: a null text equals the empty text; rows that agree in id and text are one group,
 of which one row is kept; a null id is smaller than any other; an empty table gives no rows.
@@ -61,21 +62,34 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int =
     return cells.select("cell", "local_depth", bucket.alias("bucket")), depth
 
 
-def build_index(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int = 64) -> DataFrame:
-    """Index rows: bucket, local_depth, key, chain, chain_length, keep_id, group_size, text_sha256."""
+def build_index(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
+    """The index and its directory: (entries, cells, depth).
+
+    Entries: bucket, local_depth, key, chain_length, keep_id, group_size, text_sha256 and, where a key has a chain of
+    several entries, the text that tells them apart. Each task owns a range of buckets and writes their entries in order of the key.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", _key(text, hash_bits).alias("key"), text.alias("text"))
-    entries = rows.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("key", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
+    group = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    entries = rows.groupBy("key", "text").agg(*group).select("key", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
     entries = stage(entries, "exact-entries")
     chains = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("chain_length")), "exact-chains")
     cells, depth = directory(chains.select("key"), capacity, hash_bits)
-    owned = entries.join(chains, "key").withColumn("cell", _prefix(F.col("key"), depth)).join(cells, "cell")
-    owned = owned.repartitionByRange("key").sortWithinPartitions("key")
-    index = owned.select(
-        "bucket", "local_depth", "key", "chain_length", "keep_id", "group_size", "text_sha256"
-    )
-    return stage(index, "exact-index")
+    cells = stage(cells, "exact-directory")
+    entries = entries.withColumn("text", F.lit(None).cast("string")).join(chains, "key")
+    chained = chains.where("chain_length > 1")
+    if not chained.isEmpty():
+        again = rows.join(chained, "key").groupBy("key", "chain_length", "text").agg(*group)
+        again = again.withColumn("text_sha256", F.sha2("text", 256)).select(entries.columns)
+        entries = entries.where("chain_length = 1").union(again)
+    owned = _placed(entries, cells, depth).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    columns = ["bucket", "local_depth", "key", "chain_length", "keep_id", "group_size", "text_sha256", "text"]
+    return stage(owned.select(columns), "exact-index"), cells, depth
+
+
+def _placed(rows: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """Rows with the bucket that the directory names for their key."""
+    return rows.withColumn("cell", _prefix(F.col("key"), depth)).join(cells, "cell").drop("cell")
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int = 64) -> DataFrame:
@@ -86,20 +100,21 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: in
 
 
 def _lookup(docs: DataFrame, capacity: int, hash_bits: int) -> DataFrame:
-    index = build_index(docs, capacity, hash_bits)
+    """Every row's entry: the directory maps its key to a bucket, the bucket's entries of the key are its chain."""
+    index, cells, depth = build_index(docs, capacity, hash_bits)
     found = ["keep_id", "group_size", "text_sha256"]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", _key(text, hash_bits).alias("key"), text.alias("text"))
-    single = index.where("chain_length = 1").select("key", *found)
     same = F.count(F.lit(1)).alias("same")  # rows that agree in id and text
-    answer = rows.groupBy("doc_id", "key").agg(same).join(single, "key")
-    chained = index.where("chain_length > 1").select("key").distinct()
-    if not chained.isEmpty():
-        rest = rows.join(chained, "key", "left_semi")
-        chain = rest.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        chain = chain.withColumn("text_sha256", F.sha2("text", 256))
-        rest = rest.groupBy("doc_id", "key", "text").agg(same).join(chain, ["key", "text"])
-        answer = answer.select("doc_id", "key", "same", *found).union(rest.select("doc_id", "key", "same", *found))
+    asked = _placed(rows.groupBy("doc_id", "key").agg(same), cells, depth)
+    answer = asked.join(index.where("chain_length = 1").select("bucket", "key", *found), ["bucket", "key"])
+    answer = answer.select("doc_id", "key", "same", *found)
+    chains = index.where("chain_length > 1")
+    if not chains.isEmpty():
+        # Along a chain the stored text decides, byte by byte.
+        asked = rows.join(chains.select("key").distinct(), "key", "left_semi").groupBy("doc_id", "key", "text").agg(same)
+        asked = _placed(asked, cells, depth).join(chains.select("bucket", "key", "text", *found), ["bucket", "key", "text"])
+        answer = answer.union(asked.select("doc_id", "key", "same", *found))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "same")).alias("copy")
     answer = answer.select("doc_id", "key", *found, copies)
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))
