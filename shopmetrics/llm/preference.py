@@ -81,11 +81,27 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs each conversation of an even id, as the chosen one, with the next id's, as the rejected one."""
-    return conversations.select(
-        F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"
+def replies(conversations: DataFrame) -> DataFrame:
+    """Pairs with a common beginning, one for each conversation that has a turn of the trained role.
+
+    Chosen is the conversation; rejected are its turns before the last one of the trained role and then, in place
+    of that turn, the text of the next id's last one ('' if there is none).
+    """
+    turns = conversations.where("conv_id is not null").select(
+        F.col("conv_id").alias("pair_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    place = F.struct("turn", "role", "text")
+    last = turns.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max(place).alias("last"))
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("other"))
+    last = last.join(other, "pair_id", "left")
+    paired = turns.join(last, "pair_id")
+    columns = ["pair_id", "chosen", "turn", "role", "text"]
+    chosen = paired.withColumn("chosen", F.lit(True)).select(columns)
+    shared = paired.where(place < F.col("last")).withColumn("chosen", F.lit(False)).select(columns)
+    reply = last.select(
+        "pair_id", F.lit(False).alias("chosen"), "last.turn", F.lit(TRAINED_ROLE).alias("role"), F.coalesce("other", F.lit("")).alias("text")
     )
+    return chosen.union(shared).union(reply)
 
 
 def joined(spans: str) -> Column:

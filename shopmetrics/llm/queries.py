@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = preference.neighbours(_table(spark, sf_dir, "conversations"))
+    turns = preference.replies(_table(spark, sf_dir, "conversations"))
     masks = {c: preference.joined(c) for c in ("chosen_mask", "rejected_mask")}
     return preference.format_preferences(turns).withColumns(masks)
 
@@ -95,13 +95,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_preferences": """
-        WITH turns AS (
-            SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   row_number() OVER (
-                       PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')
-                   ) AS pos
+        WITH ranked AS (
+            SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rk
             FROM conversations
             WHERE conv_id IS NOT NULL
+        ), last AS (
+            SELECT pair_id, max(rk) AS rk, any_value(turn) AS turn, any_value(text) AS text
+            FROM ranked
+            WHERE role = 'assistant'
+            GROUP BY pair_id, rk
+            QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY rk DESC) = 1
+        ), sides AS (
+            SELECT r.pair_id, 0 AS side, r.turn, r.role, r.text FROM ranked r JOIN last USING (pair_id)
+            UNION ALL
+            SELECT r.pair_id, 1, r.turn, r.role, r.text FROM ranked r JOIN last l ON l.pair_id = r.pair_id AND r.rk < l.rk
+            UNION ALL
+            SELECT l.pair_id, 1, l.turn, 'assistant', coalesce(o.text, '') FROM last l LEFT JOIN last o ON o.pair_id = l.pair_id + 1
+        ), turns AS (
+            SELECT pair_id, side, role, text,
+                   row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS pos
+            FROM sides
         ), compared AS (
             SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
             FROM turns
