@@ -268,7 +268,7 @@ def test_preferences(spark):
 def test_oracles(spark, name):
     star = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{star}/{table}.parquet'")
     rel = con.execute(ORACLES[name])
     columns = [c[0] for c in rel.description]
@@ -448,3 +448,50 @@ def test_number_signs_are_no_letters(spark):
     rows += [(100, "½ ²", "xx"), (101, "Ⅷ ③", "xx"), (102, None, "xx"), (103, "ª", "xx"), (104, "12 _", "yy")]
     got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [got[k] for k in (100, 101, 102, 104)] == ["und"] * 4 and got[103] != "und"
+
+
+def test_lookups_read_the_buckets_of_the_directory(docs):
+    found, buckets = [], []
+    for capacity, bits in ((4096, 64), (2, 64), (1, 4), (1, 1)):
+        index, cells, depth = exact.build_index(docs, capacity, bits)
+        listed = {r.cell: r.bucket for r in cells.collect()}
+        rows = index.collect()
+        assert all(listed[(r.key >> (64 - depth)) & ((1 << depth) - 1) if depth else 0] == r.bucket for r in rows)
+        assert all((r.text is not None) == (r.chain_length > 1) for r in rows)
+        buckets.append(len({r.bucket for r in rows}))
+        found.append(sorted(map(str, exact.exact_groups(docs, capacity, bits).collect())))
+    assert buckets[0] == 1 < buckets[1] and found[1:] == found[:1] * 3
+
+
+def test_a_lookup_in_another_bucket_finds_nothing(docs, monkeypatch):
+    build = exact.build_index
+
+    def moved(*args):
+        index, cells, depth = build(*args)
+        return index.withColumn("bucket", F.col("bucket") + 1), cells, depth
+
+    monkeypatch.setattr(exact, "build_index", moved)
+    assert exact.exact_groups(docs).count() == 0
+
+
+def test_replies_share_what_comes_before_the_last_answer(spark):
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", "q2"), (1, 4, "assistant", "b"), (1, 5, "user", "bye"),
+        (2, 0, "user", "x"), (2, None, "assistant", "first"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y"), (3, 0, "user", "none"), (None, 0, "assistant", "z"),
+        (4, None, None, None), (4, None, "assistant", "only"),
+    ]
+    turns = preference.replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.pair_id: r for r in preference.format_preferences(turns).collect()}
+    assert set(got) == {1, 2, 4}
+    assert got[1].n_prompt_turns == 4 and got[1].prompt.endswith("q2\n")
+    assert got[1].chosen == "<|assistant|>\nb\n<|user|>\nbye\n" and got[1].rejected == "<|assistant|>\ny\n"
+    assert [tuple(s) for s in got[1].rejected_mask] == [(14, 15)]
+    assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected) == (2, "<|assistant|>\ny\n<|assistant|>\ny\n", "<|assistant|>\n\n")
+    assert got[4].n_prompt_turns == 1 and got[4].rejected_mask == []
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, pair_id long")
+    assert preference.format_preferences(preference.replies(none)).count() == 0
+
+
+def test_registered_pairs_have_common_beginnings(spark):
+    found = QUERIES["op1_preferences"](spark, "/root/testdata/sf0.001")
+    assert found.where("n_prompt_turns > 0 and prompt <> '' and chosen <> '' and rejected <> ''").count() > found.count() / 2
