@@ -5,8 +5,10 @@ forms, menus, page headers and footers, sidebars, adverts, notices and comments,
 and the words of class and id. Each paragraph then passes points to its ancestors, one for its
 commas each and more for its length: all to the parent, half to the grandparent, a third to the
 next. An element's points are discounted by the share of its text that stands in links. The
-element with most points is the article, and siblings that score nearly as well, or are long
-paragraphs with few links, belong to it. The text is the blocks of these elements in page order.
+element with most points is the article; siblings that score nearly as well, and headings, paragraphs, lists,
+tables, quotes, code and bare text with few links, belong to it. Where everything in the parent does, or the
+parent is an article or main element, the parent is taken, and so on upwards. The text is the blocks
+of these elements in page order.
 
 Defined cases: a null or empty page, and one without any text, gives the empty string; markup that
 isn't closed ends with its parent; a ``<`` that begins no tag is text; pages are handled one by
@@ -41,17 +43,25 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
+WORDS = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
     r"side-?bar|sidebar|aside|widget|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|share|sharing|social|comments?|commentlist|"
     r"disqus|repl(?:y|ies)|respond|related|recommend\w*|newsletter|subscri\w*|paginat\w*|pager|login|sign-?up|search|toolbar|copyright|skip)(?![a-z])"
 )
+BOILERPLATE = re.compile(rf"(?:^|[^a-z]){WORDS}")
+#: A name made of such words alone; what is left over would be the article's own.
+ONLY_BOILERPLATE = re.compile(rf"{WORDS}(?:[-_]{WORDS})*[-_0-9]*")
+#: Elements that the words drop as a whole; paragraphs, headings, cells and inline elements need a name of such words alone.
+CONTAINERS = frozenset("div section ul ol dl table aside center figure details".split())
 NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 START = {"article": 10.0, "main": 8.0, "section": 4.0, "div": 4.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "table": -1.0}
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body".split())
 LONG = 25
+#: What belongs to an article beside its paragraphs, if few of its characters stand in links.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p pre ul ol dl table blockquote figure figcaption details hr center address".split()) | INLINE
+LINKED = 0.5
 
 
 class Element:
@@ -74,7 +84,10 @@ def _dropped(tag: str, attributes: str, within: set[str]) -> bool:
         return False
     for m in NAMED.finditer(attributes):
         name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()
-        if BOILERPLATE.search(name):
+        if tag in CONTAINERS:
+            if BOILERPLATE.search(name):
+                return True
+        elif any(ONLY_BOILERPLATE.fullmatch(word) for word in name.split()):
             return True
     return False
 
@@ -141,10 +154,12 @@ def parse(page: str) -> Element:
 
 def _measure(top: Element) -> None:
     """Characters and linked characters of every element, without what is dropped."""
-    order, stack = [], [top]
+    order, stack, article = [], [top], set()
     while stack:
         node = stack.pop()
         order.append(node)
+        if node.tag in ("article", "main") or node.parent in article:
+            article.add(node)
         stack += [x for x in node.content if isinstance(x, Element) and not x.dropped]
     for node in reversed(order):
         for x in node.content:
@@ -156,7 +171,7 @@ def _measure(top: Element) -> None:
         if node.tag == "a":
             node.linked = node.chars
         links = sum(isinstance(x, Element) and not x.dropped for x in node.content)
-        if node.tag in ("ul", "ol", "dl", "table") and links > 1 and node.chars and node.linked >= 0.8 * node.chars:
+        if node.tag in ("ul", "ol", "dl", "table") and node not in article and links > 1 and node.chars and node.linked >= 0.8 * node.chars:
             node.dropped = True  # a menu: a list of links
 
 
@@ -240,17 +255,26 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(_blocks(top))
     rank = {node: (node.points * (1 - _density(node))) for node in scored}
     best = max(scored, key=rank.__getitem__)
-    taken: list[Element | str] = [best]
-    if best.parent is not None:
-        taken = []
-        for x in best.parent.content:
-            if not isinstance(x, Element) or x.dropped:
-                continue
-            close = rank.get(x, 0.0) >= max(10.0, 0.2 * rank[best])
-            paragraph = x.tag == "p" and x.chars > 80 and _density(x) < 0.25
-            if x is best or close or paragraph:
-                taken.append(x)
-    return "\n\n".join(text for x in taken for text in _blocks(x))
+
+    def belongs(x: Element | str) -> bool:
+        if isinstance(x, str) or x is best:
+            return True
+        points = rank.get(x, 0.0)
+        close = points >= 0.2 * rank[best] and (points >= 10.0 or (x.chars > 80 and _density(x) < 0.25))
+        return close or (x.tag in BESIDE and _density(x) < LINKED)
+
+    # Up to where other things than the article begin; there, what belongs to it is taken one by one.
+    node = best
+    while node.parent is not None and node.parent.tag not in ("#page", "html", "body"):
+        siblings = [x for x in node.parent.content if x is not node and (isinstance(x, str) or (not x.dropped and x.chars))]
+        if node.parent.tag not in ("article", "main") and not all(belongs(x) for x in siblings):
+            break
+        node = node.parent
+    if node.parent is None or node.tag == "body":
+        return "\n\n".join(_blocks(node))
+    level = Element("#kept", None)
+    level.content = [x for x in node.parent.content if x is node or isinstance(x, str) or (not x.dropped and belongs(x))]
+    return "\n\n".join(_blocks(level))
 
 
 def extract(pages: DataFrame) -> DataFrame:
