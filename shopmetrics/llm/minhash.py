@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import BASE, BASE_INVERSE, U, components, fresh, mix, pieces, powers, utf8
@@ -39,6 +40,7 @@ PERCENT = 80
 COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
+MAP_WORDS = 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -179,7 +181,9 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
     n shingles (from 0), the pair shares at most n - i; 80 % of the union need 4/9 of the sum of both sizes, so
     the other set has at most 9/4 (n - i) - n shingles. A set is listed under its shingles up to the place
     where that falls below 4/5 n, less than any partner has. Copies with many changes of their own are
-    listed under those alone, where they meet few others. The bound is exact: no similar pair is left out.
+    listed under those alone, where they meet few others. Each set also has a map of ``64 * MAP_WORDS`` bits, one for each
+    shingle that it shares with any member; a bit that only one of two sets has stands for a shingle that the
+    other lacks, which bounds what they share from above. Both bounds are exact: no similar pair is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +201,28 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
     shingles = stage(texts.mapInArrow(run, f"rep {kind}, shingle long"), "near-shingles")
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     order = F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order")
-    orders = shingles.join(shared, "shingle").groupBy("rep").agg(order)
+    word = F.col("shingle").bitwiseAND(F.lit(MAP_WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("shingle", 8).bitwiseAND(F.lit(63)).cast("int"))
+    words = [f"w{k}" for k in range(MAP_WORDS)]
+    maps = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)]
+    orders = shingles.join(shared, "shingle").groupBy("rep").agg(order, *maps)
     sizes = reps.select("rep", F.col("n_shingles").alias("n"))
     member = wanted.withColumnRenamed("doc_id", "rep")
-    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", F.size("order").alias("many"), F.posexplode("order").alias("k", "e"))
+    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", *words, F.size("order").alias("many"), F.posexplode("order").alias("k", "e"))
     # Shingles that no other member has come first.
     left = F.col("many") - F.col("k")
     most = F.call_function("div", left * (100 + PERCENT), F.lit(PERCENT)) - F.col("n")
-    listed = listed.select("rep", "component", "n", F.col("e.shingle").alias("shingle"), most.alias("most"))
+    listed = listed.select("rep", "component", "n", "many", *words, F.col("e.shingle").alias("shingle"), most.alias("most"))
     listed = stage(listed.where(F.col("most") * 100 >= F.col("n") * PERCENT), "near-listed")
-    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "most")])
+    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "many", *words, "most")])
     met = listed.join(other, "shingle").where("component < other_component and n <= other_most and other_n <= most")
-    return _ordered(met, "rep", "other_rep")
+    needed = (F.col("n") + F.col("other_n")) * PERCENT
+
+    def enough(one: str, two: str) -> Column:
+        lacking = [F.bit_count(F.col(one + w).bitwiseAND(F.bitwise_not(F.col(two + w)))) for w in words]
+        return (F.col(one + "many") - reduce(Column.__add__, lacking)) * (100 + PERCENT) >= needed
+
+    return _ordered(met.where(enough("", "other_")).where(enough("other_", "")), "rep", "other_rep")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
