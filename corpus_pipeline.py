@@ -3,6 +3,10 @@ texts, mixed to the sources' targets and encoded.
 
 Every stage reads what its predecessor kept, as Parquet, and all but the last return the columns of
 their input. The mix repeats a document that it takes twice.
+
+Defined cases: a null text, or one without a letter, has no known language and goes in the first stage; a null id, lang or
+source is a value like others, but a row without an id is never a near duplicate of another; an empty
+table passes through all stages and gives no rows; further columns are carried along.
 """
 
 from __future__ import annotations
