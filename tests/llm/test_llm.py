@@ -495,3 +495,16 @@ def test_replies_share_what_comes_before_the_last_answer(spark):
 def test_registered_pairs_have_common_beginnings(spark):
     found = QUERIES["op1_preferences"](spark, "/root/testdata/sf0.001")
     assert found.where("n_prompt_turns > 0 and prompt <> '' and chosen <> '' and rejected <> ''").count() > found.count() / 2
+
+
+def test_pipeline_takes_nulls_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, goes_id int"
+    rows = [(k, f"{prose(40)} text {k}", None if k % 3 else "xx", None if k % 4 else "s", None, k) for k in range(20)]
+    rows += [(50, None, "xx", "s", None, None), (51, "", None, None, 0, None), (None, prose(30), None, "s", None, None), (52, rows[3][1], "xx", "s", None, None)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        ids = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+        assert ids <= {r[0] for r in table} - {3, 50, 51} and (len(ids) > 5) == bool(table)
