@@ -46,6 +46,22 @@ def stage(df: DataFrame, label: str, run_id: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Like ``stage``, in hash buckets of ``keys``: joins and groups by these keys read it without a shuffle.
+
+    There is one bucket per shuffle partition. Rows that come partitioned by ``keys`` make one file per bucket.
+    The table's name leaves the catalogue at once; the files stay, and the returned scan reads them.
+    """
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{_run.get()}/{label}-{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).saveAsTable(name)
+    scan = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return scan
+
+
 def clean_stage(spark: SparkSession, run_id: str) -> None:
     """Remove every table staged under ``run_id``, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm

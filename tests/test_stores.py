@@ -4,11 +4,13 @@ from datetime import date
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopmetrics.operators import ingest
 from shopmetrics.operators.ledger import LEDGER_COLUMNS, net_sales_lines
 from shopmetrics.sources import partition_store as store
 from shopmetrics.sources.schema import table_schema
+from shopmetrics.sources.staging import stage_buckets, staged_run
 from shopmetrics.streaming import ledger_sync, sync
 
 UPSERT = partial(ingest.upsert_snapshot, keys=["order_id"], order_col="synced_at")
@@ -176,3 +178,17 @@ def test_stream_ledger(spark, changes, tmp_path):
         run().awaitTermination()
         assert ledger_rows(ledger_sync.current_ledger(spark, target)) == whole(spark, target)
     assert len(store.committed(spark, f"{target}/{ledger_sync.LEDGER}")) == 3
+
+
+def test_staged_buckets_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with staged_run(spark):
+            left = stage_buckets(spark.range(1000).selectExpr("id % 7 AS k", "id AS v"), "left", "k")
+            right = stage_buckets(spark.range(7).selectExpr("id AS k", "id * 2 AS w"), "right", "k")
+            joined = left.join(right, "k").groupBy("k").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+            assert {tuple(r) for r in joined.collect()} == {(k, 143 if k < 6 else 142, 2 * k) for k in range(7)}
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+            assert not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
