@@ -2,6 +2,10 @@
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is removed.
 
+Equal texts are counted first, before any shuffle of texts, and one of them goes on: a text of LENGTH bytes or more that
+occurs twice goes whole, and the one that stays is the partner of all others. Texts are told apart by 96 bits made from
+their SHA-256. They are written once in hash buckets of this key, so neither contexts nor cuts move texts again.
+
 1. Anchors. In every stretch of LENGTH bytes the ``GRAM`` bytes with the smallest hash are an anchor
    (all of them where several are equal). Equal stretches have equal anchors at equal
    places, so a repeated string has an anchor whose hash occurs at least twice; others are dropped.
@@ -34,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import BASE, BASE_INVERSE, U, mix, pieces, powers, utf8
-from shopmetrics.sources.staging import stage
+from shopmetrics.sources.staging import stage, stage_buckets
 
 LENGTH = 200
 GRAM = 64
 LEFT = LENGTH - GRAM
 GROUP = 1000
+KEY = ["uid", "tag"]
 _CHUNK = 4096
 
 
@@ -73,36 +78,36 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         for a, b in pieces(offsets):
             found = [anchors(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
-            row = np.repeat(np.arange(a, b), [len(x[0]) for x in found])
+            row = pa.array(np.repeat(np.arange(a, b), [len(x[0]) for x in found]))
             columns = [
-                batch.column(0).take(pa.array(row)),
+                *(batch.column(k).take(row) for k in range(2)),
                 pa.array(np.concatenate([x[0] for x in found]).astype(np.int32)),
                 pa.array(np.concatenate([x[1] for x in found]).view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "pos", "gram"])
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "pos", "gram"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, gram, pos, left, right) of every listed place of a text."""
+    """(uid, tag, gram, pos, left, right) of every listed place of a text."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         for a, b in pieces(offsets, 1 << 18):
-            uid, gram, pos, left, right = [], [], [], [], []
+            row, gram, pos, left, right = [], [], [], [], []
             for i in range(a, b):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
-                places = batch.column(2)[i].values
+                places = batch.column(3)[i].values
                 at = places.field("pos").to_pylist()
                 pos += at
                 gram += places.field("gram").to_pylist()
-                uid += [batch.column(0)[i].as_py()] * len(at)
+                row += [i] * len(at)
                 left += [text[max(0, p - LEFT) : p] for p in at]
                 right += [text[p : p + LENGTH] for p in at]
-            columns = [pa.array(uid, pa.int64()), pa.array(gram, pa.int64()), pa.array(pos, pa.int32())]
-            columns += [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "gram", "pos", "left", "right"])
+            columns = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(2)]
+            columns += [pa.array(gram, pa.int64()), pa.array(pos, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "gram", "pos", "left", "right"])
 
 
 def _matrix(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,39 +268,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, text_sha256, spans, kept): kept is null where nothing is removed."""
-    text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", F.xxhash64("doc_id", text, F.sha2(text, 256)).alias("uid"), text.alias("text"))
-    places = named.select("uid", "text").mapInArrow(_anchor_rows, "uid long, pos int, gram long")
+    kind = "array<struct<start:int,end:int>>"
+    text = F.coalesce("text", F.lit("")).alias("text")
+    named = docs.select("doc_id", text).withColumn("text_sha256", F.sha2("text", 256))
+    named = named.withColumns({"uid": F.xxhash64("text_sha256"), "tag": F.hash("text_sha256")})
+    first = [F.first(c).alias(c) for c in ("doc_id", "text_sha256", "text")]
+    texts = stage_buckets(named.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), *first), "repeat-texts", *KEY)
+
+    places = texts.select(*KEY, "text").mapInArrow(_anchor_rows, "uid long, tag int, pos int, gram long")
     often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = often.select("gram", (F.col("n") > group).alias("hot"))
-    places = places.join(often, "gram").groupBy("uid").agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("places"))
-    size, digest = F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
-    held = F.when(F.col("places").isNotNull(), F.col("text")).alias("text")
-    base = stage(named.join(places, "uid", "left").select("doc_id", "uid", size, digest, held, "places"), "repeat-base")
-
-    some = base.where("places is not null")
-    schema = "uid long, gram long, pos int, left binary, right binary"
-    few = some.select("uid", "text", F.filter("places", lambda p: ~p["hot"]).alias("places")).where(F.size("places") > 0)
-    few = few.mapInArrow(_context_rows, schema).select("uid", "pos", "gram", "left", "right")
-    spans = _scanned(few, "uid long, pos int")
-    hot = some.select("uid", "text", F.filter("places", lambda p: p["hot"]).alias("places")).where(F.size("places") > 0)
+    places = places.join(often, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("places"))
+    some = texts.select(*KEY, "text").join(stage_buckets(places, "repeat-places", *KEY), KEY)
+
+    schema = "uid long, tag int, gram long, pos int, left binary, right binary"
+    few = some.select(*KEY, "text", F.filter("places", lambda p: ~p["hot"]).alias("places")).where(F.size("places") > 0)
+    few = few.mapInArrow(_context_rows, schema).select(*KEY, "pos", "gram", "left", "right")
+    spans = _scanned(few, "uid long, tag int, pos int")
+    hot = some.select(*KEY, "text", F.filter("places", lambda p: p["hot"]).alias("places")).where(F.size("places") > 0)
     if not hot.isEmpty():
         context = F.unhex(F.md5(F.concat(F.col("left"), F.lit("|").cast("binary"), F.col("right")))).alias("context")
-        hot = hot.mapInArrow(_context_rows, schema).select("uid", "pos", context, "left", "right")
+        hot = hot.mapInArrow(_context_rows, schema).select(*KEY, "pos", context, "left", "right")
         distinct = hot.groupBy("context", "left", "right").agg(F.count(F.lit(1)).alias("n"))
         covers = _hot_covers(distinct.select("context", "n", "left", "right"), group).distinct()
-        spans = spans.union(hot.select("uid", "pos", "context").join(covers, "context").select("uid", "pos", "l", "r"))
+        spans = spans.union(hot.select(*KEY, "pos", "context").join(covers, "context").select(*KEY, "pos", "l", "r"))
     span = F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
-    spans = spans.groupBy("uid").agg(F.collect_set(span).alias("spans"))
-    covered = base.where("places is not null").select("doc_id", "uid", "n_bytes", "text_sha256", "text").join(spans, "uid", "left")
-    rest = base.where("places is null").select(
-        "doc_id", "n_bytes", "text_sha256", F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("binary").alias("kept")
-    )
-    key = F.struct("doc_id", "n_bytes", "text_sha256").alias("row")
-    row = covered.select(key).schema["row"].dataType.simpleString()
-    cut = covered.select(key, "text", "spans").mapInArrow(_cut, f"row {row}, spans array<struct<start:int,end:int>>, kept binary")
+    spans = spans.groupBy(*KEY).agg(F.collect_set(span).alias("spans"))
+
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    # Copies, however many: a text that occurs twice goes whole or, being short, stays whole.
+    again = texts.where("copies > 1").select(*KEY, "text_sha256", size, "copies")
+    all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
+    copies = named.select("doc_id", *KEY).join(again, KEY).select(
+        "doc_id", "n_bytes", "text_sha256", F.when(whole, all_of_it).otherwise(F.array().cast(kind)).alias("spans"),
+        F.when(whole, F.lit("").cast("binary")).alias("kept"),
+    )
+    key = F.struct("doc_id", size, "text_sha256").alias("row")
+    covered = texts.where("copies = 1").join(spans, KEY, "left").select(key, F.when(F.col("spans").isNotNull(), F.col("text")).alias("text"), "spans")
+    row = covered.schema["row"].dataType.simpleString()
+    cut = covered.mapInArrow(_cut, f"row {row}, spans {kind}, kept binary")
     kept = F.when(F.size("spans") > 0, F.col("kept")).alias("kept")
-    return cut.select("row.doc_id", "row.n_bytes", "row.text_sha256", "spans", kept).union(rest)
+    return cut.select("row.doc_id", "row.n_bytes", "row.text_sha256", "spans", kept).union(copies)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -181,6 +181,21 @@ def test_repeats(docs):
         assert {tuple(r) for r in repeats.digests(repeats.repeated_spans(docs, group)).collect()} == want
 
 
+def test_repeats_of_equal_texts(spark):
+    """Copies of a text go whole, also those with equal or no ids; one of them is the partner of other texts."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    copy, short, own = word(500), word(150), word(400)
+    rows = [(i % 40, copy) for i in range(60)] + [(None, copy), (100, short), (101, short), (102, ""), (103, None)]
+    rows += [(104, own + copy[:300]), (105, own), (106, word(300)), (106, "x" * 450)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    size = {t: len((t or "").encode()) for _, t in rows}
+    found = repeats.digests(repeats.repeated_spans(frame)).collect()
+    gone = {t: (size[t], 1) for t in (copy, own, own + copy[:300], "x" * 450)}
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans) for r in found)
+    assert got == sorted((d or -1, size[t], *gone.get(t, (0, 0))) for d, t in rows)
+
+
 def test_language(spark, docs):
     found = {r.doc_id: r for r in language.identify(docs).collect()}
     assert found[4].lang_pred == found[5].lang_pred == found[10].lang_pred == "und" and found[4].score == 0
