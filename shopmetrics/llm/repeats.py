@@ -139,9 +139,10 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
 
 
 def repeats(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes to the left, bytes to the right) of maximal repeats among sorted suffixes.
+    """(row, bytes to the left, bytes to the right) that the maximal repeats of sorted suffixes cover.
 
-    Rows are sorted by group and right side; repeats lie within a group.
+    Rows are sorted by group and right side; repeats lie within a group. All repeats of a row hold its anchor,
+    so the longest reach on either side tells their union.
     """
     suffix, size = _matrix(right, LENGTH)
     back, back_size = _matrix([x[::-1] for x in left], LEFT)
@@ -149,19 +150,17 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[n
     lcp[group[:-1] != group[1:]] = 0
     rank = np.empty(len(left), np.int64)
     rank[sorted(range(len(left)), key=lambda i: left[i][::-1])] = np.arange(len(left))
-    rows, lefts, rights = [], [], []
+    lefts, rights = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     for first, last, common in intervals(lcp, GRAM):
         members = first + np.argsort(rank[first : last + 1])
         near = _common(back[members[:-1]], back[members[1:]], back_size[members[:-1]], back_size[members[1:]])
         best = np.maximum(np.append(near, 0), np.append(0, near))
         keep = best >= LENGTH - common
-        if keep.any():
-            rows.append(members[keep])
-            lefts.append(best[keep])
-            rights.append(np.full(int(keep.sum()), common))
-    if not rows:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(rows), np.concatenate(lefts), np.concatenate(rights)
+        found = members[keep]
+        lefts[found] = np.maximum(lefts[found], best[keep])
+        rights[found] = np.maximum(rights[found], common)
+    rows = np.flatnonzero(rights)
+    return rows, lefts[rows], rights[rows]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
