@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegralType, StringType
 
 from shopmetrics.operators.annotations import CATEGORIES
 from shopmetrics.sources.schema import DDL, KEYS, REFERENCES, table_schema
@@ -75,24 +75,41 @@ def reference_report(
     Each table is read once: a row gives a tagged key for every parent key that it is and for every reference
     that it holds. The tags of a key are counted before and after one shuffle, so a key that very many rows miss
     is one row per task; all references of a parent are answered from its keys. NULL keys reference nothing.
+    Keys of whole numbers travel as numbers, others as text, and a row has a counter for each
+    reference of the parent with the most of them, not for each of all references.
     """
     parents = list(dict.fromkeys((parent, tuple(pk)) for _, parent, _, pk in references))
-    is_parent = len(references)
+    group = [parents.index((parent, tuple(pk))) for _, parent, _, pk in references]
+    slot = [group[:i].count(g) for i, g in enumerate(group)]
+    is_parent = max(slot) + 1
+
+    def whole(g: int) -> bool:
+        sides = [(parents[g][0], list(parents[g][1]))] + [(c, keys) for (c, _, keys, _), of in zip(references, group, strict=True) if of == g]
+        return all(isinstance(tables[t].schema[k].dataType, IntegralType) for t, keys in sides for k in keys)
+
+    numbers = [whole(g) for g in range(len(parents))]
+    nums = [f"num{j}" for j in range(max([len(pk) for (_, pk), n in zip(parents, numbers, strict=True) if n], default=0))]
+
+    def tag(g: int, keys: list[str], value: int) -> Column:
+        """A tagged key, null if any part of it is."""
+        num = dict(zip(nums, keys, strict=False)) if numbers[g] else {}
+        text = F.lit(None).cast("array<string>") if numbers[g] else F.array(*[F.col(k).cast("string") for k in keys])
+        parts = [(F.col(num[n]) if n in num else F.lit(None)).cast("bigint").alias(n) for n in nums]
+        known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+        return F.when(known, F.struct(F.lit(g).alias("g"), *parts, text.alias("key"), F.lit(value).alias("tag")))
+
     rows = []
     for name in dict.fromkeys(t for child, parent, _, _ in references for t in (child, parent)):
         roles = [(g, pk, is_parent) for g, (parent, pk) in enumerate(parents) if parent == name]
-        roles += [(parents.index((parent, tuple(pk))), keys, i) for i, (child, parent, keys, pk) in enumerate(references) if child == name]
-        tagged = [
-            F.struct(F.lit(g).alias("g"), F.array(*[F.col(k).cast("string") for k in keys]).alias("key"), F.lit(tag).alias("tag"))
-            for g, keys, tag in roles
-        ]
-        rows.append(tables[name].select(F.inline(F.array(*tagged))).where("forall(key, k -> k is not null)"))
+        roles += [(group[i], keys, slot[i]) for i, (child, _, keys, _) in enumerate(references) if child == name]
+        tagged = [tag(g, list(keys), value) for g, keys, value in roles]
+        rows.append(tables[name].select(F.inline(F.array_compact(F.array(*tagged)))))
     counts = [F.count_if(F.col("tag") == i).alias(f"n{i}") for i in range(is_parent)]
-    keys = reduce(DataFrame.union, rows).groupBy("g", "key").agg(F.max(F.col("tag") == is_parent).alias("known"), *counts)
+    keys = reduce(DataFrame.union, rows).groupBy("g", *nums, "key").agg(F.max(F.col("tag") == is_parent).alias("known"), *counts)
     missing = keys.where("not known")
     sums = missing.agg(
-        *[F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}") for i in range(is_parent)],
-        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"r{i}") for i in range(is_parent)],
+        *[F.count_if((F.col("g") == g) & (F.col(f"n{s}") > 0)).alias(f"k{i}") for i, (g, s) in enumerate(zip(group, slot, strict=True))],
+        *[F.coalesce(F.sum(F.when(F.col("g") == g, F.col(f"n{s}"))), F.lit(0)).alias(f"r{i}") for i, (g, s) in enumerate(zip(group, slot, strict=True))],
     )
     report = [
         F.struct(

@@ -116,9 +116,13 @@ class StarTables(LazyTables):
             )
         return self._raw["_lines"]
 
-    def _order_line_items(self) -> DataFrame:
+    def _star_parts(self) -> DataFrame:
+        """One row per part, visibly so: what reads no column of the parts drops the join with them."""
         part = self.raw("part").selectExpr("p_partkey AS part_id", "p_name", "p_brand", "p_type")
-        lines = self._star_lines().join(part, "part_id", "left")
+        return part.groupBy("part_id").agg(*[F.any_value(c).alias(c) for c in ("p_name", "p_brand", "p_type")])
+
+    def _order_line_items(self) -> DataFrame:
+        lines = self._star_lines().join(self._star_parts(), "part_id", "left")
         returned = "IF(return_flag = 'R', quantity, 0)"
         exprs = {
             **_same("line_item_id", "order_id", "quantity", "original_unit_price", "discounted_unit_price"),

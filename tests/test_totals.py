@@ -173,3 +173,22 @@ def test_lines_with_null_values_keep_their_row(make):
     assert len(got) == 6 and got[0].title is None and got[0].season_code is None
     assert (got[4].title, got[4].sku) == ("Cover", "x-redo") and got[4].season_code == got[1].season_code == "S01"
     assert got[2].title == got[3].title == got[5].title != "T" and got[2].sku == got[1].sku
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_send_whole_numbers_and_few_counters(spark):
+    child = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "id long, p int")
+    parent = spark.createDataFrame([(5,)], "pid long")
+    refs = [("child", "parent", ["p"], ["pid"]), ("parent", "child", ["pid"], ["id"])]
+    report = quality.reference_report({"child": child, "parent": parent}, refs)
+    assert [tuple(r)[3:] for r in report.collect()] == [(1, 1), (1, 1)]
+    keys = re.findall(r"Aggregate \[g#\d+, num0#[^\n]*", plan_of(report))
+    assert len(keys) == 1 and " AS n1#" not in keys[0]
+
+
+def test_line_keys_of_the_star_read_no_parts(spark):
+    lines = StarTables(spark, STAR)["order_line_items"]
+    assert "p_name" in plan_of(lines) and "Join" not in plan_of(lines.select("order_id", "line_item_id"))
