@@ -66,21 +66,23 @@ def sales_totals(tables: Tables, names: list[str]) -> DataFrame:
     amounts = [F.sum(c).cast(TOTAL).alias(c) for c in ("sale", "returned")]
     total = lambda *cs: [F.sum(c).alias(c) for c in cs]
 
-    # Quantities of a key with their numbers of rows, so that the key itself holds few entries.
-    by_quantity = lines.union(refunds).groupBy("order_id", "line_item_id", "sold", "back").agg(
-        *amounts, *total("products", "line_items", "refund_rows"), *sums
-    )
-    sold = F.collect_list(F.when(F.col("line_items") > 0, F.struct(F.col("sold").alias("q"), F.col("line_items").alias("n"))))
-    back = F.collect_list(F.when(F.col("refund_rows") > 0, F.struct(F.col("back").alias("q"), F.col("refund_rows").alias("n"))))
-    by_line = by_quantity.groupBy("order_id", "line_item_id").agg(
-        *amounts, *total("products", "line_items"), *sums, sold.alias("sold"), back.alias("back")
-    )
-
-    def over(b: Column) -> Column:
-        lower = F.filter("sold", lambda s: s["q"] < b["q"])
-        return b["n"] * F.aggregate(lower, F.lit(0).cast("long"), lambda n, s: n + s["n"])
-
-    exceeded = F.aggregate("back", F.lit(0).cast("long"), lambda n, b: n + over(b))
+    by_line, exceeded = lines.union(refunds), none
+    quantities = []
+    if "refunds_over_line" in names:
+        # Quantities of a key with their numbers of rows, so that the key itself holds few entries.
+        by_line = by_line.groupBy("order_id", "line_item_id", "sold", "back").agg(
+            *amounts, *total("products", "line_items", "refund_rows"), *sums
+        )
+        sold = F.collect_list(F.when(F.col("line_items") > 0, F.struct(F.col("sold").alias("q"), F.col("line_items").alias("n"))))
+        back = F.collect_list(F.when(F.col("refund_rows") > 0, F.struct(F.col("back").alias("q"), F.col("refund_rows").alias("n"))))
+        quantities = [sold.alias("sold"), back.alias("back")]
+
+        def over(b: Column) -> Column:
+            lower = F.filter("sold", lambda s: s["q"] < b["q"])
+            return b["n"] * F.aggregate(lower, F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+        exceeded = F.aggregate("back", F.lit(0).cast("long"), lambda n, b: n + over(b))
+    by_line = by_line.groupBy("order_id", "line_item_id").agg(*amounts, *total("products", "line_items"), *sums, *quantities)
     net = F.when(F.col("products") > 0, F.coalesce("sale", F.lit(0)) - F.coalesce("returned", F.lit(0)) * F.col("products"))
     by_line = by_line.select(
         "order_id", net.cast(TOTAL).alias("net"), "line_items", *counts, exceeded.alias("refunds_over_line"),

@@ -192,3 +192,9 @@ def test_references_send_whole_numbers_and_few_counters(spark):
 def test_line_keys_of_the_star_read_no_parts(spark):
     lines = StarTables(spark, STAR)["order_line_items"]
     assert "p_name" in plan_of(lines) and "Join" not in plan_of(lines.select("order_id", "line_item_id"))
+
+
+def test_totals_without_quantities_group_a_line_once(odd):
+    some = ["net_sales", "units", "orders"]
+    assert plan_of(sales_totals(odd, some)).count("Aggregate [") < plan_of(sales_totals(odd, SALES_MEASURES)).count("Aggregate [")
+    assert sales_totals(odd, some).first().asDict() == {n: v for n, v in sales_totals(odd, SALES_MEASURES).first().asDict().items() if n in some}
