@@ -534,7 +534,7 @@ def anonymize_reviews(t):
 
 @query
 def anonymize_checks(t):
-    return privacy.anonymize_checks(t, privacy.anonymize(t, p.K, p.SALT, p.BRAND), p.K)
+    return privacy.anonymize_checks(t, privacy.anonymize(t, p.K, p.SALT, p.BRAND, renumber=False), p.K)
 
 
 @query

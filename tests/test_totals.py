@@ -198,3 +198,10 @@ def test_totals_without_quantities_group_a_line_once(odd):
     some = ["net_sales", "units", "orders"]
     assert plan_of(sales_totals(odd, some)).count("Aggregate [") < plan_of(sales_totals(odd, SALES_MEASURES)).count("Aggregate [")
     assert sales_totals(odd, some).first().asDict() == {n: v for n, v in sales_totals(odd, SALES_MEASURES).first().asDict().items() if n in some}
+
+
+def test_anonymize_checks_number_no_orders(spark, monkeypatch):
+    star, numbered = StarTables(spark, STAR), []
+    monkeypatch.setattr(privacy, "renumber_orders", numbered.append)
+    privacy.anonymize_checks(star, privacy.anonymize(star, Decimal("1"), "salt", renumber=False), Decimal("1")).collect()
+    assert numbered == []
