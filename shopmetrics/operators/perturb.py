@@ -49,8 +49,10 @@ def drop_orders(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
     children = ["order_attribution", "order_discounts", "order_line_items", "refund_line_items", "refunds"]
 
     def kept(child: str) -> DataFrame:
-        return t[child].join(out["orders"].select("order_id"), "order_id", "left_semi")
+        return t[child].join(ids["kept"], "order_id", "left_semi")
 
+    # Six tables ask which orders stay: drawn once, their ids written.
+    ids = LazyTables({"kept": lambda: stage(t["orders"].filter(keep).select("order_id"), "kept-orders")})
     out = LazyTables(
         {
             "orders": lambda: t["orders"].filter(keep),
@@ -269,39 +271,49 @@ CHANGE_COLUMNS = [
 ]
 
 
-def perturb_steps(t: Tables, salt: str) -> Tables:
+def perturb_steps(t: Tables, salt: str, whole: bool = False) -> Tables:
     """Intermediate results of a perturbation, planned on first use.
 
     What changes on each line feeds the order ratios, the refund lines and the
     allocations, so those few columns are written once instead of being joined
-    together again for each.
+    together again for each. ``whole`` writes all columns of the lines, and the refund lines too,
+    for a caller that goes on to read the lines themselves.
     """
+
+    def refund_lines() -> DataFrame:
+        changed = perturb_refund_lines(t["refund_line_items"], steps["changes"])
+        return stage(changed, "refund-lines") if whole else changed
+
     steps = LazyTables(
         {
             "lines": lambda: perturb_lines(t["order_line_items"], t["refund_line_items"], salt),
-            "changes": lambda: stage(steps["lines"].select(*CHANGE_COLUMNS), "changes"),
+            "changes": lambda: stage(steps["lines"] if whole else steps["lines"].select(*CHANGE_COLUMNS), "changes"),
             "ratios": lambda: order_ratios(steps["changes"]),
-            "refund_lines": lambda: perturb_refund_lines(t["refund_line_items"], steps["changes"]),
+            "refund_lines": refund_lines,
             "refunds": lambda: rederive_refunds(t["refunds"], steps["refund_lines"], steps["ratios"]),
+            "orders": lambda: rederive_orders(t["orders"], steps["refunds"], steps["ratios"]),
         }
     )
     return steps
 
 
-def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ) -> Tables:
-    """Dropped orders, new prices and quantities, and everything that follows from them."""
+def perturb(tables: Tables, salt: str, tz: str = BUSINESS_TZ, renumber: bool = True) -> Tables:
+    """Dropped orders, new prices and quantities, and everything that follows from them.
+
+    Without ``renumber`` the orders keep their names, which no check reads.
+    """
     t = drop_orders(tables, salt, tz)
-    steps = perturb_steps(t, salt)
+    steps = perturb_steps(t, salt, whole=True)
     out = LazyTables(
         {
-            "order_line_items": lambda: steps["lines"].drop("old_net", "price_from", "price_to", "times"),
+            "order_line_items": lambda: steps["changes"].drop("old_net", "price_from", "price_to", "times"),
             "line_item_discount_allocations": lambda: perturb_allocations(
                 t["line_item_discount_allocations"], steps["changes"]
             ),
             "refund_line_items": lambda: steps["refund_lines"].drop("old_subtotal"),
             "refunds": lambda: steps["refunds"].drop("old_total"),
             "order_discounts": lambda: rederive_discounts(t["order_discounts"], steps["ratios"]),
-            "orders": lambda: renumber_orders(rederive_orders(t["orders"], steps["refunds"], steps["ratios"])),
+            "orders": lambda: renumber_orders(steps["orders"]) if renumber else steps["orders"],
             # Numbering writes the orders, so the customers read them from there.
             "customers": lambda: rederive_customers(t["customers"], out["orders"]),
         },

@@ -205,3 +205,13 @@ def test_anonymize_checks_number_no_orders(spark, monkeypatch):
     monkeypatch.setattr(privacy, "renumber_orders", numbered.append)
     privacy.anonymize_checks(star, privacy.anonymize(star, Decimal("1"), "salt", renumber=False), Decimal("1")).collect()
     assert numbered == []
+
+
+def test_perturb_checks_stage_each_step_once(spark, stored, monkeypatch):
+    staged, plain = [], perturb.stage
+    monkeypatch.setattr(perturb, "stage", lambda df, label: staged.append(label) or plain(df, label))
+    monkeypatch.setattr(perturb, "renumber_orders", lambda orders: staged.append("numbered"))
+    out = perturb.perturb(stored, "salt", renumber=False)
+    perturb.perturb_checks(stored, out).collect()
+    assert sorted(staged) == ["changes", "kept-orders", "refund-lines"]
+    assert not [f for n in ("order_line_items", "refund_line_items") for f in out[n].inputFiles() if "/shop" in f]
