@@ -41,6 +41,7 @@ COORDINATES = 64
 ROWS = 3
 BANDS = COORDINATES // ROWS
 MAP_WORDS = 16
+AHEAD = 128
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -184,6 +185,8 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
     listed under those alone, where they meet few others. Each set also has a map of ``64 * MAP_WORDS`` bits, one for each
     shingle that it shares with any member; a bit that only one of two sets has stands for a shingle that the
     other lacks, which bounds what they share from above. Both bounds are exact: no similar pair is left out.
+    A pair that shares many listed shingles is made at the first of them: each row has up to ``AHEAD`` shingles that
+    come before its own, and where two rows have one of these in common the pair has been made there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +211,15 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
     orders = shingles.join(shared, "shingle").groupBy("rep").agg(order, *maps)
     sizes = reps.select("rep", F.col("n_shingles").alias("n"))
     member = wanted.withColumnRenamed("doc_id", "rep")
-    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", *words, F.size("order").alias("many"), F.posexplode("order").alias("k", "e"))
+    head = F.slice(F.col("order.shingle"), 1, AHEAD).alias("head")
+    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", *words, F.size("order").alias("many"), head, F.posexplode("order").alias("k", "e"))
     # Shingles that no other member has come first.
     left = F.col("many") - F.col("k")
     most = F.call_function("div", left * (100 + PERCENT), F.lit(PERCENT)) - F.col("n")
-    listed = listed.select("rep", "component", "n", "many", *words, F.col("e.shingle").alias("shingle"), most.alias("most"))
+    ahead = F.slice("head", F.lit(1), F.least("k", F.lit(AHEAD))).alias("ahead")
+    listed = listed.select("rep", "component", "n", "many", *words, F.col("e.shingle").alias("shingle"), most.alias("most"), ahead)
     listed = stage(listed.where(F.col("most") * 100 >= F.col("n") * PERCENT), "near-listed")
-    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "many", *words, "most")])
+    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "many", *words, "most", "ahead")])
     met = listed.join(other, "shingle").where("component < other_component and n <= other_most and other_n <= most")
     needed = (F.col("n") + F.col("other_n")) * PERCENT
 
@@ -222,7 +227,8 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
         lacking = [F.bit_count(F.col(one + w).bitwiseAND(F.bitwise_not(F.col(two + w)))) for w in words]
         return (F.col(one + "many") - reduce(Column.__add__, lacking)) * (100 + PERCENT) >= needed
 
-    return _ordered(met.where(enough("", "other_")).where(enough("other_", "")), "rep", "other_rep")
+    met = met.where(enough("", "other_")).where(enough("other_", "")).where(~F.arrays_overlap("ahead", "other_ahead"))
+    return _ordered(met, "rep", "other_rep")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:

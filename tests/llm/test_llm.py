@@ -523,3 +523,30 @@ def test_pipeline_takes_nulls_and_empty_tables(spark):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         ids = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
         assert ids <= {r[0] for r in table} - {3, 50, 51} and (len(ids) > 5) == bool(table)
+
+
+def test_pairs_are_made_at_their_first_shared_shingle(spark, monkeypatch):
+    # Copies that keep most of each other's rare shingles, but few of the smallest one's: a pair shares dozens of them.
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base), 1, "x")]
+    for k in range(1, 60):
+        copy = [f"m{k % 6}x{p}" if p % 15 == 0 and p < 120 else w for p, w in enumerate(base)]
+        copy[rng.randrange(150)] = f"own{k}"
+        rows.append((k, " ".join(copy), 1, "x"))
+    made, plain = [], minhash._ordered
+
+    def counted(pairs, a, b):
+        made.append((pairs.count(), plain(pairs, a, b).count()))
+        return plain(pairs, a, b)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, source string")
+    texts = docs.select("doc_id", "text")
+    members = texts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+    reps = members.select("rep", F.lit(147).alias("n_shingles"))
+    monkeypatch.setattr(minhash, "_ordered", counted)
+    found = {tuple(r) for r in minhash._by_rare_shingles(members, texts, reps, 4).collect()}
+    assert made[0][0] == made[0][1] > 200
+    sets = {k: shingles(t) for k, t, _, _ in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert similar <= found and similar
