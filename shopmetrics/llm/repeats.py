@@ -43,7 +43,7 @@ from shopmetrics.sources.staging import stage, stage_buckets
 LENGTH = 200
 GRAM = 64
 LEFT = LENGTH - GRAM
-GROUP = 1000
+GROUP = 16_000  # some 5 MB of contexts; the scan of a row takes at most LEFT + 1 intervals, however many rows a group has
 KEY = ["uid", "tag"]
 _CHUNK = 4096
 
@@ -217,7 +217,7 @@ def _hot_covers(contexts: DataFrame, group: int) -> DataFrame:
             F.expr(f"substring(right, 1, {LENGTH} - o1)").alias("right"),
         )
         shared = [F.expr("substring(left, length(left) - o1 + 1, o1)"), F.expr(f"substring(right, 1, {LENGTH} - o2)")]
-        part = F.md5(F.concat(F.col("left"), F.lit("|").cast("binary"), F.col("right")))
+        part = F.unhex(F.md5(F.concat(F.col("left"), F.lit("|").cast("binary"), F.col("right"))))
         rows = rows.withColumns({"gram": F.xxhash64("o1", "o2", *shared), "part": part})
         # Equal parts cover each other; one of them goes on, as a partner of the rest.
         parts = rows.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("same"), F.min("context").alias("first"))

@@ -550,3 +550,17 @@ def test_pairs_are_made_at_their_first_shared_shingle(spark, monkeypatch):
     sets = {k: shingles(t) for k, t, _, _ in rows}
     similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert similar <= found and similar
+
+
+def test_an_anchor_of_some_thousand_places_meets_in_one_scan(spark, monkeypatch):
+    rng, staged, plain = random.Random(3), [], repeats.stage
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = [(k, "".join(rng.choices("abcdef ", k=150)) + line + "".join(rng.choices("abcdef ", k=150)), 1, "x") for k in range(1500)]
+    rows.append((1500, "head#" + rows[7][1][60:], 1, "x"))
+    monkeypatch.setattr(repeats, "stage", lambda df, label: staged.append(label) or plain(df, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, source string")
+    got = {r.doc_id: r.n_removed for r in repeats.digests(repeats.repeated_spans(docs)).collect()}
+    assert staged == [] and {k for k, n in got.items() if n} == {7, 1500}
+    assert got[7] == got[1500] == len(rows[7][1]) - 60
+    few = repeats.digests(repeats.repeated_spans(docs, group=1000))
+    assert {r.doc_id: r.n_removed for r in few.collect()} == got and "repeat-contexts" in staged
