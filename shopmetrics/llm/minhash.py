@@ -10,7 +10,9 @@ Candidates share all coordinates of a band. ``BANDS`` bands of ``ROWS`` miss a p
 0.8 with probability (1 - 0.8^ROWS)^BANDS = 3e-7. Equal sets are one class from the start and
 only its smallest document is compared. In each bucket all classes are first compared with the
 smallest. Members that this left in different components of a bucket meet through the rarest shingles
-that they share (see ``_by_rare_shingles``), an exact bound, also if they never met in a bucket. A pair is
+that they share (see ``_by_rare_shingles``), an exact bound, also if they never met in a bucket. Where many are listed
+under a shingle, all are first compared with one of them, and what links is one component from then on; so a
+group of copies falls into few components before all pairs across these are made. A pair is
 linked only if its full shingle sets, made anew from both texts, have 100 * intersection >= 80 * union.
 So no bucket emits all its pairs, and none is capped. Components follow from the links.
 
@@ -42,6 +44,7 @@ ROWS = 3
 BANDS = COORDINATES // ROWS
 MAP_WORDS = 16
 AHEAD = 128
+CROWD = 8
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -168,26 +171,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _mixed(members: DataFrame, group: DataFrame, label: str) -> DataFrame:
-    """(key, rep, band, component) of the buckets whose members aren't all in one component yet."""
+    """``members`` (key, rep and more) with their component, of the keys whose members aren't all in one component yet."""
     component = F.coalesce("component", "rep").alias("component")
-    placed = members.join(group, members["rep"] == group["node"], "left").select("key", "rep", "band", component)
+    placed = members.join(group, members["rep"] == group["node"], "left").select(*members.columns, component)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return stage(placed.join(mixed.where("low <> high").select("key"), "key"), label)
 
 
-def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """All pairs (a, b) of members in different components that can be similar, by their first shared shingle.
+_WORDS = [f"w{k}" for k in range(MAP_WORDS)]
 
-    Each set is put in one order of all shingles, the rarest first. If the first one that a pair shares is at place i of
-    n shingles (from 0), the pair shares at most n - i; 80 % of the union need 4/9 of the sum of both sizes, so
-    the other set has at most 9/4 (n - i) - n shingles. A set is listed under its shingles up to the place
-    where that falls below 4/5 n, less than any partner has. Copies with many changes of their own are
-    listed under those alone, where they meet few others. Each set also has a map of ``64 * MAP_WORDS`` bits, one for each
-    shingle that it shares with any member; a bit that only one of two sets has stands for a shingle that the
-    other lacks, which bounds what they share from above. Both bounds are exact: no similar pair is left out.
-    A pair that shares many listed shingles is made at the first of them: each row has up to ``AHEAD`` shingles that
-    come before its own, and where two rows have one of these in common the pair has been made there.
-    """
+
+def _listed(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """A row for each member of ``rest`` and each shingle that it is listed under, see ``_by_rare_shingles``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +193,7 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids, flat], ["rep", "shingle"])
 
-    wanted = rest.select(F.col("rep").alias("doc_id"), "component").distinct()
+    wanted = rest.select(F.col("rep").alias("doc_id")).distinct()
     kind = texts.schema["doc_id"].dataType.simpleString()
     texts = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     shingles = stage(texts.mapInArrow(run, f"rep {kind}, shingle long"), "near-shingles")
@@ -206,28 +201,77 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width:
     order = F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order")
     word = F.col("shingle").bitwiseAND(F.lit(MAP_WORDS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("shingle", 8).bitwiseAND(F.lit(63)).cast("int"))
-    words = [f"w{k}" for k in range(MAP_WORDS)]
-    maps = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)]
+    maps = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(_WORDS)]
     orders = shingles.join(shared, "shingle").groupBy("rep").agg(order, *maps)
     sizes = reps.select("rep", F.col("n_shingles").alias("n"))
-    member = wanted.withColumnRenamed("doc_id", "rep")
     head = F.slice(F.col("order.shingle"), 1, AHEAD).alias("head")
-    listed = orders.join(sizes, "rep").join(member, "rep").select("rep", "component", "n", *words, F.size("order").alias("many"), head, F.posexplode("order").alias("k", "e"))
+    listed = orders.join(sizes, "rep").select("rep", "n", *_WORDS, F.size("order").alias("many"), head, F.posexplode("order").alias("k", "e"))
     # Shingles that no other member has come first.
     left = F.col("many") - F.col("k")
     most = F.call_function("div", left * (100 + PERCENT), F.lit(PERCENT)) - F.col("n")
     ahead = F.slice("head", F.lit(1), F.least("k", F.lit(AHEAD))).alias("ahead")
-    listed = listed.select("rep", "component", "n", "many", *words, F.col("e.shingle").alias("shingle"), most.alias("most"), ahead)
-    listed = stage(listed.where(F.col("most") * 100 >= F.col("n") * PERCENT), "near-listed")
-    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "many", *words, "most", "ahead")])
-    met = listed.join(other, "shingle").where("component < other_component and n <= other_most and other_n <= most")
-    needed = (F.col("n") + F.col("other_n")) * PERCENT
+    listed = listed.select("rep", "n", "many", *_WORDS, F.col("e.shingle").alias("shingle"), most.alias("most"), ahead)
+    return stage(listed.where(F.col("most") * 100 >= F.col("n") * PERCENT), "near-listed")
+
+
+def _enough(one: str, two: str) -> Column:
+    """Whether the map of ``one`` leaves enough shingles that ``two`` may share."""
+    lacking = [F.bit_count(F.col(one + w).bitwiseAND(F.bitwise_not(F.col(two + w)))) for w in _WORDS]
+    return (F.col(one + "many") - reduce(Column.__add__, lacking)) * (100 + PERCENT) >= (F.col(one + "n") + F.col(two + "n")) * PERCENT
 
-    def enough(one: str, two: str) -> Column:
-        lacking = [F.bit_count(F.col(one + w).bitwiseAND(F.bitwise_not(F.col(two + w)))) for w in words]
-        return (F.col(one + "many") - reduce(Column.__add__, lacking)) * (100 + PERCENT) >= needed
 
-    met = met.where(enough("", "other_")).where(enough("other_", "")).where(~F.arrays_overlap("ahead", "other_ahead"))
+def _with_leads(shared: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members and the one that has most room under a shingle that many are listed under.
+
+    The bounds are those of ``_by_rare_shingles``. Who has much room has few rare shingles, so it is near the middle of its group.
+    """
+    lead = F.max(F.struct("most", "rep", "n", "component")).alias("lead")
+    leads = shared.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), lead).where(F.col("crowd") > CROWD).select("key", "lead")
+    met = shared.join(leads, "key").where("component <> lead.component and n <= lead.most and lead.n <= most")
+    pairs = _ordered(met.select("rep", F.col("lead.rep").alias("lead")), "rep", "lead")
+    maps = listed.select("rep", "n", "many", *_WORDS).distinct()
+    for side in "ab":
+        pairs = pairs.join(maps.toDF(side, *[f"{side}_{c}" for c in maps.columns[1:]]), side)
+    return pairs.where(_enough("a_", "b_")).where(_enough("b_", "a_")).select("a", "b")
+
+
+def _merged(group: DataFrame, more: DataFrame, placed: DataFrame) -> DataFrame:
+    """``group`` after further links (a, b), whose ends ``placed`` (rep, component) has; only components have to follow them."""
+    placed = placed.select("rep", "component").distinct()
+    one, two = (placed.toDF(side, f"{side}_component") for side in "ab")
+    joined = components(more.join(one, "a").join(two, "b"), "a_component", "b_component", "near")
+    moved = group.join(joined.toDF("component", "higher"), "component", "left")
+    moved = moved.select("node", F.coalesce("higher", "component").alias("component"))
+    return stage(moved.union(joined.join(group, "node", "left_anti")), "near-merged")
+
+
+def _by_rare_shingles(rest: DataFrame, texts: DataFrame, reps: DataFrame, width: int, listed: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b) of members in different components that can be similar, by their first shared shingle.
+
+    Each set is put in one order of all shingles, the rarest first. If the first one that a pair shares is at place i of
+    n shingles (from 0), the pair shares at most n - i; 80 % of the union need 4/9 of the sum of both sizes, so
+    the other set has at most 9/4 (n - i) - n shingles. A set is listed under its shingles up to the place
+    where that falls below 4/5 n, less than any partner has. Copies with many changes of their own are
+    listed under those alone, where they meet few others. Each set also has a map of ``64 * MAP_WORDS`` bits, one for each
+    shingle that it shares with any member; a bit that only one of two sets has stands for a shingle that the
+    other lacks, which bounds what they share from above. Both bounds are exact: no similar pair is left out.
+    A pair that shares many listed shingles is made at the first of them: each row has up to ``AHEAD`` shingles that
+    come before its own, and where two rows have one of these in common the pair has been made there.
+    ``listed`` has the rows of ``_listed`` if they are at hand.
+    """
+    if listed is None:
+        listed = _listed(rest, texts, reps, width)
+    placed = rest.select("rep", "component").distinct()
+    # A pair across components has one side at least outside any one of them, such as the most frequent under a shingle.
+    component = F.col("component")
+    main = listed.select("rep", "shingle").join(placed, "rep").groupBy("shingle")
+    main = main.agg(F.mode(component).alias("main"), F.min(component).alias("low"), F.max(component).alias("high"))
+    main = main.where("low <> high").select("shingle", "main")
+    listed = stage(listed.join(placed, "rep").join(main, "shingle"), "near-across")
+    other = listed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "many", *_WORDS, "most", "ahead")])
+    met = listed.where("component <> main").join(other, "shingle")
+    met = met.where("(other_component = main or component < other_component) and n <= other_most and other_n <= most")
+    met = met.where(_enough("", "other_")).where(_enough("other_", "")).where(~F.arrays_overlap("ahead", "other_ahead"))
     return _ordered(met, "rep", "other_rep")
 
 
@@ -235,16 +279,16 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(docs: DataFrame, sketched: DataFrame, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(class, rep) of the classes, the links (a, b) between representatives and their components."""
+def links(docs: DataFrame, sketched: DataFrame, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(class, rep) of the classes and (node, component) of the representatives that links join."""
     known = sketched.where("class is not null and doc_id is not null")
     # Equal sets have equal sizes and bands, so any of a class will do.
     any_of = [F.any_value(c).alias(c) for c in ("n_shingles", "bands")]
     reps = stage(known.groupBy("class").agg(F.min("doc_id").alias("rep"), *any_of), "near-reps")
     classes = reps.select("class", "rep")
-    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    bands = reps.select("rep", F.explode("bands").alias("key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead")
-    members = stage(bands.join(met, "key"), "near-members")  # key, rep, band, lead
+    members = stage(bands.join(met, "key"), "near-members")  # key, rep, lead
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = stage(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
@@ -253,31 +297,38 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = SHINGLE_WORDS) -> t
     tried = stage(_ordered(members.where("lead <> rep"), "lead", "rep"), "near-pairs")
     found = stage(_confirmed(tried, texts, width), "near-links")
     group = components(found, "a", "b", "near", staged=True)
-    rest = _mixed(members, group, "near-rest")
+    rest = _mixed(members.select("key", "rep"), group, "near-rest")
     if rest.isEmpty():
-        return classes, found, group
+        return classes, group
+
+    # Those who share a rare shingle with many, against one of them.
+    listed = _listed(rest, texts, reps, width)
+    by_shingle = listed.select(F.col("shingle").alias("key"), "rep", "n", "most")
+    shared = _mixed(by_shingle, group, "near-shared")
+    first = stage(_with_leads(shared, listed).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more = stage(_confirmed(first, texts, width), "near-links")
+    if not more.isEmpty():
+        group = _merged(group, more, shared)
+        shared = _mixed(by_shingle, group, "near-shared")
 
     # All that may be linked and is not in one component yet.
-    pairs = _by_rare_shingles(rest, texts, reps, width).join(tried, ["a", "b"], "left_anti")
+    pairs = _by_rare_shingles(shared, texts, reps, width, listed).join(tried.union(first), ["a", "b"], "left_anti")
     more = stage(_confirmed(stage(pairs, "near-pairs"), texts, width), "near-links")
-    if more.isEmpty():
-        return classes, found, group
-    found = found.union(more)
-    return classes, found, components(found, "a", "b", "near", staged=True)
+    return classes, group if more.isEmpty() else _merged(group, more, shared)
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, by shingles of ``width`` words."""
     docs = docs.select("doc_id", "text")
     sketched = stage(sketches(docs, width), "near-sketches")
-    classes, found, group = links(docs, sketched, width)
+    classes, group = links(docs, sketched, width)
     # Rows that share an id tie their classes together.
     nodes = sketched.select("doc_id", "class").where("class is not null and doc_id is not null")
     shared = nodes.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     tied = nodes.join(shared.select("doc_id"), "doc_id").join(classes, "class")
     tied = stage(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "near-tied")
     if not tied.isEmpty():
-        group = components(found.union(tied), "a", "b", "near", staged=True)
+        group = components(group.union(tied), "node", "component", "near", staged=True)
     named = classes.join(group, classes["rep"] == group["node"], "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))

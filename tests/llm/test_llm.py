@@ -564,3 +564,25 @@ def test_an_anchor_of_some_thousand_places_meets_in_one_scan(spark, monkeypatch)
     assert got[7] == got[1500] == len(rows[7][1]) - 60
     few = repeats.digests(repeats.repeated_spans(docs, group=1000))
     assert {r.doc_id: r.n_removed for r in few.collect()} == got and "repeat-contexts" in staged
+
+
+def test_a_group_of_copies_makes_few_pairs(spark, monkeypatch):
+    # Copies whose smallest differs too much from all others: what links them has to be found among the copies.
+    rng, made, plain = random.Random(7), [], minhash.stage
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for p in rng.sample(range(150), 9 if k < 30 else rng.randint(0, 3)):
+            copy[p] = f"own{k}x{p}"
+        rows.append((k, " ".join(copy)))
+
+    def counted(df, label):
+        out = plain(df, label)
+        made.extend([out.count()] if label == "near-links" else [])
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of({k: shingles(t) for k, t in rows})
+    assert sum(made) < 3 * len(rows)
