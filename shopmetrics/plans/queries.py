@@ -568,8 +568,9 @@ def perturb_refund_lines(t):
 
 @query
 def perturb_allocations(t):
-    changes = perturb.perturb_steps(t, p.PERTURB_SALT)["changes"]
-    return perturb.perturb_allocations(t["line_item_discount_allocations"], changes).select("id", "allocated_amount")
+    # Nothing else here reads the changed lines, so they aren't written first.
+    lines = perturb.perturb_steps(t, p.PERTURB_SALT)["lines"]
+    return perturb.perturb_allocations(t["line_item_discount_allocations"], lines).select("id", "allocated_amount")
 
 
 @query

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 import __spark_entry__ as entry_point
+from shopmetrics.operators import perturb
 
 STAR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(STAR), reason="needs the test dataset")
@@ -66,3 +67,10 @@ def test_date_filter_reaches_the_scan(spark):
     assert re.search(r"o_orderdate#\d+ >= 1999-07-03 04:00:00", plan)
     assert re.search(r"l_shipdate#\d+ >= 1999-07-03 04:00:00", plan)
     assert "o_totalprice" not in plan and "l_tax" not in plan
+
+
+def test_perturbed_allocations_write_no_lines(spark, monkeypatch):
+    staged, write = [], perturb.stage
+    monkeypatch.setattr(perturb, "stage", lambda df, label: staged.append(label) or write(df, label))
+    assert QUERIES["perturb_allocations"](spark, STAR).count() > 0
+    assert staged == []
