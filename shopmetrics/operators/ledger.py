@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import BUSINESS_TZ, Span, business_date, in_spans
@@ -63,8 +63,57 @@ def sales_ledger(
 def net_sales_lines(
     lines: DataFrame, orders: DataFrame, refund_lines: DataFrame, tz: str = BUSINESS_TZ
 ) -> DataFrame:
-    """One positive row per sold line and one negative row per refunded line."""
-    return sales_ledger(lines, orders, refund_lines, tz).select(*LEDGER_COLUMNS)
+    """One positive row per sold line and one negative row per refunded line.
+
+    The rows of ``sales_ledger`` for a reader of the whole ledger: each line is read
+    once and moved once, with its refunds, by order. Filters on the day don't reach
+    the scans here.
+    """
+    key, described = ["order_id", "line_item_id"], ["sku", "title", "season_code", "line_status"]
+    sold = lines.filter(is_product_sku(F.col("sku"))).select(
+        *key,
+        F.lit(False).alias("returned"),
+        *described,
+        "quantity",
+        (F.col("discounted_unit_price") * F.col("quantity")).cast(AMOUNT).alias("amount"),
+    )
+    back = refund_lines.filter(F.col("line_item_id").isNotNull()).select(
+        *key,
+        F.lit(True).alias("returned"),
+        (-F.col("quantity")).alias("quantity"),
+        (-F.col("subtotal")).cast(AMOUNT).alias("amount"),
+        "processed_at",
+        "restock_type",
+    )
+    # The windows and the join with the orders share the partitioning by order. Lines come
+    # first in their key; a refund is repeated for each line of a repeated key, as a join would.
+    so_far = Window.unboundedPreceding, Window.currentRow
+    lines_first = Window.partitionBy(*key).orderBy("returned").rowsBetween(*so_far)
+    rows = (
+        sold.unionByName(back, allowMissingColumns=True)
+        .repartition("order_id")
+        .withColumns(
+            {
+                "nth": F.row_number().over(lines_first).cast("bigint"),
+                "n_lines": F.count(F.when(~F.col("returned"), 1)).over(lines_first),
+            }
+        )
+        .filter(~F.col("returned") | (F.col("n_lines") > 0))
+        .withColumn(
+            "nth",
+            F.explode(F.when(F.col("returned"), F.sequence(F.lit(1), F.col("n_lines"))).otherwise(F.array("nth"))),
+        )
+    )
+    of_line = Window.partitionBy(*key, "nth").orderBy("returned").rowsBetween(*so_far)
+    rows = rows.withColumns({c: F.first(c).over(of_line) for c in described})
+    return (
+        rows.join(orders.select("order_id", "order_name", "created_at"), "order_id")
+        .withColumn("row_type", F.when(F.col("returned"), "RETURN").otherwise("SALE"))
+        .withColumn(
+            "date_key", business_date(F.when(F.col("returned"), F.col("processed_at")).otherwise(F.col("created_at")), tz)
+        )
+        .select(*LEDGER_COLUMNS)
+    )
 
 
 def ledger_of(tables, tz: str = BUSINESS_TZ) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopmetrics.operators import perturb, privacy, quality, revenue
-from shopmetrics.operators.ledger import ledger_of
+from shopmetrics.operators.ledger import LEDGER_COLUMNS, ledger_of, net_sales_lines
 from shopmetrics.operators.totals import SALES_MEASURES, sales_totals
 from shopmetrics.sources import tables as io
 from shopmetrics.sources.schema import REFERENCES
@@ -88,6 +88,36 @@ def test_totals_equal_joins(odd):
     assert got["net_payment"] == orders.agg(F.sum("net_payment")).first()[0]
 
 
+def test_net_sales_lines_equal_the_ledger(odd):
+    lost = F.expr("IF(order_id % 7 = 4, NULL, line_item_id)")
+    lines, back = odd["order_line_items"], odd["refund_line_items"]
+    named = {c: F.expr(f"IF(line_item_id % 4 = 0, NULL, concat('{c} ', quantity))") for c in ("title", "season_code")}
+    again = lines.filter("order_id % 3 = 0").withColumns({"quantity": F.lit(9)})
+    lines = lines.unionByName(again).unionByName(again).withColumns(named).withColumn("line_item_id", lost)
+    back = back.withColumn("line_item_id", lost).withColumn("processed_at", F.expr("IF(quantity = 2, NULL, processed_at)"))
+    got = net_sales_lines(lines, odd["orders"], back)
+    want = ledger_of({"order_line_items": lines, "orders": odd["orders"], "refund_line_items": back}).select(*LEDGER_COLUMNS)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    # The case holds lines of one key with several refunds, refunds of several lines, and lines without an id.
+    returned = Counter((r.order_id, r.line_item_id) for r in want.collect() if r.row_type == "RETURN")
+    sold = Counter((r.order_id, r.line_item_id) for r in want.collect() if r.row_type == "SALE")
+    assert any(n > sold[k] > 1 for k, n in returned.items()) and any(k[1] is None for k in sold)
+
+
+def test_net_sales_lines_move_each_line_once_by_order(spark, static):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        star = StarTables(spark, STAR)
+        df = net_sales_lines(star["order_line_items"], star["orders"], star["refund_line_items"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert scans(df)["lineitem"] == 2  # the lines, and the refunded ones that the star derives from them
+    # Lines to their parts, parts, lines with refunds by order, orders.
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4
+
+
 def test_totals_of_nothing(odd):
     none = {n: df.limit(0) for n, df in odd.items()}
     got = sales_totals(none, SALES_MEASURES).first().asDict()
